@@ -38,6 +38,11 @@ EMOJI_CLASS = (
 )
 
 
+def is_blank(c: Column) -> Column:
+    """Null, empty or whitespace-only text."""
+    return F.coalesce(c.rlike(r"^\s*$"), F.lit(True))
+
+
 def blank_to_null(c: Column) -> Column:
     """P1: '', 'nan', 'None', 'NaN', '"NaN"' and NULL all mean "missing"."""
     return F.when(~F.trim(c).isin("", "nan", "None", "NaN", '"NaN"', "null"), c)
@@ -59,7 +64,7 @@ def strip_urls(c: Column) -> Column:
 
 def is_only_url(c: Column) -> Column:
     """Text is non-blank and consists of URLs and whitespace only."""
-    return F.coalesce((F.trim(c) != "") & (F.trim(strip_urls(c)) == ""), F.lit(False))
+    return ~is_blank(c) & is_blank(strip_urls(c))
 
 
 def url_without_context(c: Column, min_words: int = 5) -> Column:
@@ -71,8 +76,7 @@ def url_without_context(c: Column, min_words: int = 5) -> Column:
 
 def is_only_emoji(c: Column) -> Column:
     """Non-blank text made only of emoji code points and whitespace."""
-    rest = F.regexp_replace(c, EMOJI_CLASS, "")
-    return F.coalesce((F.trim(c) != "") & (F.trim(rest) == ""), F.lit(False))
+    return ~is_blank(c) & is_blank(F.regexp_replace(c, EMOJI_CLASS, ""))
 
 
 def strip_html(c: Column) -> Column:
