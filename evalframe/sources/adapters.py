@@ -185,7 +185,7 @@ PAGE_POSTS_SQL = """page_posts AS (
 def results_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One scored item per event: user x condition x task x round."""
     e = table(spark, sf_dir, "events")
-    day = F.dayofmonth("ts")
+    day = F.dayofmonth("ts").cast("bigint")
     return e.select(
         F.col("user_id").cast("string").alias("user_id"),
         F.col("event_type").alias("condition"),
@@ -202,7 +202,7 @@ def results_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 RESULTS_SQL = """results AS (
   SELECT CAST(user_id AS VARCHAR) AS user_id, event_type AS condition,
          CASE WHEN event_id % 2 = 0 THEN 'post' ELSE 'reply' END AS task,
-         CAST(dayofmonth(ts) AS INTEGER) AS round,
+         CAST(dayofmonth(ts) AS BIGINT) AS round,
          'baseline_' || event_type || '_round_' || CAST(dayofmonth(ts) AS VARCHAR) AS run_id,
          event_id AS item, value AS score, ts, props
   FROM events)"""
