@@ -35,12 +35,15 @@ def gram_array(tokens: Column, orders: Sequence[tuple[int, int]], side: int) ->
 
 
 def overlap_counts(pairs: DataFrame, key_cols: Sequence[str],
-                   token_sets: dict[str, tuple[Column, Column, Sequence[int]]]) -> DataFrame:
+                   token_sets: dict[str, tuple[Column, Column, Sequence[int]]],
+                   cosine: Sequence[str] = ()) -> DataFrame:
     """Clipped n-gram overlaps per pair.
 
     ``token_sets`` maps a prefix (e.g. ``"r"`` for ROUGE tokens) to
     ``(pred_tokens, ref_tokens, orders)``; the result has one column
-    ``{prefix}_m{n}`` per order, plus the key columns.  Pairs without any
+    ``{prefix}_m{n}`` per order, plus the key columns.  For every prefix in
+    ``cosine`` the unigram term-frequency dot product and squared norms are
+    added as ``{prefix}_dot``, ``{prefix}_np2``, ``{prefix}_nr2``.  Pairs without any
     overlap still get a row (a sentinel gram with code 0 keeps every pair,
     including pairs whose texts are both empty).
     """
@@ -62,4 +65,10 @@ def overlap_counts(pairs: DataFrame, key_cols: Sequence[str],
                       F.count_if(F.col("g.side") == 2).alias("cr")))
     ov = F.least("cp", "cr")
     aggs = [F.sum(F.when(F.col("code") == c, ov).otherwise(0)).alias(f"{p}_m{n}") for c, n, p in specs]
+    for c, n, p in specs:
+        if p in cosine and n == 1:
+            uni = F.col("code") == c
+            aggs += [F.sum(F.when(uni, F.col("cp") * F.col("cr")).otherwise(0)).alias(f"{p}_dot"),
+                     F.sum(F.when(uni, F.col("cp") * F.col("cp")).otherwise(0)).alias(f"{p}_np2"),
+                     F.sum(F.when(uni, F.col("cr") * F.col("cr")).otherwise(0)).alias(f"{p}_nr2")]
     return per_gram.groupBy(*key_cols).agg(*aggs)

@@ -104,7 +104,8 @@ def pairs_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
                  (conv % 10).cast("string").alias("user_id"),
                  F.concat(_strategy(conv), F.lit("_round_"), rnd.cast("string")).alias("run_id"),
                  (conv * 100 + turn).alias("index"),
-                 (conv * 100 + turn).cast("string").alias("tweet_id"),
+                 # the item is keyed by the original (reference) post it imitates
+                 (conv * 100 + turn - 1).cast("string").alias("tweet_id"),
                  F.col("text").alias("prediction"),
                  F.col("reference"),
              ))
@@ -114,7 +115,7 @@ PAIRS_SQL = f"""pairs AS (
   SELECT CAST(conv_id % 10 AS VARCHAR) AS user_id,
          {_strategy_sql('conv_id')} || '_round_' || CAST(1 + (conv_id // 6) % 4 AS VARCHAR) AS run_id,
          conv_id * 100 + turn AS index,
-         CAST(conv_id * 100 + turn AS VARCHAR) AS tweet_id,
+         CAST(conv_id * 100 + turn - 1 AS VARCHAR) AS tweet_id,
          text AS prediction,
          reference
   FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reference,
