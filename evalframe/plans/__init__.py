@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 # plan modules, in catalogue order
-MODULES = ["scoring", "cleaning", "analysis", "stats", "runs", "quality", "masking", "prompts"]
+MODULES = ["scoring", "cleaning", "analysis", "stats", "runs", "quality", "masking", "prompts", "patterns"]
 
 
 def _load():
