@@ -45,17 +45,22 @@ def lexicon_table(spark, words: Sequence[str] = tuple(HIGH_PRIORITY_LEXICON)) ->
     return spark.createDataFrame([(w,) for w in words], "word string")
 
 
-def lexicon_map(lexicon: DataFrame, word_col: str = "word") -> DataFrame:
-    """One row holding ``map<word, true>`` of the lower-cased lexicon."""
-    w = F.lower(F.col(word_col))
-    return lexicon.agg(F.map_from_arrays(F.array_sort(F.collect_set(w)),
-                                         F.array_repeat(F.lit(True), F.size(F.collect_set(w))))
-                       .alias("_lex"))
+def lexicon_pattern(lexicon: DataFrame, word_col: str = "word") -> DataFrame:
+    """One row holding the lexicon as a single case-insensitive regex that
+    matches a whole space-delimited token: `` (?:w1|w2|...)(?= )``.
+
+    Built on the executors from the (bounded) lexicon table; Spark compiles
+    it once per task.  A Spark map lookup would scan every key per token.
+    """
+    words = F.sort_array(F.collect_set(F.lower(F.col(word_col))))
+    alt = F.array_join(F.transform(words, lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), "|")
+    pat = F.when(F.size(words) > 0, F.concat(F.lit("(?iu) (?:"), alt, F.lit(")(?= )"))).otherwise(F.lit("(?!)"))
+    return lexicon.agg(pat.alias("_lexre"))
 
 
 def attach_lexicon(df: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Broadcast the one-row lexicon map onto every row (constant-key join)."""
-    lex = F.broadcast(lexicon_map(lexicon).withColumn("_k", F.lit(1)))
+    """Broadcast the one-row lexicon pattern onto every row (constant-key join)."""
+    lex = F.broadcast(lexicon_pattern(lexicon).withColumn("_k", F.lit(1)))
     return df.withColumn("_k", F.lit(1)).join(lex, "_k").drop("_k")
 
 
@@ -64,42 +69,44 @@ def _is_blank(text: Column) -> Column:
     return F.coalesce(text == "", F.lit(True))
 
 
-def deterministic_mask(text: Column, lex: Column | None = None) -> Column:
-    """K1: lexicon tokens -> [MASKED], tokens joined by one space; empty or
-    URL-only text -> [MASKED]."""
-    lex = F.col("_lex") if lex is None else lex
-    masked = F.transform(tokens(text), lambda t: F.when(F.coalesce(F.try_element_at(lex, F.lower(t)), F.lit(False)),
-                                                        F.lit(MASK_TOKEN)).otherwise(t))
+def rule_masked_tokens(text: Column, lexre: Column | None = None) -> Column:
+    """Tokens joined by one space with every lexicon token replaced by [MASKED]."""
+    lexre = F.col("_lexre") if lexre is None else lexre
+    joined = F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" "))
+    return F.regexp_replace(F.regexp_replace(joined, lexre, F.lit(" " + MASK_TOKEN)), "^ | $", "")
+
+
+def deterministic_mask(text: Column, lexre: Column | None = None) -> Column:
+    """K1: lexicon tokens -> [MASKED] (case-insensitive), tokens joined by one
+    space; empty or URL-only text -> [MASKED]."""
     url_only = F.coalesce(text.rlike(URL_ONLY_PATTERN), F.lit(False))
-    return F.when(_is_blank(text) | url_only, F.lit(MASK_TOKEN)).otherwise(F.array_join(masked, " "))
+    return F.when(_is_blank(text) | url_only, F.lit(MASK_TOKEN)).otherwise(rule_masked_tokens(text, lexre))
 
 
-def union_mask(text: Column, model_text: Column, lex: Column | None = None) -> Column:
+def union_mask(text: Column, model_text: Column, lexre: Column | None = None) -> Column:
     """K2 + K3: rule positions union the positions a model masked (model
     ignored when its whitespace token count differs); if nothing is masked,
     the last word-like token (else the last token) is masked.
 
-    Arrays are combined element-wise with ``zip_with`` / ``arrays_zip``
-    (never indexed from inside a lambda), so each row costs O(tokens).
+    Arrays are combined element-wise with ``zip_with`` (never indexed from
+    inside a lambda), so each row costs O(tokens).
     """
-    lex = F.col("_lex") if lex is None else lex
     toks = tokens(text)
+    rule_toks = F.split(rule_masked_tokens(text, lexre), " ")
     model = F.filter(F.split(F.coalesce(model_text, F.lit("")), r"\s+"), lambda w: w != "")
-    rule = F.transform(toks, lambda t: F.coalesce(F.try_element_at(lex, F.lower(t)), F.lit(False)))
     by_model = F.when(F.size(model) == F.size(toks),
                       F.zip_with(toks, model, lambda t, m: (m == MASK_TOKEN) & (t != MASK_TOKEN))) \
         .otherwise(F.transform(toks, lambda t: F.lit(False)))
-    hit = F.zip_with(rule, by_model, lambda a, b: a | b)
+    hit = F.zip_with(rule_toks, by_model, lambda r, b: (r == MASK_TOKEN) | b)
     # failsafe position: last word-like token, else the last token (0-based)
     last_word = F.aggregate(F.transform(toks, lambda t, i: F.when(t.rlike(WORD_PATTERN), i).otherwise(-1)),
                             F.lit(-1), lambda acc, x: F.greatest(acc, x))
     last = F.when(last_word >= 0, last_word).otherwise(F.size(toks) - 1)
     # the failsafe splices the mask in with slices (``last`` never enters a lambda)
-    failsafe = F.when(F.size(toks) == 0, toks).otherwise(F.concat(
-        F.slice(toks, 1, F.greatest(last, F.lit(0))), F.array(F.lit(MASK_TOKEN)),
-        F.slice(toks, last + 2, F.greatest(F.size(toks), F.lit(1)))))
-    masked = F.when(F.exists(hit, lambda h: h),
-                    F.zip_with(toks, hit, lambda t, h: F.when(h, F.lit(MASK_TOKEN)).otherwise(t))) \
+    failsafe = F.concat(F.slice(toks, 1, F.greatest(last, F.lit(0))), F.array(F.lit(MASK_TOKEN)),
+                        F.slice(toks, last + 2, F.greatest(F.size(toks), F.lit(1))))
+    masked = F.when(F.size(toks) == 0, toks).when(
+        F.exists(hit, lambda h: h), F.zip_with(toks, hit, lambda t, h: F.when(h, F.lit(MASK_TOKEN)).otherwise(t))) \
         .otherwise(failsafe)
     url_only = F.coalesce(text.rlike(URL_ONLY_PATTERN), F.lit(False))
     return F.when(_is_blank(text) | url_only, F.lit(MASK_TOKEN)).otherwise(F.array_join(masked, " "))

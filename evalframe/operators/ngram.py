@@ -1,17 +1,20 @@
-"""Shared n-gram overlap job (M1 ROUGE-N, M3 BLEU).
+"""Shared n-gram overlap job (M1 ROUGE-N, M3 BLEU, lexical cosine).
 
-One explode + two aggregations compute, for every pair and every requested
-(tokeniser, order), the clipped overlap ``sum_g min(count_pred(g), count_ref(g))``.
+One projection builds every gram array (regex n-grams, code-generated), two
+plain ``explode``s turn them into (pair, gram-set, gram) rows, and two
+aggregations give, per pair and gram set, the clipped overlap
+``sum_g min(count_pred(g), count_ref(g))`` and the gram totals (the totals
+of order 1 are the token counts, so lengths need no second pass).
 
 Plan shape (see ``explain``):
-  scan -> project(tokens) -> Generate(explode grams) -> HashAggregate(partial)
-  -> Exchange(hash pair,order,gram) -> HashAggregate(final)
+  scan -> project(tokens, grams) -> Generate(posexplode) -> Generate(explode_outer)
+  -> HashAggregate(partial) -> Exchange(hash pair, set, gram) -> HashAggregate(final)
   -> HashAggregate(partial by pair) -> Exchange(hash pair) -> HashAggregate(final)
 
-The first shuffle is keyed by the gram, so one very long text (or one hot
-pair) is spread over all reducers; the map-side partial aggregate collapses
-repeated grams before anything is shuffled.  Pair texts never travel through
-a shuffle: only keys and the per-pair overlap counts do.
+Only the pair key and the gram travel through the shuffles; the first one is
+keyed by the gram as well, so one very long text (or a hot pair) is spread
+over all reducers, and the map-side partial aggregate collapses repeated
+grams first.  Every pair survives (``explode_outer`` keeps empty gram sets).
 """
 
 from __future__ import annotations
@@ -24,51 +27,35 @@ from pyspark.sql import functions as F
 from evalframe.functions.text import ngrams
 
 
-def gram_array(tokens: Column, orders: Sequence[tuple[int, int]], side: int) -> Column:
-    """array<struct<code,gram,side>> for every (code, n) in ``orders``."""
-    def tagger(code: int):
-        # one-argument lambda: F.transform treats a 2-arg lambda as (elem, index)
-        return lambda g: F.struct(F.lit(code).alias("code"), g.alias("gram"), F.lit(side).alias("side"))
-
-    parts = [F.transform(ngrams(tokens, n), tagger(code)) for code, n in orders]
-    return F.flatten(F.array(*parts)) if len(parts) > 1 else parts[0]
-
-
 def overlap_counts(pairs: DataFrame, key_cols: Sequence[str],
                    token_sets: dict[str, tuple[Column, Column, Sequence[int]]],
                    cosine: Sequence[str] = ()) -> DataFrame:
-    """Clipped n-gram overlaps per pair.
-
-    ``token_sets`` maps a prefix (e.g. ``"r"`` for ROUGE tokens) to
-    ``(pred_tokens, ref_tokens, orders)``; the result has one column
-    ``{prefix}_m{n}`` per order, plus the key columns.  For every prefix in
-    ``cosine`` the unigram term-frequency dot product and squared norms are
-    added as ``{prefix}_dot``, ``{prefix}_np2``, ``{prefix}_nr2``.  Pairs without any
-    overlap still get a row (a sentinel gram with code 0 keeps every pair,
-    including pairs whose texts are both empty).
+    """Per pair: ``{prefix}_m{n}`` clipped overlaps, ``{prefix}_p{n}`` /
+    ``{prefix}_r{n}`` gram totals of the prediction / reference side, and for
+    prefixes in ``cosine`` the unigram term-frequency dot product and squared
+    norms ``{prefix}_dot``, ``{prefix}_np2``, ``{prefix}_nr2``.
     """
-    specs = []          # (code, n, prefix)
-    arrays = []
-    code = 0
+    arrays, specs = [], []           # specs[j] = (prefix, n); arrays[2j] pred, arrays[2j+1] ref
     for prefix, (pt, rt, orders) in token_sets.items():
-        ords = []
         for n in orders:
-            code += 1
-            specs.append((code, n, prefix))
-            ords.append((code, n))
-        arrays.append(gram_array(pt, ords, 1))
-        arrays.append(gram_array(rt, ords, 2))
-    sentinel = F.array(F.struct(F.lit(0).alias("code"), F.lit("").alias("gram"), F.lit(0).alias("side")))
-    g = pairs.select(*key_cols, F.explode(F.concat(*arrays, sentinel)).alias("g"))
-    per_gram = (g.groupBy(*key_cols, F.col("g.code").alias("code"), F.col("g.gram").alias("gram"))
-                 .agg(F.count_if(F.col("g.side") == 1).alias("cp"),
-                      F.count_if(F.col("g.side") == 2).alias("cr")))
-    ov = F.least("cp", "cr")
-    aggs = [F.sum(F.when(F.col("code") == c, ov).otherwise(0)).alias(f"{p}_m{n}") for c, n, p in specs]
-    for c, n, p in specs:
+            specs.append((prefix, n))
+            arrays += [ngrams(pt, n), ngrams(rt, n)]
+    key = list(key_cols)
+    sets = pairs.select(*key, F.posexplode(F.array(*arrays)).alias("ci", "arr"))
+    grams = sets.select(*key, (F.col("ci") / 2).cast("int").alias("gs"), (F.col("ci") % 2).alias("side"),
+                        F.explode_outer("arr").alias("gram"))
+    present = F.col("gram").isNotNull()
+    per_gram = grams.groupBy(*key, "gs", "gram").agg(
+        F.count_if(present & (F.col("side") == 0)).alias("cp"),
+        F.count_if(present & (F.col("side") == 1)).alias("cr"))
+    aggs = []
+    for j, (p, n) in enumerate(specs):
+        this = F.col("gs") == j
+        aggs += [F.sum(F.when(this, F.least("cp", "cr")).otherwise(0)).alias(f"{p}_m{n}"),
+                 F.sum(F.when(this, F.col("cp")).otherwise(0)).alias(f"{p}_p{n}"),
+                 F.sum(F.when(this, F.col("cr")).otherwise(0)).alias(f"{p}_r{n}")]
         if p in cosine and n == 1:
-            uni = F.col("code") == c
-            aggs += [F.sum(F.when(uni, F.col("cp") * F.col("cr")).otherwise(0)).alias(f"{p}_dot"),
-                     F.sum(F.when(uni, F.col("cp") * F.col("cp")).otherwise(0)).alias(f"{p}_np2"),
-                     F.sum(F.when(uni, F.col("cr") * F.col("cr")).otherwise(0)).alias(f"{p}_nr2")]
-    return per_gram.groupBy(*key_cols).agg(*aggs)
+            aggs += [F.sum(F.when(this, F.col("cp") * F.col("cr")).otherwise(0)).alias(f"{p}_dot"),
+                     F.sum(F.when(this, F.col("cp") * F.col("cp")).otherwise(0)).alias(f"{p}_np2"),
+                     F.sum(F.when(this, F.col("cr") * F.col("cr")).otherwise(0)).alias(f"{p}_nr2")]
+    return per_gram.groupBy(*key).agg(*aggs)

@@ -66,58 +66,55 @@ def bleu_from_counts(m: Sequence[Column], tl: Column, rl: Column,
 def score_pairs(pairs: DataFrame, key_cols: Sequence[str] = DEFAULT_KEY,
                 metrics: Sequence[str] = ("rouge", "bleu"),
                 carry: Sequence[str] = ("tweet_id",),
-                rouge_l: bool = True) -> DataFrame:
+                rouge_l: bool = True, wide: Sequence[str] = ()) -> DataFrame:
     """Per-pair ROUGE-1/2/L F1 and BLEU (with precisions, BP, lengths).
 
     ``metrics`` is the configured metric list (M14): only the requested
-    token streams, n-gram orders and UDFs are planned.
+    token streams, n-gram orders and UDFs are planned.  ``carry`` columns
+    (small, e.g. ids) ride along with the pair key through the n-gram
+    shuffle; ``wide`` columns (e.g. the texts) and the ROUGE-L LCS are joined
+    back once per pair, never copied onto gram rows.
     """
     wanted = {METRIC_ALIASES.get(m, m) for m in metrics}
-    key_cols = list(key_cols)
-    carry = [c for c in carry if c in pairs.columns and c not in key_cols]
-    base = pairs.select(*key_cols, *carry, "prediction", "reference")
+    key = list(key_cols)
+    carry = [c for c in carry if c in pairs.columns and c not in key]
+    wide = [c for c in wide if c in pairs.columns and c not in key and c not in carry]
+    base = pairs.select(*key, *carry, *[c for c in wide if c not in ("prediction", "reference")],
+                        "prediction", "reference")
     token_sets = {}
-    extra = []
     if "rouge" in wanted:
-        base = base.withColumn("_rp", rouge_tokens(F.col("prediction"))) \
-                   .withColumn("_rr", rouge_tokens(F.col("reference")))
-        token_sets["r"] = (F.col("_rp"), F.col("_rr"), (1, 2))
-        extra += [("r_lp", F.size("_rp")), ("r_lr", F.size("_rr"))]
-        if rouge_l:
-            extra.append(("r_lcs", lcs(F.col("_rp"), F.col("_rr"))))
+        token_sets["r"] = (rouge_tokens(F.col("prediction")), rouge_tokens(F.col("reference")), (1, 2))
     if "bleu" in wanted:
-        base = base.withColumn("_bp", bleu_tokens(F.col("prediction"))) \
-                   .withColumn("_br", bleu_tokens(F.col("reference")))
-        token_sets["b"] = (F.col("_bp"), F.col("_br"), tuple(range(1, BLEU_MAX_ORDER + 1)))
-        extra += [("b_lp", F.size("_bp")), ("b_lr", F.size("_br"))]
+        token_sets["b"] = (bleu_tokens(F.col("prediction")), bleu_tokens(F.col("reference")),
+                           tuple(range(1, BLEU_MAX_ORDER + 1)))
     if not token_sets:
-        return pairs.select(*key_cols, *carry)
-    # every per-pair scalar rides along as a grouping column, so no join back
-    # to the (wide) pair table is needed and empty pairs survive.
-    group = key_cols + carry + [name for name, _ in extra]
-    base = base.select("*", *[c.alias(name) for name, c in extra])
-    counts = overlap_counts(base, group, token_sets)
-    out = [F.col(c) for c in key_cols + carry]
+        return pairs.select(*key, *carry, *wide)
+    counts = overlap_counts(base, key + carry, token_sets)
+    side_cols = list(wide)
+    if "rouge" in wanted and rouge_l:
+        side_cols.append("r_lcs")
+        base = base.withColumn("r_lcs", lcs(rouge_tokens(F.col("prediction")), rouge_tokens(F.col("reference"))))
+    if side_cols:
+        counts = counts.join(base.select(*key, *side_cols), key)
+    out = [F.col(c) for c in key + carry + wide]
     if "rouge" in wanted:
-        lp, lr = F.col("r_lp"), F.col("r_lr")
+        lp, lr = F.col("r_p1"), F.col("r_r1")
         for n in (1, 2):
-            m = F.coalesce(F.col(f"r_m{n}"), F.lit(0))
-            cp = F.greatest(lp - (n - 1), F.lit(0))
-            cr = F.greatest(lr - (n - 1), F.lit(0))
-            p = _div(m, F.greatest(cp, F.lit(1)))
-            r = _div(m, F.greatest(cr, F.lit(1)))
+            m = F.col(f"r_m{n}")
+            p = _div(m, F.greatest(F.col(f"r_p{n}"), F.lit(1)))
+            r = _div(m, F.greatest(F.col(f"r_r{n}"), F.lit(1)))
             out.append(_f1(p, r).alias(f"rouge{n}"))
         if rouge_l:
             lc = F.col("r_lcs")
             ok = (lp > 0) & (lr > 0)
             out.append(F.when(ok, _f1(_div(lc, lp), _div(lc, lr))).otherwise(F.lit(0.0)).alias("rougeL"))
     if "bleu" in wanted:
-        m = [F.coalesce(F.col(f"b_m{n}"), F.lit(0)) for n in range(1, BLEU_MAX_ORDER + 1)]
-        parts = bleu_from_counts(m, F.col("b_lp"), F.col("b_lr"))
+        m = [F.col(f"b_m{n}") for n in range(1, BLEU_MAX_ORDER + 1)]
+        parts = bleu_from_counts(m, F.col("b_p1"), F.col("b_r1"))
         out += [parts["bleu"].alias("bleu"), parts["precisions"].alias("bleu_precisions"),
                 parts["brevity_penalty"].alias("brevity_penalty"),
                 parts["length_ratio"].alias("length_ratio"),
-                F.col("b_lp").alias("translation_length"), F.col("b_lr").alias("reference_length")]
+                F.col("b_p1").alias("translation_length"), F.col("b_r1").alias("reference_length")]
         out += [F.col(f"b_m{n}").alias(f"bleu_m{n}") for n in range(1, BLEU_MAX_ORDER + 1)]
     return counts.select(*out)
 

@@ -194,7 +194,7 @@ def reflection_prompt(spark, sf_dir):
     """G7 + J13: run persona, best / worst predictions with their originals and
     the metric lines of the run, per evaluated run."""
     pairs = A.pairs_from_conversations(spark, sf_dir)
-    sc = S.combined_score(S.score_pairs(pairs, carry=("tweet_id", "prediction", "reference")))
+    sc = S.combined_score(S.score_pairs(pairs, wide=("prediction", "reference")))
     bw = S.best_worst(sc, carry=("prediction", "reference"))
     lists = bw.groupBy("user_id", "run_id").agg(F.sort_array(F.collect_list(F.struct("list", "rank", "prediction",
                                                                                       "reference"))).alias("_l"))

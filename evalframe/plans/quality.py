@@ -51,7 +51,7 @@ def items(spark, sf_dir):
     look = CL.conv_cleaned(spark, sf_dir).select(
         F.col("tweet_id").alias("_tid"), F.col("user_id").alias("_uid"),
         F.when(F.col("reply_to_id").isNull(), F.lit("post")).otherwise(F.lit("reply")).alias("task"))
-    scored = S.score_pairs(pairs, rouge_l=False, carry=("tweet_id", "prediction", "reference"))
+    scored = S.score_pairs(pairs, rouge_l=False, wide=("prediction", "reference"))
     it = scored.join(look, (scored["tweet_id"] == look["_tid"]) & (scored["user_id"] == look["_uid"]), "left") \
         .drop("_tid", "_uid")
     pres = RP.presence(spark, sf_dir).drop("items")
