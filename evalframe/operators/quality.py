@@ -138,23 +138,26 @@ def judge_parse(response: Column) -> list[Column]:
 def bigram_perplexity(docs: DataFrame, key: str, text: str, k: float = 1.0) -> DataFrame:
     """Perplexity of each text under a bigram LM estimated on all texts.
 
-    p(w | v) = (c(v, w) + k) / (c(v) + k * V).  Counts are grouped
-    aggregates; each text's bigrams are joined to them by key (a hot bigram
-    is a skewed join key on the occurrence side only -> AQE skew split).
-    Texts with fewer than two tokens get null.
+    p(w | v) = (c(v, w) + k) / (c(v) + k * V).  Every branch starts from
+    the same (text, bigram) count table -- one explode and one exchange that
+    Spark reuses -- from which the bigram counts, the context counts and the
+    per-text sums are derived.  A hot bigram is a skewed join key on the
+    occurrence side only (AQE skew split).  Texts with fewer than two tokens
+    get null.
     """
     toks = docs.select(key, rouge_tokens(F.col(text)).alias("t"))
-    uni = toks.select(F.explode("t").alias("w"))
-    vocab = uni.agg(F.countDistinct("w").alias("vocab_size"))
-    big = toks.select(key, F.explode(ngrams(F.col("t"), 2)).alias("bg")) \
-        .select(key, "bg", F.split("bg", " ")[0].alias("v"))
-    ctx = big.groupBy("v").agg(F.count(F.lit(1)).alias("cv"))
-    cvw = big.groupBy("bg").agg(F.count(F.lit(1)).alias("cvw"))
+    vocab = toks.select(F.explode("t").alias("w")).agg(F.countDistinct("w").alias("vocab_size"))
+    occ = (toks.select(key, F.explode(ngrams(F.col("t"), 2)).alias("bg"))
+               .groupBy(key, "bg").agg(F.count(F.lit(1)).alias("n")))
+    occ = occ.withColumn("v", F.substring_index("bg", " ", 1))
+    cvw = occ.groupBy("bg").agg(F.sum("n").alias("cvw"))
+    ctx = occ.groupBy("v").agg(F.sum("n").alias("cv"))
     # V is a one-row aggregate: joined on a constant key (a broadcast of one row)
-    occ = (big.join(cvw, "bg").join(ctx, "v").withColumn("_k", F.lit(1))
-              .join(F.broadcast(vocab.withColumn("_k", F.lit(1))), "_k").drop("_k"))
+    j = (occ.join(cvw, "bg").join(ctx, "v").withColumn("_k", F.lit(1))
+            .join(F.broadcast(vocab.withColumn("_k", F.lit(1))), "_k").drop("_k"))
     lp = F.log((F.col("cvw") + k) / (F.col("cv") + k * F.col("vocab_size")))
-    per = occ.groupBy(key).agg(F.avg(lp).alias("avg_log_p"), F.count(F.lit(1)).alias("n_bigrams"))
+    per = j.groupBy(key).agg((F.sum(F.col("n") * lp) / F.sum("n")).alias("avg_log_p"),
+                             F.sum("n").alias("n_bigrams"))
     out = docs.select(key).join(per, key, "left")
     return out.select(key, F.exp(-F.col("avg_log_p")).alias("perplexity"),
                       F.coalesce("n_bigrams", F.lit(0)).alias("n_bigrams"))

@@ -36,14 +36,16 @@ def _div(a: Column, b: Column) -> Column:
     return a.cast("double") / b.cast("double")
 
 
-def bleu_from_counts(m: Sequence[Column], tl: Column, rl: Column,
+def bleu_from_counts(m: Sequence[Column], possible: Sequence[Column], tl: Column, rl: Column,
                      max_order: int = BLEU_MAX_ORDER) -> dict[str, Column]:
-    """BLEU from clipped matches ``m[n-1]`` and lengths (no smoothing).
+    """BLEU from clipped matches ``m[n-1]``, possible matches ``possible[n-1]``
+    (number of prediction n-grams) and lengths (no smoothing).
 
-    Works for one pair and for summed corpus counts alike.  Null when either
-    length is 0 (the reference implementation raises there).
+    Works for one pair and for summed corpus counts alike (possible matches
+    are summed per pair, never derived from the summed length).  Null when
+    either length is 0 (the reference implementation raises there).
     """
-    prec = [F.when(tl - n + 1 > 0, _div(m[n - 1], tl - n + 1)).otherwise(F.lit(0.0))
+    prec = [F.when(possible[n - 1] > 0, _div(m[n - 1], possible[n - 1])).otherwise(F.lit(0.0))
             for n in range(1, max_order + 1)]
     log_sum = None
     for p in prec:
@@ -110,12 +112,14 @@ def score_pairs(pairs: DataFrame, key_cols: Sequence[str] = DEFAULT_KEY,
             out.append(F.when(ok, _f1(_div(lc, lp), _div(lc, lr))).otherwise(F.lit(0.0)).alias("rougeL"))
     if "bleu" in wanted:
         m = [F.col(f"b_m{n}") for n in range(1, BLEU_MAX_ORDER + 1)]
-        parts = bleu_from_counts(m, F.col("b_p1"), F.col("b_r1"))
+        poss = [F.col(f"b_p{n}") for n in range(1, BLEU_MAX_ORDER + 1)]
+        parts = bleu_from_counts(m, poss, F.col("b_p1"), F.col("b_r1"))
         out += [parts["bleu"].alias("bleu"), parts["precisions"].alias("bleu_precisions"),
                 parts["brevity_penalty"].alias("brevity_penalty"),
                 parts["length_ratio"].alias("length_ratio"),
                 F.col("b_p1").alias("translation_length"), F.col("b_r1").alias("reference_length")]
         out += [F.col(f"b_m{n}").alias(f"bleu_m{n}") for n in range(1, BLEU_MAX_ORDER + 1)]
+        out += [F.col(f"b_p{n}").alias(f"bleu_p{n}") for n in range(1, BLEU_MAX_ORDER + 1)]
     return counts.select(*out)
 
 
@@ -128,17 +132,20 @@ def bleu_corpus(scored: DataFrame, group_cols: Sequence[str] = ("user_id", "run_
     """
     sums = [F.sum(F.coalesce(F.col(f"bleu_m{n}"), F.lit(0))).alias(f"m{n}")
             for n in range(1, BLEU_MAX_ORDER + 1)]
+    sums += [F.sum(F.coalesce(F.col(f"bleu_p{n}"), F.lit(0))).alias(f"p{n}")
+             for n in range(1, BLEU_MAX_ORDER + 1)]
     agg = scored.groupBy(*group_cols).agg(
         *sums, F.sum("translation_length").alias("tl"), F.sum("reference_length").alias("rl"),
         F.count(F.lit(1)).alias("total_samples"), *extra_aggs)
     parts = bleu_from_counts([F.col(f"m{n}") for n in range(1, BLEU_MAX_ORDER + 1)],
+                             [F.col(f"p{n}") for n in range(1, BLEU_MAX_ORDER + 1)],
                              F.col("tl"), F.col("rl"))
     return agg.select(*group_cols, parts["bleu"].alias("bleu"),
                       parts["brevity_penalty"].alias("brevity_penalty"),
                       parts["length_ratio"].alias("length_ratio"),
                       *[parts["precisions"][i].alias(f"precision_{i + 1}") for i in range(BLEU_MAX_ORDER)],
                       F.col("tl").alias("translation_length"), F.col("rl").alias("reference_length"),
-                      "total_samples", *[F.col(n) for n in agg.columns[len(group_cols) + 7:]])
+                      "total_samples", *[F.col(n) for n in agg.columns[len(group_cols) + 11:]])
 
 
 def combined_score(df: DataFrame, weights: dict[str, float] | None = None,

@@ -178,11 +178,12 @@ def missing_metric_fill(spark, sf_dir):
 lack AS (SELECT user_id, run_id FROM pres WHERE NOT has_bleu AND items > 0),
 it AS (SELECT sc.* FROM sc JOIN lack ON sc.user_id = lack.user_id AND sc.run_id = lack.run_id),
 agg AS (SELECT user_id, run_id, sum(bm1) AS m1, sum(bm2) AS m2, sum(bm3) AS m3, sum(bm4) AS m4,
+    sum(bp1) AS q1, sum(bp2) AS q2, sum(bp3) AS q3, sum(bp4) AS q4,
     sum(tl) AS tl, sum(rl) AS rl FROM it GROUP BY ALL),
-pr AS (SELECT *, CASE WHEN tl > 0 THEN CAST(m1 AS DOUBLE) / tl ELSE 0.0 END AS p1,
-    CASE WHEN tl - 1 > 0 THEN CAST(m2 AS DOUBLE) / (tl - 1) ELSE 0.0 END AS p2,
-    CASE WHEN tl - 2 > 0 THEN CAST(m3 AS DOUBLE) / (tl - 2) ELSE 0.0 END AS p3,
-    CASE WHEN tl - 3 > 0 THEN CAST(m4 AS DOUBLE) / (tl - 3) ELSE 0.0 END AS p4,
+pr AS (SELECT *, CASE WHEN q1 > 0 THEN CAST(m1 AS DOUBLE) / q1 ELSE 0.0 END AS p1,
+    CASE WHEN q2 > 0 THEN CAST(m2 AS DOUBLE) / q2 ELSE 0.0 END AS p2,
+    CASE WHEN q3 > 0 THEN CAST(m3 AS DOUBLE) / q3 ELSE 0.0 END AS p3,
+    CASE WHEN q4 > 0 THEN CAST(m4 AS DOUBLE) / q4 ELSE 0.0 END AS p4,
     CAST(tl AS DOUBLE) / rl AS ratio FROM agg),
 ovb AS (SELECT user_id, run_id, CASE WHEN tl > 0 AND rl > 0 THEN (CASE WHEN least(p1, p2, p3, p4) > 0
      THEN exp(0.25 * ln(p1) + 0.25 * ln(p2) + 0.25 * ln(p3) + 0.25 * ln(p4)) ELSE 0.0 END)

@@ -45,12 +45,13 @@ def bleu_item(spark, sf_dir):
 
 
 _CORPUS = _SC + """, agg AS (SELECT user_id, run_id, CAST(sum(bm1) AS BIGINT) AS m1, CAST(sum(bm2) AS BIGINT) AS m2,
-    CAST(sum(bm3) AS BIGINT) AS m3, CAST(sum(bm4) AS BIGINT) AS m4, CAST(sum(tl) AS BIGINT) AS tl,
+    CAST(sum(bm3) AS BIGINT) AS m3, CAST(sum(bm4) AS BIGINT) AS m4, CAST(sum(bp1) AS BIGINT) AS q1, CAST(sum(bp2) AS BIGINT) AS q2,
+    CAST(sum(bp3) AS BIGINT) AS q3, CAST(sum(bp4) AS BIGINT) AS q4, CAST(sum(tl) AS BIGINT) AS tl,
     CAST(sum(rl) AS BIGINT) AS rl, count(*) AS total_samples FROM sc GROUP BY ALL),
-pr AS (SELECT *, CASE WHEN tl > 0 THEN CAST(m1 AS DOUBLE) / tl ELSE 0.0 END AS p1,
-    CASE WHEN tl - 1 > 0 THEN CAST(m2 AS DOUBLE) / (tl - 1) ELSE 0.0 END AS p2,
-    CASE WHEN tl - 2 > 0 THEN CAST(m3 AS DOUBLE) / (tl - 2) ELSE 0.0 END AS p3,
-    CASE WHEN tl - 3 > 0 THEN CAST(m4 AS DOUBLE) / (tl - 3) ELSE 0.0 END AS p4,
+pr AS (SELECT *, CASE WHEN q1 > 0 THEN CAST(m1 AS DOUBLE) / q1 ELSE 0.0 END AS p1,
+    CASE WHEN q2 > 0 THEN CAST(m2 AS DOUBLE) / q2 ELSE 0.0 END AS p2,
+    CASE WHEN q3 > 0 THEN CAST(m3 AS DOUBLE) / q3 ELSE 0.0 END AS p3,
+    CASE WHEN q4 > 0 THEN CAST(m4 AS DOUBLE) / q4 ELSE 0.0 END AS p4,
     CAST(tl AS DOUBLE) / rl AS ratio FROM agg)
 SELECT user_id, run_id,
   round(CASE WHEN tl > 0 AND rl > 0 THEN (CASE WHEN least(p1, p2, p3, p4) > 0

@@ -38,8 +38,7 @@ def pair_scores_sql(pairs_cte: str, key: str = '"index"') -> str:
         r = f"(CAST({mm} AS DOUBLE) / greatest({lr}, 1))"
         return f"CASE WHEN {p} + {r} > 0 THEN 2 * {p} * {r} / ({p} + {r}) ELSE 0.0 END"
 
-    prec = {n: f"CASE WHEN tl - {n} + 1 > 0 THEN CAST(bm{n} AS DOUBLE) / (tl - {n} + 1) ELSE 0.0 END"
-            for n in range(1, 5)}
+    prec = {n: f"CASE WHEN bp{n} > 0 THEN CAST(bm{n} AS DOUBLE) / bp{n} ELSE 0.0 END" for n in range(1, 5)}
     return f"""{pairs_cte},
 tok AS (SELECT *, {rp} AS rp, {rr} AS rr, {bp} AS bp, {br} AS br FROM pairs),
 grams AS ({grams}),
@@ -50,7 +49,9 @@ ovp AS (SELECT {key}, {m['r1']} AS rm1, {m['r2']} AS rm2, {m['b1']} AS bm1, {m['
                {m['b3']} AS bm3, {m['b4']} AS bm4 FROM ov GROUP BY {key}),
 cnt AS (SELECT tok.*, coalesce(rm1, 0) AS rm1, coalesce(rm2, 0) AS rm2, coalesce(bm1, 0) AS bm1,
                coalesce(bm2, 0) AS bm2, coalesce(bm3, 0) AS bm3, coalesce(bm4, 0) AS bm4,
-               len(rp) AS rlp, len(rr) AS rlr, len(bp) AS tl, len(br) AS rl
+               len(rp) AS rlp, len(rr) AS rlr, len(bp) AS tl, len(br) AS rl,
+               greatest(len(bp), 0) AS bp1, greatest(len(bp) - 1, 0) AS bp2, greatest(len(bp) - 2, 0) AS bp3,
+               greatest(len(bp) - 3, 0) AS bp4
         FROM tok LEFT JOIN ovp ON tok.{key} = ovp.{key}),
 prec AS (SELECT *, {prec[1]} AS p1, {prec[2]} AS p2, {prec[3]} AS p3, {prec[4]} AS p4,
                 CAST(tl AS DOUBLE) / rl AS ratio FROM cnt),
