@@ -83,19 +83,23 @@ def score_pairs(pairs: DataFrame, key_cols: Sequence[str] = DEFAULT_KEY,
     wide = [c for c in wide if c in pairs.columns and c not in key and c not in carry]
     base = pairs.select(*key, *carry, *[c for c in wide if c not in ("prediction", "reference")],
                         "prediction", "reference")
-    token_sets = {}
+    # token arrays are materialised in one projection: the generator below
+    # then reads columns instead of re-running the tokenisers per n-gram order
+    token_sets, tok_cols = {}, []
     if "rouge" in wanted:
-        token_sets["r"] = (rouge_tokens(F.col("prediction")), rouge_tokens(F.col("reference")), (1, 2))
+        tok_cols += [rouge_tokens(F.col("prediction")).alias("_rp"), rouge_tokens(F.col("reference")).alias("_rr")]
+        token_sets["r"] = (F.col("_rp"), F.col("_rr"), (1, 2))
     if "bleu" in wanted:
-        token_sets["b"] = (bleu_tokens(F.col("prediction")), bleu_tokens(F.col("reference")),
-                           tuple(range(1, BLEU_MAX_ORDER + 1)))
+        tok_cols += [bleu_tokens(F.col("prediction")).alias("_bp"), bleu_tokens(F.col("reference")).alias("_br")]
+        token_sets["b"] = (F.col("_bp"), F.col("_br"), tuple(range(1, BLEU_MAX_ORDER + 1)))
     if not token_sets:
         return pairs.select(*key, *carry, *wide)
+    base = base.select("*", *tok_cols)
     counts = overlap_counts(base, key + carry, token_sets)
     side_cols = list(wide)
     if "rouge" in wanted and rouge_l:
         side_cols.append("r_lcs")
-        base = base.withColumn("r_lcs", lcs(rouge_tokens(F.col("prediction")), rouge_tokens(F.col("reference"))))
+        base = base.withColumn("r_lcs", lcs(F.col("_rp"), F.col("_rr")))
     if side_cols:
         counts = counts.join(base.select(*key, *side_cols), key)
     out = [F.col(c) for c in key + carry + wide]
