@@ -187,7 +187,7 @@ def run_statistics(scored: DataFrame, group_cols: Sequence[str] = ("user_id", "r
 
 def best_worst(scored: DataFrame, group_cols: Sequence[str] = ("user_id", "run_id"),
                score: str = "combined_score", order_col: str = "index",
-               carry: Sequence[str] = ("tweet_id",)) -> DataFrame:
+               carry: Sequence[str] = ("tweet_id",), sizes: DataFrame | None = None) -> DataFrame:
     """Best and worst lists per run.
 
     n >= 6 -> 3 + 3; n <= 1 -> all best, no worst; else n // 2 each.
@@ -204,7 +204,9 @@ def best_worst(scored: DataFrame, group_cols: Sequence[str] = ("user_id", "run_i
     asc = Window.partitionBy(*g).orderBy(F.col(score).asc(), F.col(order_col).desc())
     top = s.withColumn("rn", F.row_number().over(desc)).where("rn <= 3").withColumn("list", F.lit("best"))
     bot = s.withColumn("rn", F.row_number().over(asc)).where("rn <= 3").withColumn("list", F.lit("worst"))
-    n = scored.groupBy(*g).agg(F.count(F.lit(1)).alias("n"))
+    # run sizes: pass them in (e.g. counted on the unscored pair table) to
+    # avoid a second evaluation of the scoring pipeline
+    n = (sizes if sizes is not None else scored).groupBy(*g).agg(F.count(F.lit(1)).alias("n"))
     k_best = F.when(F.col("n") >= 6, 3).when(F.col("n") <= 1, F.col("n")).otherwise(F.floor(F.col("n") / 2))
     k_worst = F.when(F.col("n") >= 6, 3).when(F.col("n") <= 1, 0).otherwise(F.floor(F.col("n") / 2))
     both = top.unionByName(bot).join(n, g)

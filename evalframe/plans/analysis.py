@@ -292,3 +292,34 @@ def upsert_reflection(spark, sf_dir):
     out = X.upsert_latest(r.where(F.col("pos") % 2 == 0), r.where(F.col("pos") % 2 == 1),
                           ["user_id", "run_id", "iteration"], ["pos"])
     return out.select("user_id", "run_id", "iteration", "pos", "improved_persona")
+
+
+@reg.add("condition_metric_table", _LONG + """SELECT condition, metric, round(avg(value), 6) AS mean,
+  round(stddev_samp(value), 6) AS std, count(value) AS count FROM long GROUP BY ALL""")
+def condition_metric_table(spark, sf_dir):
+    """Mean and sample std of several metrics per condition."""
+    long = X.unpivot_metrics(with_k(spark, sf_dir).select("condition", "score", "k"), ["condition"], ["score", "k"])
+    g = long.groupBy("condition", "metric").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+                                                F.count("value").alias("count"))
+    return rounded(g)
+
+
+FAIL_BELOW = 1.0   # an item scored below this counts as a failed generation
+
+
+@reg.add("condition_failures", _R + f"""SELECT condition, count_if(score >= {FAIL_BELOW}) AS ok,
+  count_if(score < {FAIL_BELOW}) AS failed, count(*) AS total,
+  round(count_if(score < {FAIL_BELOW}) / count(*), 6) AS failure_rate,
+  CASE WHEN count_if(score >= {FAIL_BELOW}) = 0 OR count_if(score < {FAIL_BELOW}) / count(*) > 0.5
+       THEN 'error' ELSE 'ok' END AS status
+FROM results GROUP BY condition""")
+def condition_failures(spark, sf_dir):
+    """A condition fails when nothing succeeded or more than half failed."""
+    r = results(spark, sf_dir)
+    ok = F.col("score") >= FAIL_BELOW
+    g = r.groupBy("condition").agg(F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed"),
+                                   F.count(F.lit(1)).alias("total"))
+    g = g.withColumn("failure_rate", F.col("failed") / F.col("total"))
+    g = g.withColumn("status", F.when((F.col("ok") == 0) | (F.col("failure_rate") > 0.5), F.lit("error"))
+                     .otherwise(F.lit("ok")))
+    return rounded(g)

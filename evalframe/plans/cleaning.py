@@ -196,3 +196,13 @@ def task_type(spark, sf_dir):
                         C.task_type_strict(F.col("reply_to_id"), F.col("previous_message")).alias("task_strict"))
     j = pairs.join(look, (pairs["tweet_id"] == look["_tid"]) & (pairs["user_id"] == look["_uid"]), "left")
     return rounded(j.select("index", "tweet_id", "task_lookup", "task_strict"))
+
+
+@reg.add("holdout_counts", _SPLIT + """
+SELECT user_id, count(*) AS holdout_size, count_if(is_reply) AS holdout_replies FROM split
+WHERE "set" = 'holdout' GROUP BY user_id""")
+def holdout_counts(spark, sf_dir):
+    """Holdout size per user."""
+    h = conv_split(spark, sf_dir).where(F.col("set") == "holdout")
+    return h.groupBy("user_id").agg(F.count(F.lit(1)).alias("holdout_size"),
+                                    F.count_if("is_reply").alias("holdout_replies"))

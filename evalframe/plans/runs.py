@@ -317,3 +317,27 @@ def metric_audit(spark, sf_dir):
         F.count_if(~F.col("has_bertscore") & (F.col("items") > 0)).alias("needs_backfill"),
         F.count_if("has_rouge").alias("with_rouge"), F.count_if("has_bleu").alias("with_bleu"),
         F.count_if("has_perplexity").alias("with_perplexity"))
+
+
+def data_report(spark, sf_dir) -> dict:
+    """The full data report as a dict of DataFrames (run ids, integrity,
+    most common issues, coverage) -- each one a distributed query."""
+    return {"run_ids": all_run_ids(spark, sf_dir), "integrity": per_user_checks(spark, sf_dir),
+            "common_issues": R.common_issues(per_user_checks(spark, sf_dir)),
+            "coverage": coverage(spark, sf_dir)}
+
+
+@reg.add("data_report_summary", "WITH " + _PER_USER_SQL + """, ru AS (SELECT count(*) AS runs,
+    count_if(doc_id IN (SELECT doc_id FROM labels)) AS evaluated_runs FROM documents)
+SELECT count(*) AS users, count_if(len(issues) = 0) AS valid_users, count_if(len(issues) > 0) AS invalid_users,
+  (SELECT runs FROM ru) AS runs, (SELECT evaluated_runs FROM ru) AS evaluated_runs FROM chk""")
+def data_report_summary(spark, sf_dir):
+    """A46 headline: users, valid / invalid users, runs and evaluated runs."""
+    chk = per_user_checks(spark, sf_dir)
+    u = chk.agg(F.count(F.lit(1)).alias("users"), F.count_if("valid").alias("valid_users"),
+                F.count_if(~F.col("valid")).alias("invalid_users"))
+    r = doc_runs(spark, sf_dir).join(label_evals(spark, sf_dir).select("run_id", F.lit(1).alias("_e")),
+                                     "run_id", "left") \
+        .agg(F.count(F.lit(1)).alias("runs"), F.count("_e").alias("evaluated_runs"))
+    # both sides are one-row global aggregates
+    return u.withColumn("_k", F.lit(1)).join(r.withColumn("_k", F.lit(1)), "_k").drop("_k")

@@ -88,8 +88,9 @@ def run_statistics(spark, sf_dir):
 
 @reg.add("best_worst")
 def best_worst(spark, sf_dir):
-    s = S.combined_score(scored_pairs(spark, sf_dir))
-    return rounded(S.best_worst(s))
+    pairs = pairs_from_conversations(spark, sf_dir)
+    s = S.combined_score(S.score_pairs(pairs))
+    return rounded(S.best_worst(s, sizes=pairs.select("user_id", "run_id")))
 
 
 @reg.add("overall_scores")

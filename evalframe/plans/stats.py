@@ -115,3 +115,25 @@ SELECT source, round(ss, 6) AS ss, df1, round(ss_error, 6) AS ss_error, df2, rou
 def rm_anova(spark, sf_dir):
     c = T.complete_users(cells(spark, sf_dir), ["condition", "task"], [len(EVENT_CONDITIONS), len(TASKS)])
     return rounded(T.rm_anova(c, "condition", "task"))
+
+
+@reg.add("findings", _CELLS + f""", cc AS (SELECT * FROM cells WHERE user_id IN (
+    SELECT user_id FROM cells GROUP BY user_id HAVING count(*) = {len(EVENT_CONDITIONS) * len(TASKS)})),
+x AS (SELECT mean_value AS y,
+    avg(mean_value) OVER (PARTITION BY user_id) AS m_s, avg(mean_value) OVER (PARTITION BY user_id, condition) AS m_sa,
+    avg(mean_value) OVER (PARTITION BY user_id, task) AS m_sb, avg(mean_value) OVER (PARTITION BY condition) AS m_a,
+    avg(mean_value) OVER (PARTITION BY task) AS m_b, avg(mean_value) OVER (PARTITION BY condition, task) AS m_ab,
+    avg(mean_value) OVER () AS m, user_id, condition, task FROM cc),
+s AS (SELECT sum(power(m_a - m, 2)) AS ss_a, sum(power(m_sa - m_a - m_s + m, 2)) AS ss_as,
+    count(DISTINCT user_id) AS n, count(DISTINCT condition) AS a FROM x)
+SELECT 'rm_anova' AS test, 'condition' AS effect,
+  'F(' || CAST(a - 1 AS VARCHAR) || ', ' || CAST((a - 1) * (n - 1) AS VARCHAR) || ') = '
+  || printf('%.3f', (ss_a / (a - 1)) / (ss_as / ((a - 1) * (n - 1)))) AS statement FROM s""")
+def findings(spark, sf_dir):
+    """Report statements of the inferential results (one row each)."""
+    c = T.complete_users(cells(spark, sf_dir), ["condition", "task"], [len(EVENT_CONDITIONS), len(TASKS)])
+    a = T.rm_anova(c, "condition", "task").where(F.col("source") == "condition")
+    stmt = F.concat(F.lit("F("), F.col("df1").cast("bigint").cast("string"), F.lit(", "),
+                    F.col("df2").cast("bigint").cast("string"), F.lit(") = "),
+                    F.format_string("%.3f", F.col("f_statistic")))
+    return a.select(F.lit("rm_anova").alias("test"), F.col("source").alias("effect"), stmt.alias("statement"))
