@@ -59,9 +59,8 @@ def lexicon_pattern(lexicon: DataFrame, word_col: str = "word") -> DataFrame:
 
 
 def attach_lexicon(df: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Broadcast the one-row lexicon pattern onto every row (constant-key join)."""
-    lex = F.broadcast(lexicon_pattern(lexicon).withColumn("_k", F.lit(1)))
-    return df.withColumn("_k", F.lit(1)).join(lex, "_k").drop("_k")
+    """Attach the lexicon pattern as a scalar subquery (evaluated once, no join)."""
+    return df.withColumn("_lexre", lexicon_pattern(lexicon).scalar())
 
 
 def _is_blank(text: Column) -> Column:

@@ -152,9 +152,8 @@ def bigram_perplexity(docs: DataFrame, key: str, text: str, k: float = 1.0) -> D
     occ = occ.withColumn("v", F.substring_index("bg", " ", 1))
     cvw = occ.groupBy("bg").agg(F.sum("n").alias("cvw"))
     ctx = occ.groupBy("v").agg(F.sum("n").alias("cv"))
-    # V is a one-row aggregate: joined on a constant key (a broadcast of one row)
-    j = (occ.join(cvw, "bg").join(ctx, "v").withColumn("_k", F.lit(1))
-            .join(F.broadcast(vocab.withColumn("_k", F.lit(1))), "_k").drop("_k"))
+    # V is a one-row aggregate: a scalar subquery, evaluated once
+    j = occ.join(cvw, "bg").join(ctx, "v").withColumn("vocab_size", vocab.scalar())
     lp = F.log((F.col("cvw") + k) / (F.col("cv") + k * F.col("vocab_size")))
     per = j.groupBy(key).agg((F.sum(F.col("n") * lp) / F.sum("n")).alias("avg_log_p"),
                              F.sum("n").alias("n_bigrams"))

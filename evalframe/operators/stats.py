@@ -53,13 +53,10 @@ def ttest_paired(cells: DataFrame, by: str, levels: Sequence[str], value: str =
     levels = list(levels)
     wide = cells.groupBy(subject).pivot(by, levels).agg(F.avg(value))
     pairs = list(combinations(levels, 2))
-    rows = []
-    for a, b in pairs:
-        d = F.col(f"`{a}`") - F.col(f"`{b}`")
-        rows.append(wide.select(F.lit(a).alias("level_a"), F.lit(b).alias("level_b"), d.alias("d")))
-    long = rows[0]
-    for r in rows[1:]:
-        long = long.unionByName(r)
+    diffs = [F.struct(F.lit(a).alias("level_a"), F.lit(b).alias("level_b"),
+                      (F.col(f"`{a}`") - F.col(f"`{b}`")).alias("d")) for a, b in pairs]
+    # one pass over the pivoted rows: every pair difference is generated from the same row
+    long = wide.select(F.explode(F.array(*diffs)).alias("x")).select("x.*")
     g = long.where(F.col("d").isNotNull()).groupBy("level_a", "level_b").agg(
         F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean_diff"), F.stddev_samp("d").alias("sd_diff"))
     t = F.col("mean_diff") / (F.col("sd_diff") / F.sqrt(F.col("n")))
@@ -86,13 +83,13 @@ def rm_anova(cells: DataFrame, a: str, b: str, value: str = "mean_value", subjec
     ma = base.groupBy(a).agg(F.avg("y").alias("m_a"))
     mb = base.groupBy(b).agg(F.avg("y").alias("m_b"))
     mab = base.groupBy(a, b).agg(F.avg("y").alias("m_ab"))
-    grand = base.agg(F.avg("y").alias("m"), F.countDistinct(subject).alias("n_s"),
-                     F.countDistinct(a).alias("n_a"), F.countDistinct(b).alias("n_b"))
+    grand = base.agg(F.struct(F.avg("y").alias("m"), F.countDistinct(subject).alias("n_s"),
+                              F.countDistinct(a).alias("n_a"), F.countDistinct(b).alias("n_b")).alias("g")).scalar()
     x = (base.withColumn("m_s", F.avg("y").over(s)).withColumn("m_sa", F.avg("y").over(sa))
              .withColumn("m_sb", F.avg("y").over(sb))
              .join(ma, a).join(mb, b).join(mab, [a, b]))
-    # grand mean and level counts enter as one-row aggregates joined on a constant key
-    x = x.withColumn("_k", F.lit(1)).join(grand.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    # grand mean and level counts: one scalar subquery (a struct), no join
+    x = x.withColumn("_g", grand).select("*", "_g.*").drop("_g")
     m, m_a, m_b, m_ab = F.col("m"), F.col("m_a"), F.col("m_b"), F.col("m_ab")
     m_s, m_sa, m_sb = F.col("m_s"), F.col("m_sa"), F.col("m_sb")
     na, nb = F.col("n_a"), F.col("n_b")

@@ -339,5 +339,6 @@ def data_report_summary(spark, sf_dir):
     r = doc_runs(spark, sf_dir).join(label_evals(spark, sf_dir).select("run_id", F.lit(1).alias("_e")),
                                      "run_id", "left") \
         .agg(F.count(F.lit(1)).alias("runs"), F.count("_e").alias("evaluated_runs"))
-    # both sides are one-row global aggregates
-    return u.withColumn("_k", F.lit(1)).join(r.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    # both sides are one-row global aggregates: the second enters as a scalar subquery
+    rs = r.select(F.struct("runs", "evaluated_runs").alias("s")).scalar()
+    return u.select("*", rs["runs"].alias("runs"), rs["evaluated_runs"].alias("evaluated_runs"))
