@@ -47,15 +47,23 @@ def lexicon_table(spark, words: Sequence[str] = tuple(HIGH_PRIORITY_LEXICON)) ->
 
 def lexicon_pattern(lexicon: DataFrame, word_col: str = "word") -> DataFrame:
     """One row holding the lexicon as a single case-insensitive regex that
-    matches a whole space-delimited token: `` (?:w1|w2|...)(?= )``.
+    matches a whole space-delimited token.
 
-    Built on the executors from the (bounded) lexicon table; Spark compiles
-    it once per task.  A Spark map lookup would scan every key per token.
+    Words are grouped under their first character (a one-level trie):
+    `` (?:\\Qa\\E(?:\\Qbc\\E|\\Qde\\E)|\\Qb\\E(?:...))(?= )``, so each token
+    position tries one branch instead of every word.  Built on the
+    executors from the (bounded) lexicon table; Spark compiles it once per
+    task.  A Spark map lookup would scan every key per token.
     """
-    words = F.sort_array(F.collect_set(F.lower(F.col(word_col))))
-    alt = F.array_join(F.transform(words, lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), "|")
-    pat = F.when(F.size(words) > 0, F.concat(F.lit("(?iu) (?:"), alt, F.lit(")(?= )"))).otherwise(F.lit("(?!)"))
-    return lexicon.agg(pat.alias("_lexre"))
+    w = lexicon.select(F.lower(F.col(word_col)).alias("w")).where(F.length("w") > 0).distinct()
+    quoted = lambda c: F.concat(F.lit("\\Q"), c, F.lit("\\E"))
+    groups = w.groupBy(F.substring("w", 1, 1).alias("c")).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.substring("w", 2, 1 << 20))), quoted), "|")
+        .alias("rest"))
+    branch = F.concat(quoted(F.col("c")), F.lit("(?:"), F.col("rest"), F.lit(")"))
+    alt = F.array_join(F.sort_array(F.collect_list(branch)), "|")
+    pat = F.when(F.count(F.lit(1)) > 0, F.concat(F.lit("(?iu) (?:"), alt, F.lit(")(?= )"))).otherwise(F.lit("(?!)"))
+    return groups.agg(pat.alias("_lexre"))
 
 
 def attach_lexicon(df: DataFrame, lexicon: DataFrame) -> DataFrame:
