@@ -6,8 +6,8 @@ the parquet tables the driver provides, column for column, so every query
 grows with the input.  Each adapter has a DuckDB twin (``*_SQL``) used by
 the oracle so both sides start from the same rows.
 
-Only projections and one window per adapter: the scans keep their column
-pruning and filter pushdown.
+Only projections (and, for pairs, one equi-join on the turn key): the scans
+keep their column pruning and filter pushdown.
 """
 
 from __future__ import annotations
@@ -93,22 +93,24 @@ POSTS_SQL = """posts AS (
 # ---------------------------------------------------------------------------
 
 def pairs_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turn (prediction) paired with the turn right before it
+    (reference).  A self equi-join on (conv_id, turn - 1): the join key
+    contains the turn, so even a conversation holding a third of all rows
+    is spread over many partitions (a ``lag`` window would put it in one)."""
     c = table(spark, sf_dir, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
+    prev = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("reference"))
+    a = c.where(F.col("role") == "assistant").select("conv_id", "turn", "text")
     conv, turn = F.col("conv_id"), F.col("turn")
     rnd = 1 + (conv / 6).cast("bigint") % 4
-    return (c.withColumn("reference", F.lag("text").over(w))
-             .withColumn("prev_turn", F.lag("turn").over(w))
-             .where((F.col("role") == "assistant") & (F.col("prev_turn") == turn - 1))
-             .select(
-                 (conv % 10).cast("string").alias("user_id"),
-                 F.concat(_strategy(conv), F.lit("_round_"), rnd.cast("string")).alias("run_id"),
-                 (conv * 100 + turn).alias("index"),
-                 # the item is keyed by the original (reference) post it imitates
-                 (conv * 100 + turn - 1).cast("string").alias("tweet_id"),
-                 F.col("text").alias("prediction"),
-                 F.col("reference"),
-             ))
+    return a.join(prev, ["conv_id", "turn"]).select(
+        (conv % 10).cast("string").alias("user_id"),
+        F.concat(_strategy(conv), F.lit("_round_"), rnd.cast("string")).alias("run_id"),
+        (conv * 100 + turn).alias("index"),
+        # the item is keyed by the original (reference) post it imitates
+        (conv * 100 + turn - 1).cast("string").alias("tweet_id"),
+        F.col("text").alias("prediction"),
+        F.col("reference"),
+    )
 
 
 PAIRS_SQL = f"""pairs AS (
