@@ -193,9 +193,9 @@ def kde_grid(df: DataFrame, group: Sequence[str], value: str, points: int = 32)
     x = df.select(*group, v.alias("_v")).where(F.col("_v").isNotNull()).join(st, list(group))
     grid = F.sequence(F.lit(0), F.lit(points - 1))
     e = x.select(*group, "n", "h", "lo", "hi", "_v", F.explode(grid).alias("grid_index"))
-    gx = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("grid_index") / (points - 1)
-    z = (gx - F.col("_v")) / F.col("h")
-    contrib = F.exp(-0.5 * z * z) / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))
+    gx = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("grid_index") / max(points - 1, 1)
+    z = F.try_divide(gx - F.col("_v"), F.col("h"))
+    contrib = F.try_divide(F.exp(-0.5 * z * z), F.col("n") * F.col("h") * math.sqrt(2 * math.pi))
     e = e.select(*group, "grid_index", gx.alias("x"), contrib.alias("c"))
     return e.groupBy(*group, "grid_index", "x").agg(F.sum("c").alias("density"))
 

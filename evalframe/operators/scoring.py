@@ -33,7 +33,8 @@ def _f1(p: Column, r: Column) -> Column:
 
 
 def _div(a: Column, b: Column) -> Column:
-    return a.cast("double") / b.cast("double")
+    """Division that yields null for a zero divisor in ANSI and non-ANSI mode alike."""
+    return F.try_divide(a.cast("double"), b.cast("double"))
 
 
 def bleu_from_counts(m: Sequence[Column], possible: Sequence[Column], tl: Column, rl: Column,
@@ -53,7 +54,7 @@ def bleu_from_counts(m: Sequence[Column], possible: Sequence[Column], tl: Column
         log_sum = term if log_sum is None else log_sum + term
     geo = F.when(F.least(*prec) > 0, F.exp(log_sum)).otherwise(F.lit(0.0))
     ratio = _div(tl, rl)
-    bp = F.when(ratio > 1.0, F.lit(1.0)).otherwise(F.exp(1 - 1 / ratio))
+    bp = F.when(ratio > 1.0, F.lit(1.0)).otherwise(F.exp(1 - F.try_divide(F.lit(1.0), ratio)))
     ok = (tl > 0) & (rl > 0)
     return {
         "bleu": F.when(ok, geo * bp),
@@ -170,7 +171,7 @@ def combined_score(df: DataFrame, weights: dict[str, float] | None = None,
         v = F.col(col).cast("double")
         num = num + F.when(v.isNotNull(), v * w).otherwise(0.0)
         den = den + F.when(v.isNotNull(), F.lit(w)).otherwise(0.0)
-    return df.withColumn("combined_score", F.when(den > 0, num / den).otherwise(F.lit(0.0)))
+    return df.withColumn("combined_score", F.when(den > 0, F.try_divide(num, den)).otherwise(F.lit(0.0)))
 
 
 def run_statistics(scored: DataFrame, group_cols: Sequence[str] = ("user_id", "run_id"),

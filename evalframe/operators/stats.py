@@ -26,8 +26,9 @@ def ttest_ind(df: DataFrame, by: str, a: str, b: str, value: str) -> DataFrame:
         F.avg(F.when(F.col(by) == a, v)).alias("mean1"), F.avg(F.when(F.col(by) == b, v)).alias("mean2"),
         F.var_samp(F.when(F.col(by) == a, v)).alias("var1"), F.var_samp(F.when(F.col(by) == b, v)).alias("var2"))
     dfree = F.col("n1") + F.col("n2") - 2
-    sp2 = ((F.col("n1") - 1) * F.col("var1") + (F.col("n2") - 1) * F.col("var2")) / dfree
-    t = (F.col("mean1") - F.col("mean2")) / F.sqrt(sp2 * (1.0 / F.col("n1") + 1.0 / F.col("n2")))
+    sp2 = F.try_divide((F.col("n1") - 1) * F.col("var1") + (F.col("n2") - 1) * F.col("var2"), dfree)
+    t = F.try_divide(F.col("mean1") - F.col("mean2"),
+                     F.sqrt(sp2 * (F.try_divide(F.lit(1.0), F.col("n1")) + F.try_divide(F.lit(1.0), F.col("n2")))))
     ok = (F.col("n1") > 1) & (F.col("n2") > 1)
     out = g.select(F.lit(a).alias("group_a"), F.lit(b).alias("group_b"), "n1", "n2", "mean1", "mean2",
                    F.when(ok, t).alias("t_statistic"), F.when(ok, dfree).alias("df"))
@@ -59,7 +60,7 @@ def ttest_paired(cells: DataFrame, by: str, levels: Sequence[str], value: str =
     long = wide.select(F.explode(F.array(*diffs)).alias("x")).select("x.*")
     g = long.where(F.col("d").isNotNull()).groupBy("level_a", "level_b").agg(
         F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean_diff"), F.stddev_samp("d").alias("sd_diff"))
-    t = F.col("mean_diff") / (F.col("sd_diff") / F.sqrt(F.col("n")))
+    t = F.try_divide(F.col("mean_diff"), F.try_divide(F.col("sd_diff"), F.sqrt(F.col("n"))))
     out = g.select("level_a", "level_b", "n", "mean_diff", "sd_diff",
                    F.when(F.col("n") > 1, t).alias("t_statistic"), (F.col("n") - 1).alias("df"))
     out = out.withColumn("p_value", t_pvalue(F.col("t_statistic"), F.col("df")))
@@ -113,11 +114,11 @@ def rm_anova(cells: DataFrame, a: str, b: str, value: str = "mean_value", subjec
     ]
     rows = []
     for name, ss, d1, sse, d2 in terms:
-        f = (F.col(ss) / d1) / (F.col(sse) / d2)
+        f = F.try_divide(F.try_divide(F.col(ss), d1), F.try_divide(F.col(sse), d2))
         rows.append(F.struct(F.lit(name).alias("source"), F.col(ss).alias("ss"), d1.alias("df1"),
                              F.col(sse).alias("ss_error"), d2.alias("df2"),
                              F.when((d1 > 0) & (d2 > 0) & (F.col(sse) > 0), f).alias("f_statistic"),
-                             (F.col(ss) / (F.col(ss) + err)).alias("ges")))
+                             F.try_divide(F.col(ss), F.col(ss) + err).alias("ges")))
     # one pass over the sums row; the three effects are generated from it
     out = sums.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     out = out.withColumn("p_value", f_pvalue(F.col("f_statistic"), F.col("df1"), F.col("df2")))

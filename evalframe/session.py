@@ -23,7 +23,7 @@ LOCAL_DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    "spark.sql.ansi.enabled": "false",
+    "spark.sql.ansi.enabled": os.environ.get("EVALFRAME_ANSI", "false"),
 }
 
 

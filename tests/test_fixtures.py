@@ -161,3 +161,24 @@ def test_sequential_index_matches_row_number(spark):
     from pyspark.sql import Window
     want = df.withColumn("position", F.row_number().over(Window.partitionBy("g").orderBy("o")) - 1)
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_edge_cases_under_ansi_mode(spark):
+    from evalframe.operators import quality as Q
+    old = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "true")
+    try:
+        pairs = spark.createDataFrame([
+            ("u", "r", 0, "t", "", "some reference"), ("u", "r", 1, "t", "a prediction", ""),
+            ("u", "r", 2, "t", "", ""), ("u", "r", 3, "t", None, "x y"),
+        ], "user_id string, run_id string, index int, tweet_id string, prediction string, reference string")
+        sc = S.combined_score(S.score_pairs(pairs))
+        rows = {r["index"]: r for r in sc.collect()}
+        assert all(rows[i].bleu is None for i in range(4))
+        assert all(rows[i].rouge1 == 0.0 and rows[i].rougeL == 0.0 for i in range(4))
+        assert S.bleu_corpus(sc).count() == 1
+        one = spark.createDataFrame([(1, 2.0), (2, 3.0), (2, 3.0)], "round int, score double")
+        k = Q.kde_grid(one, ["round"], "score", 4).collect()
+        assert len(k) == 8
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", old)
