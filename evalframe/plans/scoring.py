@@ -6,12 +6,21 @@ from pyspark.sql import functions as F
 
 from evalframe.operators import scoring as S
 from evalframe.plans.common import Registry, rounded
-from evalframe.plans.sqlgen import pair_scores_sql, r6
+from evalframe.plans.sqlgen import lcs_sql, pair_scores_sql, r6
 from evalframe.sources.adapters import PAIRS_SQL, pairs_from_conversations
 
 reg = Registry()
 
 _SC = "WITH " + pair_scores_sql(PAIRS_SQL) + "\n"
+# scored pairs with ROUGE-L and the combined score (0.4 ROUGE-L + 0.3 BLEU, renormalised)
+_SCL = "WITH RECURSIVE " + pair_scores_sql(PAIRS_SQL) + ",\n" + lcs_sql() + """,
+scl AS (SELECT sc.*, CASE WHEN l.la > 0 AND l.lb > 0 AND (CAST(l.lcs AS DOUBLE) / l.la + CAST(l.lcs AS DOUBLE) / l.lb) > 0
+    THEN 2 * (CAST(l.lcs AS DOUBLE) / l.la) * (CAST(l.lcs AS DOUBLE) / l.lb)
+         / (CAST(l.lcs AS DOUBLE) / l.la + CAST(l.lcs AS DOUBLE) / l.lb) ELSE 0.0 END AS rougeL
+  FROM sc JOIN lcsr l ON sc."index" = l.idx),
+cmb AS (SELECT *, (0.0 + rougeL * 0.4 + CASE WHEN bleu IS NOT NULL THEN bleu * 0.3 ELSE 0.0 END)
+    / (0.0 + 0.4 + CASE WHEN bleu IS NOT NULL THEN 0.3 ELSE 0.0 END) AS combined_score FROM scl)
+"""
 
 
 def scored_pairs(spark, sf_dir, rouge_l=True):
@@ -25,7 +34,7 @@ def rouge_n(spark, sf_dir):
     return rounded(s.select("user_id", "run_id", "index", "tweet_id", "rouge1", "rouge2"))
 
 
-@reg.add("rouge_l")
+@reg.add("rouge_l", _SCL + """SELECT user_id, run_id, "index", tweet_id, round(rougeL, 6) AS rougeL FROM scl""")
 def rouge_l(spark, sf_dir):
     s = S.score_pairs(pairs_from_conversations(spark, sf_dir), metrics=["rouge"])
     return rounded(s.select("user_id", "run_id", "index", "tweet_id", "rougeL"))
@@ -73,27 +82,52 @@ def bleu_corpus(spark, sf_dir):
                                 else F.col(c) for c in out.columns]))
 
 
-@reg.add("combined_score")
+@reg.add("combined_score", _SCL + """SELECT user_id, run_id, "index", tweet_id, round(rouge1, 6) AS rouge1,
+  round(rougeL, 6) AS rougeL, round(bleu, 6) AS bleu, round(combined_score, 6) AS combined_score FROM cmb""")
 def combined(spark, sf_dir):
     s = S.combined_score(scored_pairs(spark, sf_dir))
     return rounded(s.select("user_id", "run_id", "index", "tweet_id", "rouge1", "rougeL", "bleu",
                             "combined_score"))
 
 
-@reg.add("run_statistics")
+@reg.add("run_statistics", _SCL + """SELECT user_id, run_id, round(avg(combined_score), 6) AS mean_combined_score,
+  round(stddev_pop(combined_score), 6) AS std_combined_score, round(max(combined_score), 6) AS best_score,
+  round(min(combined_score), 6) AS worst_score, count(combined_score) AS total_samples FROM cmb GROUP BY user_id, run_id""")
 def run_statistics(spark, sf_dir):
     s = S.combined_score(scored_pairs(spark, sf_dir))
     return rounded(S.run_statistics(s))
 
 
-@reg.add("best_worst")
+@reg.add("best_worst", _SCL + """, rk AS (SELECT *,
+    row_number() OVER (PARTITION BY user_id, run_id ORDER BY combined_score DESC, "index" ASC) AS rd,
+    row_number() OVER (PARTITION BY user_id, run_id ORDER BY combined_score ASC, "index" DESC) AS ra,
+    count(*) OVER (PARTITION BY user_id, run_id) AS n FROM cmb),
+kk AS (SELECT *, CASE WHEN n >= 6 THEN 3 WHEN n <= 1 THEN n ELSE n // 2 END AS kb,
+    CASE WHEN n >= 6 THEN 3 WHEN n <= 1 THEN 0 ELSE n // 2 END AS kw FROM rk)
+SELECT user_id, run_id, 'best' AS list, CAST(rd AS INTEGER) AS rank, "index", round(combined_score, 6) AS combined_score,
+  tweet_id FROM kk WHERE rd <= 3 AND rd <= kb
+UNION ALL
+SELECT user_id, run_id, 'worst' AS list, CAST(kw - ra + 1 AS INTEGER) AS rank, "index",
+  round(combined_score, 6) AS combined_score, tweet_id FROM kk WHERE ra <= 3 AND ra <= kw""")
 def best_worst(spark, sf_dir):
     pairs = pairs_from_conversations(spark, sf_dir)
     s = S.combined_score(S.score_pairs(pairs))
     return rounded(S.best_worst(s, sizes=pairs.select("user_id", "run_id")))
 
 
-@reg.add("overall_scores")
+@reg.add("overall_scores", _SCL + """, agg AS (SELECT user_id, run_id, avg(rouge1) AS rouge1, avg(rouge2) AS rouge2,
+    avg(rougeL) AS rougeL, sum(bm1) AS m1, sum(bm2) AS m2, sum(bm3) AS m3, sum(bm4) AS m4, sum(bp1) AS q1,
+    sum(bp2) AS q2, sum(bp3) AS q3, sum(bp4) AS q4, sum(tl) AS tl, sum(rl) AS rl, count(*) AS total_samples
+  FROM scl GROUP BY user_id, run_id),
+pr AS (SELECT *, CASE WHEN q1 > 0 THEN CAST(m1 AS DOUBLE) / q1 ELSE 0.0 END AS p1,
+    CASE WHEN q2 > 0 THEN CAST(m2 AS DOUBLE) / q2 ELSE 0.0 END AS p2,
+    CASE WHEN q3 > 0 THEN CAST(m3 AS DOUBLE) / q3 ELSE 0.0 END AS p3,
+    CASE WHEN q4 > 0 THEN CAST(m4 AS DOUBLE) / q4 ELSE 0.0 END AS p4,
+    CAST(tl AS DOUBLE) / rl AS ratio FROM agg)
+SELECT user_id, run_id, round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2, round(rougeL, 6) AS rougeL,
+  round(CASE WHEN tl > 0 AND rl > 0 THEN (CASE WHEN least(p1, p2, p3, p4) > 0
+     THEN exp(0.25 * ln(p1) + 0.25 * ln(p2) + 0.25 * ln(p3) + 0.25 * ln(p4)) ELSE 0.0 END)
+     * (CASE WHEN ratio > 1.0 THEN 1.0 ELSE exp(1 - 1 / ratio) END) END, 6) AS bleu, total_samples FROM pr""")
 def overall_scores(spark, sf_dir):
     """Per run overall block: mean ROUGE F1s, corpus BLEU, total samples."""
     s = scored_pairs(spark, sf_dir)

@@ -64,3 +64,24 @@ sc AS (SELECT *, {f1('rm1', 'rlp', 'rlr')} AS rouge1,
               CASE WHEN tl > 0 AND rl > 0 THEN
                 (CASE WHEN ratio > 1.0 THEN 1.0 ELSE exp(1 - 1 / ratio) END) END AS brevity_penalty
        FROM prec)"""
+
+
+def lcs_sql(key: str = '"index"') -> str:
+    """CTEs ``ltok``, ``rec``, ``lcsr`` (per-pair LCS length of the ROUGE
+    tokens) on top of a ``pairs`` CTE; needs ``WITH RECURSIVE``.
+
+    Exact dynamic programming, one DP row per recursion step: the candidate
+    of cell j is max(previous row at j, previous row at j-1 + 1 on a token
+    match) and the new row is the running max of the candidates."""
+    rt = ROUGE_TOKENS_SQL
+    return f"""ltok AS (SELECT {key} AS idx, {rt.format(c='prediction')} AS a, {rt.format(c='reference')} AS b FROM pairs),
+rec(idx, i, j, v) AS (
+  SELECT idx, 0, j, 0 FROM ltok, range(0, len(b) + 1) r(j)
+  UNION ALL
+  SELECT idx, i + 1, j, max(cand) OVER (PARTITION BY idx ORDER BY j ROWS UNBOUNDED PRECEDING)
+  FROM (SELECT r.idx, r.i, r.j,
+          greatest(r.v, CASE WHEN r.j > 0 AND t.a[r.i + 1] = t.b[r.j]
+                             THEN lag(r.v) OVER (PARTITION BY r.idx ORDER BY r.j) + 1 ELSE 0 END) AS cand
+        FROM rec r JOIN ltok t ON r.idx = t.idx WHERE r.i < len(t.a)) s),
+lcsr AS (SELECT t.idx, len(t.a) AS la, len(t.b) AS lb, max(v) FILTER (WHERE rec.i = len(t.a)) AS lcs
+  FROM ltok t JOIN rec ON rec.idx = t.idx GROUP BY t.idx, len(t.a), len(t.b))"""
