@@ -58,17 +58,29 @@ def json_docs(spark, sf_dir):
     nested = F.to_json(F.struct(F.col("doc_id"), F.struct("lang", "source").alias("meta"),
                                 F.array(F.col("n_chars"), F.length("text").cast("bigint")).alias("sizes"),
                                 F.when(F.col("doc_id") % 2 == 0, F.lit(None).cast("string")).otherwise(F.col("lang"))
-                                .alias("maybe_lang")))
+                                .alias("maybe_lang")), {"ignoreNullFields": "false"})
     return ev.unionByName(d.select(nested.alias("doc")))
 
 
-@reg.add("json_profile")
+_PROFILE_SQL = """WITH docs AS (SELECT props AS doc FROM events UNION ALL
+  SELECT to_json({'doc_id': doc_id, 'meta': {'lang': lang, 'source': source}, 'sizes': [n_chars, CAST(length(text) AS BIGINT)],
+                  'maybe_lang': CASE WHEN doc_id % 2 = 0 THEN NULL ELSE lang END}) FROM documents),
+t AS (SELECT j.fullkey, j.type FROM docs, json_tree(docs.doc) j WHERE j.type NOT IN ('OBJECT', 'ARRAY')),
+p AS (SELECT regexp_replace(regexp_replace(fullkey, '^\\$\\.', ''), '\\[[0-9]+\\]', '.[items]', 'g') AS path,
+  CASE type WHEN 'UBIGINT' THEN 'int' WHEN 'BIGINT' THEN 'int' WHEN 'DOUBLE' THEN 'float' WHEN 'VARCHAR' THEN 'str'
+    WHEN 'NULL' THEN 'NoneType' WHEN 'BOOLEAN' THEN 'bool' ELSE lower(type) END AS type FROM t),
+prof AS (SELECT path, array_to_string(list_sort(list(DISTINCT type)), ', ') AS types, count(*) AS occurrences
+  FROM p GROUP BY path)
+"""
+
+
+@reg.add("json_profile", _PROFILE_SQL + "SELECT path, types, occurrences FROM prof")
 def json_profile(spark, sf_dir):
     """Key paths and the primitive types found under each."""
     return T.json_profile(json_docs(spark, sf_dir), "doc")
 
 
-@reg.add("json_key_search")
+@reg.add("json_key_search", _PROFILE_SQL + f"SELECT path, types, occurrences FROM prof WHERE contains(lower(path), '{KEY_NEEDLE}')")
 def json_key_search(spark, sf_dir):
     """Profiled key paths containing a substring (case-insensitive)."""
     p = T.json_profile(json_docs(spark, sf_dir), "doc")

@@ -11,6 +11,7 @@ from evalframe.operators import prompts as P
 from evalframe.operators import scoring as S
 from evalframe.plans import analysis as AN
 from evalframe.plans import cleaning as CL
+from evalframe.plans import scoring as SP
 from evalframe.plans.common import Registry
 from evalframe.sources import adapters as A
 
@@ -189,7 +190,41 @@ def infer_text(spark, sf_dir):
     return P.infer_text(judge_prompts(spark, sf_dir), "prompt", prompt_length).select("index", "response")
 
 
-@reg.add("reflection_prompt")
+_REFLECT_SQL = (SP._SCL + ",\n" + _SPLIT_ROWS.split("WITH ", 1)[1] + f""",
+rkk AS (SELECT *, row_number() OVER (PARTITION BY user_id, run_id ORDER BY combined_score DESC, "index" ASC) AS rd,
+    row_number() OVER (PARTITION BY user_id, run_id ORDER BY combined_score ASC, "index" DESC) AS ra,
+    count(*) OVER (PARTITION BY user_id, run_id) AS n FROM cmb),
+kk AS (SELECT *, CASE WHEN n >= 6 THEN 3 WHEN n <= 1 THEN n ELSE n // 2 END AS kb,
+    CASE WHEN n >= 6 THEN 3 WHEN n <= 1 THEN 0 ELSE n // 2 END AS kw FROM rkk),
+bwl AS (SELECT user_id, run_id, 'best' AS list, rd AS rank, prediction, reference FROM kk WHERE rd <= 3 AND rd <= kb
+  UNION ALL SELECT user_id, run_id, 'worst', kw - ra + 1, prediction, reference FROM kk WHERE ra <= 3 AND ra <= kw),
+lists AS (SELECT user_id, run_id,
+    coalesce(string_agg(prediction, chr(10) ORDER BY rank) FILTER (WHERE list = 'best'), '') AS best_preds,
+    coalesce(string_agg(reference, chr(10) ORDER BY rank) FILTER (WHERE list = 'best'), '') AS best_originals,
+    coalesce(string_agg(prediction, chr(10) ORDER BY rank) FILTER (WHERE list = 'worst'), '') AS worst_preds,
+    coalesce(string_agg(reference, chr(10) ORDER BY rank) FILTER (WHERE list = 'worst'), '') AS worst_originals
+  FROM bwl GROUP BY user_id, run_id),
+oagg AS (SELECT user_id, run_id, avg(rouge1) AS r1, avg(rougeL) AS rl_, sum(bm1) AS m1, sum(bm2) AS m2, sum(bm3) AS m3,
+    sum(bm4) AS m4, sum(bp1) AS q1, sum(bp2) AS q2, sum(bp3) AS q3, sum(bp4) AS q4, sum(tl) AS tl, sum(rl) AS rl
+  FROM cmb GROUP BY user_id, run_id),
+opr AS (SELECT *, CASE WHEN q1 > 0 THEN CAST(m1 AS DOUBLE) / q1 ELSE 0.0 END AS p1,
+    CASE WHEN q2 > 0 THEN CAST(m2 AS DOUBLE) / q2 ELSE 0.0 END AS p2,
+    CASE WHEN q3 > 0 THEN CAST(m3 AS DOUBLE) / q3 ELSE 0.0 END AS p3,
+    CASE WHEN q4 > 0 THEN CAST(m4 AS DOUBLE) / q4 ELSE 0.0 END AS p4, CAST(tl AS DOUBLE) / rl AS ratio FROM oagg),
+ms AS (SELECT user_id, run_id, concat_ws(chr(10),
+    'bleu: ' || printf('%.4f', CASE WHEN tl > 0 AND rl > 0 THEN (CASE WHEN least(p1, p2, p3, p4) > 0
+      THEN exp(0.25 * ln(p1) + 0.25 * ln(p2) + 0.25 * ln(p3) + 0.25 * ln(p4)) ELSE 0.0 END)
+      * (CASE WHEN ratio > 1.0 THEN 1.0 ELSE exp(1 - 1 / ratio) END) END),
+    'rouge1: ' || printf('%.4f', r1), 'rougeL: ' || printf('%.4f', rl_)) AS metric_scores FROM opr),
+hp AS (SELECT user_id, '{_PERSONA_HEAD}' || history || '{_PERSONA_TAIL}' AS persona FROM hist)
+SELECT l.user_id, l.run_id, {{prompt}} AS prompt
+FROM lists l JOIN ms ON l.user_id = ms.user_id AND l.run_id = ms.run_id LEFT JOIN hp ON l.user_id = hp.user_id
+""").replace("{prompt}", _fill_sql("reflect_results_template", persona="hp.persona", best_preds="l.best_preds",
+                                   best_originals="l.best_originals", worst_preds="l.worst_preds",
+                                   worst_originals="l.worst_originals", metric_scores="ms.metric_scores"))
+
+
+@reg.add("reflection_prompt", _REFLECT_SQL)
 def reflection_prompt(spark, sf_dir):
     """G7 + J13: run persona, best / worst predictions with their originals and
     the metric lines of the run, per evaluated run."""
