@@ -20,6 +20,24 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     return df.select(*cols)
 
 
+def bigint_counts(sql: str) -> str:
+    """Rewrite ``count_if(x)`` as ``count(*) FILTER (WHERE x)`` in oracle SQL:
+    DuckDB types ``count_if`` as HUGEINT, Spark's counts are BIGINT."""
+    out, i, key = [], 0, "count_if("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        out.append(sql[i:j])
+        depth, k = 1, j + len(key)
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        out.append(f"count(*) FILTER (WHERE {bigint_counts(sql[j + len(key):k - 1])})")
+        i = k
+
+
 class Registry:
     """Collects ``name -> (query fn, oracle sql | None)`` for one plan module."""
 
@@ -31,6 +49,6 @@ class Registry:
         def deco(fn):
             self.queries[name] = fn
             if sql is not None:
-                self.oracle[name] = sql
+                self.oracle[name] = bigint_counts(sql)
             return fn
         return deco

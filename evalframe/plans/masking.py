@@ -107,10 +107,10 @@ _REQ_SQL = _LEX_SQL + f"""pos AS (SELECT *, row_number() OVER (PARTITION BY user
   FROM hold WHERE masked_text IS NULL),
 req AS (SELECT user_id, tweet_id, position, 'mask-' || CAST(position AS VARCHAR) AS custom_id,
     CAST(floor(position / {BATCH_SIZE}) AS BIGINT) AS batch, full_text,
-    to_json({{'custom_id': 'mask-' || CAST(position AS VARCHAR), 'method': 'POST', 'url': '{M.BATCH_URL}',
+    CAST(to_json({{'custom_id': 'mask-' || CAST(position AS VARCHAR), 'method': 'POST', 'url': '{M.BATCH_URL}',
       'body': {{'model': '{M.BATCH_MODEL}', 'messages': [{{'role': 'system', 'content': $${M.MASK_SYSTEM_PROMPT}$$}},
         {{'role': 'user', 'content': $${M.MASK_USER_PREFIX}$$ || full_text}}],
-        'temperature': CAST({M.BATCH_TEMPERATURE} AS DOUBLE), 'max_tokens': {M.BATCH_MAX_TOKENS}}}}}) AS request
+        'temperature': CAST({M.BATCH_TEMPERATURE} AS DOUBLE), 'max_tokens': {M.BATCH_MAX_TOKENS}}}}}) AS VARCHAR) AS request
   FROM pos WHERE NOT (coalesce(full_text = '', true) OR coalesce(regexp_matches(full_text, '{URL_ONLY_PATTERN}'), false))),
 """
 

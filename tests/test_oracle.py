@@ -61,3 +61,15 @@ def test_entry_runs(spark):
     df = entry(spark)
     assert set(df.columns) >= {"user_id", "run_id", "mean_combined_score", "std_combined_score"}
     assert df.count() > 0
+
+
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "float": "FLOAT"}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_column_types_match_oracle(spark, con, name):
+    st = {f.name: f.dataType.simpleString() for f in QUERIES[name](spark, SF_SMALL).schema.fields}
+    rel = con.sql(ORACLE[name])
+    dt = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    assert {c: SPARK_TO_DUCK.get(t, t) for c, t in st.items()} == dt
