@@ -29,10 +29,12 @@ RUN_ID_FIXES = [
 ]
 
 
-def round_after_marker(run_id: Column) -> Column:
-    """P14 rule 1: integer after the first ``_round_`` (null when absent/invalid)."""
+def round_after_marker(run_id: Column, missing: int | None = 0) -> Column:
+    """P14 rule 1: integer after the first ``_round_``; absent or invalid ->
+    ``missing`` (the reference's "or 0" variant; pass None to drop later)."""
     part = F.element_at(F.split(run_id, "_round_"), 2)
-    return F.when(F.size(F.split(run_id, "_round_")) > 1, part.try_cast("int"))
+    r = F.when(F.size(F.split(run_id, "_round_")) > 1, part.try_cast("int"))
+    return r if missing is None else F.coalesce(r, F.lit(missing))
 
 
 def round_from_regex(run_id: Column, default: int = 1) -> Column:

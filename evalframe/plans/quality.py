@@ -303,7 +303,7 @@ s AS (SELECT source, round, len(t) AS n_tokens, len(list_distinct(t)) AS n_disti
 tk AS (SELECT DISTINCT source, round, unnest(t) AS tok FROM p),
 it AS (SELECT a.source, a.round, count(*) AS common FROM tk a JOIN tk b
   ON a.source = b.source AND a.round = b.round + 1 AND a.tok = b.tok GROUP BY a.source, a.round)
-SELECT s.source, s.round, s.n_tokens, s.n_distinct, s.n_tokens - pv.n_tokens AS token_change,
+SELECT s.source, s.round, s.n_tokens, s.n_distinct, CAST(s.n_tokens - pv.n_tokens AS DOUBLE) AS token_change,
   round(CASE WHEN pv.n_distinct IS NULL THEN NULL
     WHEN s.n_distinct + pv.n_distinct - coalesce(it.common, 0) > 0
     THEN coalesce(it.common, 0) / (s.n_distinct + pv.n_distinct - coalesce(it.common, 0)) ELSE 0.0 END, 6) AS jaccard_prev
@@ -316,4 +316,4 @@ def persona_evolution(spark, sf_dir):
     out = Q.persona_evolution(d, "source", "round", "text")
     return rounded(out.select("source", "round", F.col("n_tokens").cast("bigint").alias("n_tokens"),
                               F.col("n_distinct").cast("bigint").alias("n_distinct"),
-                              F.col("token_change").cast("bigint").alias("token_change"), "jaccard_prev"))
+                              F.col("token_change").cast("double").alias("token_change"), "jaccard_prev"))

@@ -40,7 +40,7 @@ RUN_IDS_SQL = A.with_sql(A.PAIRS_SQL, A.RESULTS_SQL) + f""", ids AS (
 
 
 @reg.add("run_id_parse", RUN_IDS_SQL + """SELECT run_id,
-  CASE WHEN len(string_split(run_id, '_round_')) > 1 THEN TRY_CAST(string_split(run_id, '_round_')[2] AS INTEGER) END AS round_after,
+  coalesce(CASE WHEN len(string_split(run_id, '_round_')) > 1 THEN TRY_CAST(string_split(run_id, '_round_')[2] AS INTEGER) END, 0) AS round_after,
   coalesce(TRY_CAST(regexp_extract(run_id, 'round_(\\d+)', 1) AS INTEGER), 1) AS round_regex,
   regexp_replace(run_id, '_round_\\d+$', '') AS base_run
 FROM ids""")
