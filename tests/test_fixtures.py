@@ -64,13 +64,6 @@ def test_identical_stimuli_across_conditions(spark):
     assert rows and all(r.d == 1 and r.c == 4 for r in rows)
 
 
-def test_backfill_fills_every_item(spark):
-    from __spark_entry__ import queries
-    out = queries()["metric_backfill"](spark, SF_SMALL).toPandas()
-    assert len(out) > 0
-    assert out["overall_bleu"].notna().all() or out["bleu"].isna().any()
-
-
 def _write_user_file(path):
     lines = [
         {"user_id": "42", "set": "history", "tweets": [
