@@ -45,3 +45,22 @@ def test_split_sets_are_disjoint_and_sized(spark):
     assert sp.groupBy("user_id", "tweet_id").count().where("count > 1").count() == 0
     sizes = {(r.user_id, r["set"]): r["count"] for r in sp.groupBy("user_id", "set").count().collect()}
     assert sizes and len(set(sizes.values())) == 1
+
+
+def test_describe_approx_close_to_exact(spark):
+    from evalframe.operators import analysis as X
+    r = A.results_from_events(spark, SF_MID)
+    exact = {x.condition: x for x in X.describe(r, ["condition"], "score").collect()}
+    approx = {x.condition: x for x in X.describe(r, ["condition"], "score", approx=True).collect()}
+    for c, e in exact.items():
+        a = approx[c]
+        assert a["count"] == e["count"] and abs(a.p50 - e.p50) <= 0.05 * (e["max"] - e["min"])
+
+
+def test_cut_lineage_checkpoints_into_the_session_dir(spark):
+    from evalframe.session import cut_lineage
+    df = spark.range(0, 100).withColumn("x", F.col("id") * 2)
+    c = cut_lineage(df)
+    assert c.count() == 100
+    assert "LogicalRDD" in c._jdf.queryExecution().logical().toString()
+    assert spark.conf.get("spark.checkpoint.dir")
