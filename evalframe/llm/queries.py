@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from evalframe.llm.ngram_join import ngram_join
+from evalframe.llm.packing import pack_documents
 from evalframe.llm.shared import table
+from evalframe.llm.tokenfile import token_files
 from evalframe.plans.common import Registry
 
 reg = Registry()
@@ -36,6 +40,17 @@ def op3_ngram_join(spark, sf_dir):
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+@reg.add("op2_pack_documents")
+def op2_pack_documents(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), keep_ids=False)
+
+
+@reg.add("op4_token_files")
+def op4_token_files(spark, sf_dir):
+    return token_files(table(spark, sf_dir, "documents")).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries():
     return reg.queries
 
