@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evalframe.llm.line_dedup import dedup_lines
 from evalframe.llm.ngram_join import ngram_join
 from evalframe.llm.packing import pack_documents
 from evalframe.llm.shared import table
@@ -51,6 +52,37 @@ def op4_token_files(spark, sf_dir):
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+OP9_SQL = r"""
+WITH line AS (
+  SELECT doc_id, unnest(generate_series(0, len(l) - 1)) AS pos, unnest(l) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
+sums AS (
+  SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS thru, thru - w AS before
+  FROM (SELECT *, len(regexp_extract_all(line, '[^ 	-]+')) AS w FROM line)),
+runs AS (
+  SELECT a.doc_id, a.pos, b.pos AS last, array_to_string(d.l[a.pos + 1:b.pos + 1], chr(10)) AS run
+  FROM sums a JOIN sums b ON a.doc_id = b.doc_id AND b.pos >= a.pos
+  JOIN (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) d ON d.doc_id = a.doc_id
+  WHERE b.thru - a.before >= 50 AND (b.before - a.before < 50 OR b.thru - a.thru < 50)),
+later AS (
+  SELECT doc_id, pos, last FROM (
+    SELECT *, row_number() OVER (PARTITION BY run, last - pos ORDER BY doc_id, pos) AS k FROM runs) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(pos, last)) AS pos FROM later),
+kept AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL) AS text,
+         count(*) AS n_lines, count(g.pos) AS n_removed
+  FROM line l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text,
+       coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed
+FROM documents d LEFT JOIN kept k USING (doc_id)
+"""
+
+
+@reg.add("op9_line_dedup", OP9_SQL)
+def op9_line_dedup(spark, sf_dir):
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return reg.queries
 
