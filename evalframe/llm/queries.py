@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from evalframe.llm.line_dedup import dedup_lines
 from evalframe.llm.ngram_join import ngram_join
 from evalframe.llm.packing import pack_documents
+from evalframe.llm.quality import quality
+from evalframe.llm.sharding import key_shard, row_size, shard_documents, SHARDS
 from evalframe.llm.shared import table
 from evalframe.llm.tokenfile import token_files
 from evalframe.plans.common import Registry
@@ -58,7 +60,8 @@ WITH line AS (
   FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
 sums AS (
   SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS thru, thru - w AS before
-  FROM (SELECT *, len(regexp_extract_all(line, '[^ 	-]+')) AS w FROM line)),
+  FROM (SELECT *, len(regexp_extract_all(line, '[^ 	-
+]+')) AS w FROM line)),
 runs AS (
   SELECT a.doc_id, a.pos, b.pos AS last, array_to_string(d.l[a.pos + 1:b.pos + 1], chr(10)) AS run
   FROM sums a JOIN sums b ON a.doc_id = b.doc_id AND b.pos >= a.pos
@@ -83,6 +86,20 @@ def op9_line_dedup(spark, sf_dir):
     return dedup_lines(table(spark, sf_dir, "documents"))
 
 
+@reg.add("op7_quality")
+def op7_quality(spark, sf_dir):
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@reg.add("op8_sharding")
+def op8_sharding(spark, sf_dir):
+    text = F.col("row.text")
+    read = shard_documents(table(spark, sf_dir, "documents"), F.col("row.doc_id").alias("doc_id"),
+                           row_size(text).alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"))
+    return read.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot",
+                       key_shard(F.col("doc_id"), SHARDS + 1).alias("grown_shard"))
+
+
 def queries():
     return reg.queries
 
