@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evalframe.llm.decontaminate import benchmark_passages
 from evalframe.llm.line_dedup import dedup_lines
 from evalframe.llm.ngram_join import ngram_join
 from evalframe.llm.packing import pack_documents
@@ -100,6 +101,11 @@ def op8_sharding(spark, sf_dir):
                        key_shard(F.col("doc_id"), SHARDS + 1).alias("grown_shard"))
 
 
+@reg.add("op5_benchmark_passages")
+def op5_benchmark_passages(spark, sf_dir):
+    return benchmark_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries():
     return reg.queries
 
