@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalframe.llm.decontaminate import benchmark_passages
+from evalframe.llm.license_scan import license_scan
 from evalframe.llm.line_dedup import dedup_lines
 from evalframe.llm.ngram_join import ngram_join
 from evalframe.llm.packing import pack_documents
 from evalframe.llm.quality import quality
 from evalframe.llm.sharding import key_shard, row_size, shard_documents, SHARDS
 from evalframe.llm.shared import table
+from evalframe.llm.token_counts import token_counts
 from evalframe.llm.tokenfile import token_files
 from evalframe.plans.common import Registry
 
@@ -106,6 +108,16 @@ def op5_benchmark_passages(spark, sf_dir):
     return benchmark_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@reg.add("op1_license_scan")
+def op1_license_scan(spark, sf_dir):
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+@reg.add("op10_token_counts")
+def op10_token_counts(spark, sf_dir):
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return reg.queries
 
