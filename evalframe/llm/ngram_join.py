@@ -12,7 +12,9 @@ at least ``num / 100``.  The plan:
   cost (postings read plus candidates that would reach verification);
 * star round: every class is compared with the smallest class of each posting list;
 * full round: pairs of classes that share prefix shingles, but are not yet in one
-  component, are counted, held against ``min(l, l')`` and verified exactly.
+  component, are counted, held against ``min(l, l')`` and verified exactly.  The smaller
+  set of a pair needs only ``n - ceil(2 t n / (1 + t)) + l`` places of its prefix, and a
+  shared shingle whose places leave too little room rules the pair out inside the join.
 
 Every pair at or above the threshold is verified or already connected, so the
 components are exact.  Copies cost one row per document, near copies one row per posting.
@@ -30,7 +32,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalframe.llm.shared import connected_components, shared_table, text_chunks
@@ -112,6 +114,19 @@ def prefixes(docs: DataFrame, counters: np.ndarray, num: int = NUM, bits: int =
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, schema)
 
 
+def index_length(num: int) -> Column:
+    """Places of its prefix that a set needs against sets of its size and above: the overlap
+    is then at least 2 t / (1 + t) of it, so ``n - ceil(2 t n / (1 + t)) + level`` do."""
+    return F.col("n") - F.ceil(F.col("n") * (2 * num) / (100 + num)) + F.col("level")
+
+
+def can_reach(num: int) -> Column:
+    """Whether sets that share a shingle at places ``ia`` and ``ib`` can be similar enough:
+    no more than the shorter starts, the shingle and the shorter ends can be common."""
+    most = F.least("ia", "ib") + 1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1
+    return most * (100 + num) >= num * (F.col("na") + F.col("nb"))
+
+
 def verify(pairs: DataFrame, texts: DataFrame, num: int = NUM, per_copy: int = 512) -> DataFrame:
     """Pairs (a, b) of ``texts(rep, text)`` whose exact set similarity reaches num / 100.
 
@@ -153,37 +168,39 @@ def ngram_join(docs: DataFrame, num: int = NUM, bits: int = SKETCH_BITS) -> Data
                            .agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_class")), "class")
     heads = (rows.where("n > 0").join(classes.select("sig", "rep"), "sig").where("doc_id = rep")
              .dropDuplicates(["rep", "sig"]))
-    postings = heads.select("rep", F.explode("prefix").alias("tok"))
-    lists = postings.groupBy("tok").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last")
-    met = shared_table(postings.join(lists.select("tok", "lead"), "tok"), "met")
+    # place, size and level of a posting travel as one number
+    packed = F.col("i").cast("long") * 2**40 + F.col("n") * 2**8 + F.col("level")
+    postings = heads.select("rep", "n", "level", F.posexplode("prefix").alias("i", "tok")).select("tok", "rep", packed.alias("p"))
+    lists = postings.groupBy("tok").agg(F.min("rep").alias("lead"), F.count("*").alias("m")).where("m > 1")
+    met = shared_table(postings.join(lists.select("tok", "lead"), "tok").select(
+        "tok", "rep", "lead", (F.col("p") / 2**40).cast("int").alias("i"),
+        F.expr("cast(shiftright(p, 8) & 4294967295 as int)").alias("n"), F.expr("cast(p & 255 as int)").alias("level")), "met")
     reps = met.select("rep").distinct()
-    info = shared_table(heads.join(reps, "rep", "left_semi").groupBy("rep")
-                        .agg(F.min("n").alias("n"), F.min("level").alias("level")), "info")
     texts = shared_table(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(reps, "rep", "left_semi")
                          .groupBy("rep").agg(F.min("text").alias("text")), "texts")
 
-    def candidates(shared: DataFrame) -> DataFrame:
-        """Counted pairs that share enough prefix shingles and whose sizes allow a link."""
-        one = info.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("level").alias("la"))
-        two = info.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("level").alias("lb"))
-        return (shared.join(one, "a").join(two, "b").where(F.col("shared") >= F.least("la", "lb"))
-                .where(100 * F.least("na", "nb") >= num * F.greatest("na", "nb")).select("a", "b"))
+    def side(rows: DataFrame, tag: str) -> DataFrame:
+        return rows.select("tok", F.col("rep").alias(tag), *[F.col(c).alias(c + tag) for c in ("i", "n", "level")],
+                           *([F.col("comp").alias("comp" + tag)] if "comp" in rows.columns else []))
+
+    def counted(pairs: DataFrame) -> DataFrame:
+        """Pairs that share as many prefix shingles as their lower level asks for."""
+        return (pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.least("levela", "levelb")).alias("least"))
+                .where("shared >= least").select("a", "b"))
 
-    star = shared_table(candidates(met.where("rep > lead").groupBy(F.col("lead").alias("a"), F.col("rep").alias("b"))
-                                   .agg(F.count("*").alias("shared"))), "star")
+    # b is the smaller set: its shingles up to place index_length are enough
+    first = side(met.where("rep = lead"), "a").join(side(met.where("rep > lead"), "b"), "tok").where(can_reach(num))
+    star = shared_table(counted(first), "star")
     links = shared_table(verify(star, texts, num), "links")
     comp = shared_table(connected_components(links), "comp")
-    tagged = (met.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-              .select("tok", "rep", F.coalesce("component", "rep").alias("comp")))
+    tagged = met.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
     open_lists = (tagged.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                   .where("lo < hi").select("tok"))
-    tagged = shared_table(tagged.join(open_lists, "tok", "left_semi"), "open")
-    left = tagged.join(info, "rep").select("tok", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
-    right = tagged.join(info, "rep").select("tok", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-    apart = (left.join(right, "tok").where("a < b and ca <> cb")
-             .where(100 * F.least("na", "nb") >= num * F.greatest("na", "nb"))
-             .groupBy("a", "b").agg(F.count("*").alias("shared")))
-    rest = shared_table(candidates(apart).join(star, ["a", "b"], "left_anti"), "rest")
+    tagged = shared_table(tagged.select("tok", "rep", "i", "n", "level", "comp").join(open_lists, "tok", "left_semi"), "open")
+    apart = (side(tagged, "a").join(side(tagged.where(F.col("i") < index_length(num)), "b"), "tok")
+             .where("compa <> compb and (na > nb or (na = nb and a > b))").where(can_reach(num)))
+    rest = shared_table(counted(apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+                        .join(star, ["a", "b"], "left_anti"), "rest")
     links = links.unionByName(verify(rest, texts, num))
     comp = shared_table(connected_components(links), "comp")
     named = (classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
