@@ -40,8 +40,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 DOC = ["d", "h"]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-2**63)).alias("d"),
+def _keyed(docs: DataFrame, *more: str) -> DataFrame:
+    return docs.select(*more, "doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-2**63)).alias("d"),
                        F.xxhash64("text").alias("h"))
 
 
@@ -103,14 +103,34 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             .groupBy(*DOC, "group").agg(F.min("pos").alias("lo"), F.max("stop").alias("hi")).drop("group"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, text, n_lines, n_removed) of every row, without the later copies."""
+def _cut(rows: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
+    """``rows`` (with d, h and text) and their new text and line counts."""
     cuts = (repeated_runs(docs, min_words).groupBy(*DOC)
             .agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("cuts")))
     kept = F.expr("transform(sequence(0, size(cuts)), i -> slice(lines, if(i = 0, 0, cuts[i - 1].hi) + 1, "
                   "if(i = size(cuts), size(lines), cuts[i].lo) - if(i = 0, 0, cuts[i - 1].hi)))")
-    return (_keyed(docs).join(cuts, DOC, "left").withColumn("lines", F.split("text", "\n", -1))
-            .select("doc_id", F.when(F.col("cuts").isNull(), F.col("text"))
-                    .otherwise(F.array_join(F.flatten(kept), "\n")).alias("text"),
-                    F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
-                    F.coalesce(F.expr("aggregate(cuts, 0L, (n, c) -> n + c.hi - c.lo)"), F.lit(0)).cast("long").alias("n_removed")))
+    return (rows.join(cuts, DOC, "left").withColumn("lines", F.split("text", "\n", -1))
+            .withColumn("new", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(kept), "\n")))
+            .withColumn("n_lines", F.coalesce(F.size("lines"), F.lit(0)).cast("long"))
+            .withColumn("n_removed", F.coalesce(F.expr("aggregate(cuts, 0L, (n, c) -> n + c.hi - c.lo)"), F.lit(0)).cast("long")))
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, text, n_lines, n_removed) of every row, without the later copies."""
+    return _cut(_keyed(docs), docs, min_words).select("doc_id", F.col("new").alias("text"), "n_lines", "n_removed")
+
+
+def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs``, all columns, with the shortened texts; rows of which no line is left go.
+    A column ``n_chars`` is brought up to date where the text changed."""
+    rows = _keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text"), "row")
+    cut = _cut(rows, docs, min_words).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    out = []
+    for c in docs.columns:
+        own = F.col("row")[c]
+        if c == "text":
+            own = F.col("new")
+        elif c == "n_chars":
+            own = F.when(F.col("n_removed") > 0, F.char_length("new")).otherwise(own).cast(docs.schema[c].dataType)
+        out.append(own.alias(c))
+    return cut.select(*out)

@@ -209,3 +209,12 @@ def ngram_join(docs: DataFrame, num: int = NUM, bits: int = SKETCH_BITS) -> Data
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
                     F.when(F.col("n") > 0, F.col("n_class")).alias("n_class")))
+
+
+def drop_near_copies(docs: DataFrame, num: int = NUM) -> DataFrame:
+    """``docs``, all columns, with one document of each component: that of the smallest id.
+    Rows that repeat an id are one document; rows without id all stay."""
+    heads = (ngram_join(docs, num).where("doc_id = component_id").select(F.col("doc_id").alias("head")).distinct())
+    known = docs.where("doc_id is not null")
+    kept = known.join(heads, known["doc_id"].cast("long") == heads["head"], "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))

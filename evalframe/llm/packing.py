@@ -177,7 +177,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, bucket_rows: int = BUCKET_
     buckets = max(1, -(-part.count() // bucket_rows))
     schema = part.withColumn("offset", F.lit(0).cast("long")).schema
 
-    def place(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("sequence_id", kind="stable").reset_index(drop=True)
         length = rows["length"].to_numpy()
         bins = local_search(length, best_fit(length, capacity), capacity)

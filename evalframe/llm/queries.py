@@ -14,6 +14,7 @@ from evalframe.llm.sharding import key_shard, row_size, shard_documents, SHARDS
 from evalframe.llm.shared import table
 from evalframe.llm.token_counts import token_counts
 from evalframe.llm.tokenfile import token_files
+from evalframe.llm.toxicity import toxicity
 from evalframe.plans.common import Registry
 
 reg = Registry()
@@ -118,6 +119,11 @@ def op10_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+@reg.add("op6_toxicity")
+def op6_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries():
     return reg.queries
 

@@ -38,11 +38,11 @@ def _powers(n: int) -> np.ndarray:
     return _power
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(texts: list[bytes], blank: np.ndarray = WS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each word, first word of each text plus the end, first byte and end
-    byte of each word in the newline-joined texts)."""
+    byte of each word in the newline-joined texts).  ``blank``: which bytes are no words."""
     a = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    ws = WS[a]
+    ws = blank[a]
     edge = np.flatnonzero(np.diff(ws, prepend=True))
     start, end = edge[0::2], edge[1::2]
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
