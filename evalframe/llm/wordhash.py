@@ -19,7 +19,7 @@ _BYTE[65:91] = _BYTE[97:123]
 _BYTE[WS] = 0
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POS = _rng.integers(1, 2**64, SHINGLE, dtype=np.uint64) | np.uint64(1)
-_power = np.ones(64, np.uint64)
+_power = np.ones(1, np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -32,7 +32,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> np.ndarray:
     global _power
     if len(_power) < n:
-        p = np.full(max(n, 2 * len(_power)), _BASE)
+        p = np.full(max(n, 64, 2 * len(_power)), _BASE)
         p[0] = 1
         _power = np.multiply.accumulate(p)
     return _power
