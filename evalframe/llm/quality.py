@@ -51,7 +51,8 @@ def _hashed(docs: DataFrame) -> DataFrame:
 def weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """One row, ``weights``: log p_target / p_raw of each bucket, add-one smoothed."""
     trusted = labels.groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1")
-    marked = docs.select("doc_id", "text").join(trusted.select("doc_id", F.lit(1).alias("t")), "doc_id", "left")
+    # a merge join at every size: the label table grows with the documents
+    marked = docs.select("doc_id", "text").join(trusted.select("doc_id", F.lit(1).alias("t")).hint("merge"), "doc_id", "left")
     grams = (_hashed(marked.select("text", F.coalesce("t", F.lit(0)).alias("t")))
              .select("t", F.explode(hashed_grams(buckets)).alias("bucket")))
     counted = grams.groupBy("bucket").agg(F.sum("t").alias("t"), F.count("*").alias("r"))
