@@ -111,7 +111,7 @@ def _cut(rows: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
                   "if(i = size(cuts), size(lines), cuts[i].lo) - if(i = 0, 0, cuts[i - 1].hi)))")
     return (rows.join(cuts, DOC, "left").withColumn("lines", F.split("text", "\n", -1))
             .withColumn("new", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(kept), "\n")))
-            .withColumn("n_lines", F.coalesce(F.size("lines"), F.lit(0)).cast("long"))
+            .withColumn("n_lines", F.when(F.col("text").isNotNull(), F.size("lines")).otherwise(0).cast("long"))
             .withColumn("n_removed", F.coalesce(F.expr("aggregate(cuts, 0L, (n, c) -> n + c.hi - c.lo)"), F.lit(0)).cast("long")))
 
 

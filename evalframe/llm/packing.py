@@ -97,22 +97,24 @@ def local_search(length: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndar
     for i, b in enumerate(bins.tolist()):
         members[b].append(i)
     spare = int(capacity * count - fill.sum()) // capacity
-    stuck: set[int] = set()
-    while spare > 0:
-        # units: single pieces and pairs of pieces that a bin can give for a longer unit
+
+    def units(of) -> tuple[np.ndarray, np.ndarray, list]:
+        """What bins can give for a longer unit: single pieces and pairs of pieces."""
         owner, size, parts = [], [], []
-        for b in np.flatnonzero((fill < capacity) & (fill > 0)).tolist():
+        for b in of:
             m = members[b]
             for x in range(len(m)):
                 owner.append(b), size.append(int(length[m[x]])), parts.append((m[x],))
                 for y in range(x + 1, len(m) if len(m) <= 6 else 0):
                     owner.append(b), size.append(int(length[m[x]] + length[m[y]])), parts.append((m[x], m[y]))
-        owner_a, size_a = np.array(owner, np.int64), np.array(size, np.int64)
-        fresh = np.ones(count, bool)
+        return np.array(owner, np.int64), np.array(size, np.int64), parts
+
+    while spare > 0:
+        touched: set[int] | None = None  # bins that changed since the units were listed
         saved = 0
         for v in sorted(np.flatnonzero((fill > 0) & (fill < capacity)).tolist(), key=lambda b: (fill[b], b)):
-            if v in stuck or saved >= spare:
-                continue
+            if saved >= spare:
+                break
             moved = True
             while members[v] and moved:
                 moved = False
@@ -124,35 +126,40 @@ def local_search(length: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndar
                     room = np.where(gap >= length[i], gap, capacity + 1)
                     b = int(room.argmin())
                     if room[b] <= capacity:
-                        _shift(members, fill, bins, length, fresh, v, b, (i,), ())
+                        _shift(members, fill, bins, length, v, b, (i,), ())
+                        if touched is not None:
+                            touched |= {v, b}
                         moved = True
                         break
                 if moved:
                     continue
-                give = [(i,) for i in m] + [(i, j) for k, i in enumerate(m) for j in m[k + 1:]]
+                if touched is None or len(touched) > 64:
+                    listed, touched = units(np.flatnonzero((fill < capacity) & (fill > 0)).tolist()), set()
+                stale = np.zeros(count, bool)
+                stale[list(touched)] = True
                 best, choice = 0, None
-                usable = fresh[owner_a] & (gap[owner_a] > 0)
-                for unit in give:  # exchange for a shorter unit of a fuller bin
-                    n = int(sum(length[k] for k in unit))
-                    gain = np.where(usable & (size_a + gap[owner_a] >= n), n - size_a, 0)
-                    k = int(gain.argmax()) if len(gain) else 0
-                    if len(gain) and gain[k] > best:
-                        best, choice = int(gain[k]), (unit, k)
+                give = [(i,) for i in m] + [(i, j) for k, i in enumerate(m) for j in m[k + 1:]]
+                for owner, size, parts, usable in ((*listed, ~stale), (*units(sorted(touched)), stale)):
+                    usable = usable[owner] & (gap[owner] > 0)
+                    for unit in give:  # exchange for a shorter unit of a fuller bin
+                        n = int(sum(length[k] for k in unit))
+                        gain = np.where(usable & (size + gap[owner] >= n), n - size, 0)
+                        k = int(gain.argmax()) if len(gain) else 0
+                        if len(gain) and gain[k] > best:
+                            best, choice = int(gain[k]), (int(owner[k]), unit, parts[k])
                 if choice:
-                    unit, k = choice
-                    _shift(members, fill, bins, length, fresh, v, int(owner_a[k]), unit, parts[k])
+                    b, unit, back = choice
+                    _shift(members, fill, bins, length, v, b, unit, back)
+                    touched |= {v, b}
                     moved = True
-            if members[v]:
-                stuck.add(v)
-            else:
-                saved += 1
+            saved += not members[v]
         spare -= saved
         if not saved:
             break
     return bins
 
 
-def _shift(members, fill, bins, length, fresh, v, b, there, back) -> None:
+def _shift(members, fill, bins, length, v, b, there, back) -> None:
     """Unit ``there`` goes from bin v to b, unit ``back`` from b to v."""
     for i in there:
         members[v].remove(i)
@@ -166,7 +173,6 @@ def _shift(members, fill, bins, length, fresh, v, b, there, back) -> None:
         bins[i] = v
         fill[b] -= length[i]
         fill[v] += length[i]
-    fresh[b] = fresh[v] = False
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
