@@ -31,6 +31,7 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,7 @@ NUM = 80
 SKETCH_BITS = 20
 MAX_LEVEL = 16
 VERIFY_COST = 50.0
+FILTER_BITS = 22
 
 
 def _bucket(s: np.ndarray, bits: int) -> np.ndarray:
@@ -127,6 +129,30 @@ def can_reach(num: int) -> Column:
     return most * (100 + num) >= num * (F.col("na") + F.col("nb"))
 
 
+def bitmap(keys: DataFrame, bits: int = FILTER_BITS):
+    """A predicate on the one column of ``keys``: false only where the value is not among
+    them.  It is a bitmap of 2**bits places, whatever the number of keys, that keeps most
+    rows without a partner out of a shuffle; a join decides about the others."""
+    place = F.pmod(F.xxhash64(keys.columns[0]), F.lit(1 << bits)).cast("int")
+    marks = np.zeros(1 << bits, bool)
+    marks[keys.select(place.alias("m")).distinct().toArrow()["m"].to_numpy()] = True
+    known = keys.sparkSession.sparkContext.broadcast(np.packbits(marks))
+
+    @F.pandas_udf("boolean")
+    def may_be(at: pd.Series) -> pd.Series:
+        at = at.to_numpy()
+        return pd.Series(known.value[at >> 3] >> (7 - (at & 7)) & 1 == 1)
+
+    return may_be(place)
+
+
+def texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rep, text) of the classes in ``pairs``."""
+    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    wanted = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("rep is not null").where(bitmap(ids))
+    return shared_table(wanted.join(ids, "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text")), "texts")
+
+
 def verify(pairs: DataFrame, texts: DataFrame, num: int = NUM, per_copy: int = 512) -> DataFrame:
     """Pairs (a, b) of ``texts(rep, text)`` whose exact set similarity reaches num / 100.
 
@@ -166,8 +192,12 @@ def ngram_join(docs: DataFrame, num: int = NUM, bits: int = SKETCH_BITS) -> Data
     rows = shared_table(prefixes(docs, shingle_counters(docs, bits), num, bits), "prefix")
     classes = shared_table(rows.where("n > 0 and doc_id is not null").groupBy("sig")
                            .agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_class")), "class")
-    heads = (rows.where("n > 0").join(classes.select("sig", "rep"), "sig").where("doc_id = rep")
-             .dropDuplicates(["rep", "sig"]))
+    # only rows of classes with copies have to be joined to find their head
+    copied = classes.where("n_class > 1").select("sig", "rep")
+    full = rows.where("n > 0 and doc_id is not null").withColumn("copied", bitmap(copied.select("sig")))
+    heads = full.where("not copied").select(F.col("doc_id").alias("rep"), "n", "level", "prefix").unionByName(
+        full.where("copied").join(classes.select("sig", "rep"), "sig").where("doc_id = rep")
+        .dropDuplicates(["rep", "sig"]).select("rep", "n", "level", "prefix"))
     # place, size and level of a posting travel as one number
     packed = F.col("i").cast("long") * 2**40 + F.col("n") * 2**8 + F.col("level")
     postings = heads.select("rep", "n", "level", F.posexplode("prefix").alias("i", "tok")).select("tok", "rep", packed.alias("p"))
@@ -175,10 +205,6 @@ def ngram_join(docs: DataFrame, num: int = NUM, bits: int = SKETCH_BITS) -> Data
     met = shared_table(postings.join(lists.select("tok", "lead"), "tok").select(
         "tok", "rep", "lead", (F.col("p") / 2**40).cast("int").alias("i"),
         F.expr("cast(shiftright(p, 8) & 4294967295 as int)").alias("n"), F.expr("cast(p & 255 as int)").alias("level")), "met")
-    reps = met.select("rep").distinct()
-    texts = shared_table(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(reps, "rep", "left_semi")
-                         .groupBy("rep").agg(F.min("text").alias("text")), "texts")
-
     def side(rows: DataFrame, tag: str) -> DataFrame:
         return rows.select("tok", F.col("rep").alias(tag), *[F.col(c).alias(c + tag) for c in ("i", "n", "level")],
                            *([F.col("comp").alias("comp" + tag)] if "comp" in rows.columns else []))
@@ -191,7 +217,7 @@ def ngram_join(docs: DataFrame, num: int = NUM, bits: int = SKETCH_BITS) -> Data
     # b is the smaller set: its shingles up to place index_length are enough
     first = side(met.where("rep = lead"), "a").join(side(met.where("rep > lead"), "b"), "tok").where(can_reach(num))
     star = shared_table(counted(first), "star")
-    links = shared_table(verify(star, texts, num), "links")
+    links = shared_table(verify(star, texts_of(star, docs), num), "links")
     comp = shared_table(connected_components(links), "comp")
     tagged = met.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
     open_lists = (tagged.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
@@ -201,7 +227,7 @@ def ngram_join(docs: DataFrame, num: int = NUM, bits: int = SKETCH_BITS) -> Data
              .where("compa <> compb and (na > nb or (na = nb and a > b))").where(can_reach(num)))
     rest = shared_table(counted(apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                         .join(star, ["a", "b"], "left_anti"), "rest")
-    links = links.unionByName(verify(rest, texts, num))
+    links = links.unionByName(verify(rest, texts_of(rest, docs), num))
     comp = shared_table(connected_components(links), "comp")
     named = (classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
              .select("sig", "n_class", F.coalesce("component", "rep").alias("component")))
@@ -213,8 +239,16 @@ def ngram_join(docs: DataFrame, num: int = NUM, bits: int = SKETCH_BITS) -> Data
 
 def drop_near_copies(docs: DataFrame, num: int = NUM) -> DataFrame:
     """``docs``, all columns, with one document of each component: that of the smallest id.
-    Rows that repeat an id are one document; rows without id all stay."""
-    heads = (ngram_join(docs, num).where("doc_id = component_id").select(F.col("doc_id").alias("head")).distinct())
-    known = docs.where("doc_id is not null")
-    kept = known.join(heads, known["doc_id"].cast("long") == heads["head"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    Rows that repeat id and text are one document; rows without id all stay."""
+    found = shared_table(ngram_join(docs, num).where("doc_id is not null"), "found")
+    linked = (found.where("component_id <> doc_id or n_class > 1").groupBy(F.col("doc_id").alias("linked"))
+              .agg(F.max(F.col("component_id") == F.col("doc_id")).alias("head")))
+    key = F.coalesce(docs["doc_id"].cast("long"), F.lit(-2**63))
+    near = "__near"
+    while near in docs.columns:
+        near += "_"
+    marked = docs.withColumn(near, F.col("doc_id").isNotNull() & bitmap(linked.select(F.col("linked").alias("doc_id"))))
+    rest = marked.where(F.col(near)).join(linked, key == F.col("linked"), "left")
+    one = rest.where("head").dropDuplicates(["doc_id"])
+    return (marked.where(~F.col(near)).drop(near).unionByName(rest.where("linked is null").select(*docs.columns))
+            .unionByName(one.select(*docs.columns)))
