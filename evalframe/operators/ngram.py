@@ -1,61 +1,54 @@
-"""Shared n-gram overlap job (M1 ROUGE-N, M3 BLEU, lexical cosine).
-
-One projection builds every gram array (regex n-grams, code-generated), two
-plain ``explode``s turn them into (pair, gram-set, gram) rows, and two
-aggregations give, per pair and gram set, the clipped overlap
-``sum_g min(count_pred(g), count_ref(g))`` and the gram totals (the totals
-of order 1 are the token counts, so lengths need no second pass).
-
-Plan shape (see ``explain``):
-  scan -> project(tokens, grams) -> Generate(posexplode) -> Generate(explode_outer)
-  -> HashAggregate(partial) -> Exchange(hash pair, set, gram) -> HashAggregate(final)
-  -> HashAggregate(partial by pair) -> Exchange(hash pair) -> HashAggregate(final)
-
-Only the pair key and the gram travel through the shuffles; the first one is
-keyed by the gram as well, so one very long text (or a hot pair) is spread
-over all reducers, and the map-side partial aggregate collapses repeated
-grams first.  Every pair survives (``explode_outer`` keeps empty gram sets).
+"""N-gram overlap of the two texts of a pair (M1 ROUGE-N, M3 BLEU, lexical cosine).
+
+Both token arrays of a pair are on one row, so the overlap is counted there, by a small
+Arrow-batched helper: no gram is ever shuffled, a hot pair key or a very long text costs
+its own row only, and every other column stays in place.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.functions.text import ngrams
+
+def _grams(tokens, n: int) -> Counter:
+    return Counter(tokens) if n == 1 else Counter(zip(*(tokens[i:] for i in range(n))))
+
+
+def pair_counts(a: Sequence[str], b: Sequence[str], orders: Sequence[int], cosine: bool) -> list[int]:
+    """For each order the clipped overlap and both totals; with ``cosine`` also the dot
+    product of the term frequencies and both squared norms."""
+    a, b = list(a) if a is not None else [], list(b) if b is not None else []
+    out: list[int] = []
+    for n in orders:
+        p, r = _grams(a, n), _grams(b, n)
+        small, large = (p, r) if len(p) <= len(r) else (r, p)
+        out += [sum(min(c, large[g]) for g, c in small.items() if g in large), max(0, len(a) - n + 1), max(0, len(b) - n + 1)]
+    if cosine:
+        p, r = _grams(a, 1), _grams(b, 1)
+        out += [sum(c * r[g] for g, c in p.items() if g in r), sum(c * c for c in p.values()), sum(c * c for c in r.values())]
+    return out
 
 
-def overlap_counts(pairs: DataFrame, key_cols: Sequence[str],
-                   token_sets: dict[str, tuple[Column, Column, Sequence[int]]],
+def overlap_counts(pairs: DataFrame, token_sets: dict[str, tuple[Column, Column, Sequence[int]]],
                    cosine: Sequence[str] = ()) -> DataFrame:
-    """Per pair: ``{prefix}_m{n}`` clipped overlaps, ``{prefix}_p{n}`` /
-    ``{prefix}_r{n}`` gram totals of the prediction / reference side, and for
-    prefixes in ``cosine`` the unigram term-frequency dot product and squared
-    norms ``{prefix}_dot``, ``{prefix}_np2``, ``{prefix}_nr2``.
-    """
-    arrays, specs = [], []           # specs[j] = (prefix, n); arrays[2j] pred, arrays[2j+1] ref
-    for prefix, (pt, rt, orders) in token_sets.items():
-        for n in orders:
-            specs.append((prefix, n))
-            arrays += [ngrams(pt, n), ngrams(rt, n)]
-    key = list(key_cols)
-    sets = pairs.select(*key, F.posexplode(F.array(*arrays)).alias("ci", "arr"))
-    grams = sets.select(*key, (F.col("ci") / 2).cast("int").alias("gs"), (F.col("ci") % 2).alias("side"),
-                        F.explode_outer("arr").alias("gram"))
-    present = F.col("gram").isNotNull()
-    per_gram = grams.groupBy(*key, "gs", "gram").agg(
-        F.count_if(present & (F.col("side") == 0)).alias("cp"),
-        F.count_if(present & (F.col("side") == 1)).alias("cr"))
-    aggs = []
-    for j, (p, n) in enumerate(specs):
-        this = F.col("gs") == j
-        aggs += [F.sum(F.when(this, F.least("cp", "cr")).otherwise(0)).alias(f"{p}_m{n}"),
-                 F.sum(F.when(this, F.col("cp")).otherwise(0)).alias(f"{p}_p{n}"),
-                 F.sum(F.when(this, F.col("cr")).otherwise(0)).alias(f"{p}_r{n}")]
-        if p in cosine and n == 1:
-            aggs += [F.sum(F.when(this, F.col("cp") * F.col("cr")).otherwise(0)).alias(f"{p}_dot"),
-                     F.sum(F.when(this, F.col("cp") * F.col("cp")).otherwise(0)).alias(f"{p}_np2"),
-                     F.sum(F.when(this, F.col("cr") * F.col("cr")).otherwise(0)).alias(f"{p}_nr2")]
-    return per_gram.groupBy(*key).agg(*aggs)
+    """All columns of ``pairs`` and, per prefix, ``{prefix}_m{n}`` clipped overlaps,
+    ``{prefix}_p{n}`` / ``{prefix}_r{n}`` gram totals of the prediction / reference side,
+    and for prefixes in ``cosine`` ``{prefix}_dot``, ``{prefix}_np2``, ``{prefix}_nr2``."""
+    for prefix, (pred, ref, orders) in token_sets.items():
+        names = [f"{prefix}_{k}{n}" for n in orders for k in "mpr"]
+        names += [f"{prefix}_{k}" for k in ("dot", "np2", "nr2")] if prefix in cosine else []
+        orders, with_cosine = tuple(orders), prefix in cosine
+
+        def count(batches: Iterator[tuple[pd.Series, pd.Series]], names=tuple(names), orders=orders,
+                  with_cosine=with_cosine) -> Iterator[pd.DataFrame]:
+            for a, b in batches:
+                yield pd.DataFrame([pair_counts(x, y, orders, with_cosine) for x, y in zip(a, b)], columns=list(names), dtype="int64")
+
+        counted = F.pandas_udf(count, ", ".join(f"{n} long" for n in names), F.PandasUDFType.SCALAR_ITER)
+        pairs = pairs.withColumn("_counts", counted(pred, ref)).select("*", "_counts.*").drop("_counts")
+    return pairs

@@ -66,9 +66,9 @@ def format_compliance(raw_pred: Column, clean_pred: Column, ref: Column) -> Colu
 
 def tf_cosine(pairs: DataFrame, key: Sequence[str], a: Column, b: Column) -> DataFrame:
     """Lexical similarity fallback for M10: cosine of term-frequency vectors
-    of the ROUGE tokens (0 when a side is empty), via the shared n-gram job."""
+    of the ROUGE tokens (0 when a side is empty), counted inside the row."""
     base = pairs.select(*key, rouge_tokens(a).alias("_a"), rouge_tokens(b).alias("_b"))
-    c = overlap_counts(base, list(key), {"s": (F.col("_a"), F.col("_b"), (1,))}, cosine=("s",))
+    c = overlap_counts(base, {"s": (F.col("_a"), F.col("_b"), (1,))}, cosine=("s",))
     den = F.sqrt(F.col("s_np2").cast("double") * F.col("s_nr2").cast("double"))
     return c.select(*key, F.when(den > 0, F.col("s_dot") / den).otherwise(F.lit(0.0)).alias("similarity"))
 

@@ -28,6 +28,17 @@ METRIC_ALIASES = {"rouge": "rouge", "bleu": "bleu", "bertscore": "bertscore",
                   "gpt_eval": "judge", "llm_evaluation": "judge"}
 
 
+# metrics that score_pairs computes from two texts; the others need a model or a corpus
+SCORED_METRICS = {"rouge", "bleu"}
+
+
+def metric_name(name: str) -> str:
+    """The canonical metric of a configured name; raises for unknown ones."""
+    if name not in METRIC_ALIASES:
+        raise ValueError(f"unknown metric {name!r}; known: {sorted(METRIC_ALIASES)}")
+    return METRIC_ALIASES[name]
+
+
 def _f1(p: Column, r: Column) -> Column:
     return F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
 
@@ -72,37 +83,30 @@ def score_pairs(pairs: DataFrame, key_cols: Sequence[str] = DEFAULT_KEY,
                 rouge_l: bool = True, wide: Sequence[str] = ()) -> DataFrame:
     """Per-pair ROUGE-1/2/L F1 and BLEU (with precisions, BP, lengths).
 
-    ``metrics`` is the configured metric list (M14): only the requested
-    token streams, n-gram orders and UDFs are planned.  ``carry`` columns
-    (small, e.g. ids) ride along with the pair key through the n-gram
-    shuffle; ``wide`` columns (e.g. the texts) and the ROUGE-L LCS are joined
-    back once per pair, never copied onto gram rows.
+    ``metrics`` is the configured metric list (M14): only the requested token streams,
+    n-gram orders and helpers are planned; an unknown name, or a metric that this function
+    cannot score from two texts, raises.  Scoring works inside the row, so the plan has no
+    exchange; ``carry`` and ``wide`` name the columns to keep beside the key.
     """
-    wanted = {METRIC_ALIASES.get(m, m) for m in metrics}
+    wanted = {metric_name(m) for m in metrics}
+    if wanted - SCORED_METRICS:
+        raise ValueError(f"not scored from text pairs: {sorted(wanted - SCORED_METRICS)}")
     key = list(key_cols)
     carry = [c for c in carry if c in pairs.columns and c not in key]
     wide = [c for c in wide if c in pairs.columns and c not in key and c not in carry]
-    base = pairs.select(*key, *carry, *[c for c in wide if c not in ("prediction", "reference")],
-                        "prediction", "reference")
-    # token arrays are materialised in one projection: the generator below
-    # then reads columns instead of re-running the tokenisers per n-gram order
-    token_sets, tok_cols = {}, []
+    # token arrays are made once; the helpers read them as columns
+    counts = pairs.select(*key, *carry, *wide, *[F.col(c).alias("_" + c) for c in ("prediction", "reference")])
+    pred, ref = F.col("_prediction"), F.col("_reference")
     if "rouge" in wanted:
-        tok_cols += [rouge_tokens(F.col("prediction")).alias("_rp"), rouge_tokens(F.col("reference")).alias("_rr")]
-        token_sets["r"] = (F.col("_rp"), F.col("_rr"), (1, 2))
+        counts = counts.withColumns({"_rp": rouge_tokens(pred), "_rr": rouge_tokens(ref)})
+    if "bleu" in wanted:
+        counts = counts.withColumns({"_bp": bleu_tokens(pred), "_br": bleu_tokens(ref)})
+    if "rouge" in wanted:
+        counts = overlap_counts(counts, {"r": (F.col("_rp"), F.col("_rr"), (1, 2))})
+        if rouge_l:
+            counts = counts.withColumn("r_lcs", lcs(F.col("_rp"), F.col("_rr")))
     if "bleu" in wanted:
-        tok_cols += [bleu_tokens(F.col("prediction")).alias("_bp"), bleu_tokens(F.col("reference")).alias("_br")]
-        token_sets["b"] = (F.col("_bp"), F.col("_br"), tuple(range(1, BLEU_MAX_ORDER + 1)))
-    if not token_sets:
-        return pairs.select(*key, *carry, *wide)
-    base = base.select("*", *tok_cols)
-    counts = overlap_counts(base, key + carry, token_sets)
-    side_cols = list(wide)
-    if "rouge" in wanted and rouge_l:
-        side_cols.append("r_lcs")
-        base = base.withColumn("r_lcs", lcs(F.col("_rp"), F.col("_rr")))
-    if side_cols:
-        counts = counts.join(base.select(*key, *side_cols), key)
+        counts = overlap_counts(counts, {"b": (F.col("_bp"), F.col("_br"), tuple(range(1, BLEU_MAX_ORDER + 1)))})
     out = [F.col(c) for c in key + carry + wide]
     if "rouge" in wanted:
         lp, lr = F.col("r_p1"), F.col("r_r1")
