@@ -4,8 +4,9 @@ The reference has no streaming operators; its incremental behaviours --
 "mask only posts that are not masked yet" and "replace an evaluation when
 its run id comes again" -- map onto ``foreachBatch`` micro-batches that reuse
 the batch operators.  Each micro-batch writes to a directory named by its
-batch id with ``overwrite``, so a replay after a failure rewrites the same
-output (exactly-once with the checkpoint).
+batch id with ``overwrite`` and reads only folders of earlier batches that were
+written to the end, so a replay after a failure rewrites the same output
+(exactly-once with the checkpoint).
 """
 
 from __future__ import annotations
@@ -19,10 +20,20 @@ from evalframe.operators import analysis as X
 from evalframe.operators import mask as M
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def _committed(spark: SparkSession, path: str, prefix: str, below: int | None = None) -> list[str]:
+    """Folders ``<prefix><number>`` under ``path`` that were written to the end (``_SUCCESS``),
+    in ascending order, with a number under ``below`` (listing only, no data read)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    found = []
+    for s in fs.listStatus(p):
+        name, own = s.getPath().getName(), s.getPath()
+        if (name.startswith(prefix) and (below is None or int(name[len(prefix):]) < below)
+                and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own, "_SUCCESS"))):
+            found.append((int(name[len(prefix):]), f"{path}/{name}"))
+    return [f for _, f in sorted(found)]
 
 
 def mask_stream(spark: SparkSession, source_dir: str, schema: StructType, sink_dir: str,
@@ -34,9 +45,10 @@ def mask_stream(spark: SparkSession, source_dir: str, schema: StructType, sink_d
 
     def batch(df: DataFrame, batch_id: int) -> None:
         todo = df.where(F.col("masked_text").isNull()) if "masked_text" in df.columns else df
-        if _exists(spark, sink_dir):
-            done = spark.read.parquet(sink_dir).select("tweet_id")
-            todo = todo.join(done, "tweet_id", "left_anti")
+        # a replay must not see its own earlier output, or it would drop all of its rows
+        done = _committed(spark, sink_dir, "batch_id=", below=batch_id)
+        if done:
+            todo = todo.join(spark.read.parquet(*done).select("tweet_id"), "tweet_id", "left_anti")
         out = M.attach_lexicon(todo, lexicon).select(
             "user_id", "tweet_id", M.deterministic_mask(F.col("full_text")).alias("masked_text"))
         out.write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}")
@@ -55,7 +67,8 @@ def evaluation_upsert_stream(spark: SparkSession, source_dir: str, schema: Struc
     stream = spark.readStream.schema(schema).format(fmt).load(source_dir)
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        prev = latest_version(spark, table_dir)
+        # the last whole version before this batch; a crashed write leaves none
+        prev = latest_version(spark, table_dir, below=batch_id)
         current = spark.read.parquet(prev) if prev else df.limit(0)
         merged = X.upsert_latest(current.select(*df.columns), df, list(key), list(order))
         merged.write.mode("overwrite").parquet(f"{table_dir}/version={batch_id:012d}")
@@ -65,12 +78,7 @@ def evaluation_upsert_stream(spark: SparkSession, source_dir: str, schema: Struc
     return w.start()
 
 
-def latest_version(spark: SparkSession, table_dir: str) -> str | None:
-    """Path of the newest ``version=...`` folder (listing only, no data read)."""
-    if not _exists(spark, table_dir):
-        return None
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(table_dir)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith("version="))
-    return f"{table_dir}/{names[-1]}" if names else None
+def latest_version(spark: SparkSession, table_dir: str, below: int | None = None) -> str | None:
+    """Path of the newest ``version=...`` folder that was written to the end."""
+    found = _committed(spark, table_dir, "version=", below)
+    return found[-1] if found else None

@@ -38,3 +38,38 @@ def test_evaluation_upsert_stream_latest_wins(spark, scratch):
     latest = ST.latest_version(spark, table)
     got = {r.run_id: r.score for r in spark.read.parquet(latest).collect()}
     assert got == {"r1": 0.9, "r2": 0.2}
+
+
+def _forget_last_commit(checkpoint):
+    """What a crash between the sink's write and the commit leaves behind."""
+    commits = os.path.join(checkpoint, "commits")
+    last = max((f for f in os.listdir(commits) if f.isdigit()), key=int)
+    for f in (last, f".{last}.crc"):
+        if os.path.exists(os.path.join(commits, f)):
+            os.remove(os.path.join(commits, f))
+
+
+def test_mask_stream_replay_keeps_its_rows(spark, scratch):
+    src, sink, ck = (os.path.join(scratch, d) for d in ("src", "sink", "ck"))
+    spark.createDataFrame([("u", str(i), "a stupid idea", None) for i in range(3)], SCHEMA).write.parquet(src)
+    schema = spark.createDataFrame([], SCHEMA).schema
+    for _ in range(2):
+        ST.mask_stream(spark, src, schema, sink, ck, M.lexicon_table(spark)).awaitTermination()
+        assert spark.read.parquet(sink).count() == 3
+        _forget_last_commit(ck)
+
+
+def test_evaluation_stream_restarts_after_a_crashed_write(spark, scratch):
+    src, table, ck = (os.path.join(scratch, d) for d in ("esrc", "etab", "eck"))
+    schema = "user_id string, run_id string, ts long, score double"
+    spark.createDataFrame([("u", "r1", 1, 0.1)], schema).write.mode("append").json(src)
+    st = spark.createDataFrame([], schema).schema
+    ST.evaluation_upsert_stream(spark, src, st, table, ck).awaitTermination()
+    os.makedirs(os.path.join(table, "version=000000000001", "_temporary", "0"))
+    assert ST.latest_version(spark, table).endswith("version=000000000000")
+    spark.createDataFrame([("u", "r2", 2, 0.9)], schema).write.mode("append").json(src)
+    for _ in range(2):
+        ST.evaluation_upsert_stream(spark, src, st, table, ck).awaitTermination()
+        got = {r.run_id: r.score for r in spark.read.parquet(ST.latest_version(spark, table)).collect()}
+        assert got == {"r1": 0.1, "r2": 0.9}
+        _forget_last_commit(ck)
