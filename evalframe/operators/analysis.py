@@ -117,7 +117,7 @@ def trend(agg: DataFrame, group: Sequence[str], round_col: str = "round", value:
         F.min(round_col).alias("first_round"), F.max(round_col).alias("last_round"))
     delta = F.col("last") - F.col("first")
     return g.select(*group, "first_round", "last_round", "first", "last", delta.alias("delta"),
-                    F.when(F.col("first") == 0, F.lit(0.0)).otherwise(F.try_divide(delta, F.abs(F.col("first"))) * 100)
+                    F.when(F.col("first") == 0, F.lit(0.0)).otherwise(F.try_divide(delta, F.col("first")) * 100)
                     .alias("pct_change"),
                     F.when(delta > 0, F.lit("up")).when(delta < 0, F.lit("down")).otherwise(F.lit("flat"))
                     .alias("direction"))

@@ -169,7 +169,7 @@ def split_history_holdout(cleaned: DataFrame, posts_per_set: int = 100, replies_
 def filter_by_date(posts: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """Inclusive date range on the first 10 chars of ``created_at``;
     unparsable dates are dropped only when a bound is given."""
-    d = F.to_date(F.substring("created_at", 1, 10), "yyyy-MM-dd")
+    d = F.try_to_timestamp(F.substring("created_at", 1, 10), F.lit("yyyy-MM-dd")).cast("date")
     out = posts.withColumn("created_date", d)
     if start is None and end is None:
         return out

@@ -58,7 +58,7 @@ def lexicon_pattern(lexicon: DataFrame, word_col: str = "word") -> DataFrame:
     w = lexicon.select(F.lower(F.col(word_col)).alias("w")).where(F.length("w") > 0).distinct()
     quoted = lambda c: F.concat(F.lit("\\Q"), c, F.lit("\\E"))
     groups = w.groupBy(F.substring("w", 1, 1).alias("c")).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.substring("w", 2, 1 << 20))), quoted), "|")
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.expr("substr(w, 2)"))), quoted), "|")
         .alias("rest"))
     branch = F.concat(quoted(F.col("c")), F.lit("(?:"), F.col("rest"), F.lit(")"))
     alt = F.array_join(F.sort_array(F.collect_list(branch)), "|")
@@ -183,7 +183,7 @@ RESULT_SCHEMA = ("custom_id string, response struct<status_code:int, body:struct
 def parse_batch_results(lines: DataFrame, line_col: str = "value", keep: Sequence[str] = ()) -> DataFrame:
     """Status 200 -> trimmed content, any other outcome -> [MASKED]."""
     r = F.from_json(F.col(line_col), RESULT_SCHEMA)
-    content = r["response"]["body"]["choices"][0]["message"]["content"]
+    content = F.get(r["response"]["body"]["choices"], F.lit(0))["message"]["content"]
     ok = F.coalesce(r["response"]["status_code"] == 200, F.lit(False))
     return lines.select(*keep, r["custom_id"].alias("custom_id"),
                         F.when(ok, F.regexp_replace(content, r"^\s+|\s+$", "")).otherwise(F.lit(MASK_TOKEN))

@@ -80,7 +80,7 @@ def condition_describe(spark, sf_dir):
 
 
 def with_k(spark, sf_dir):
-    return results(spark, sf_dir).withColumn("k", F.get_json_object("props", "$.k").cast("double"))
+    return results(spark, sf_dir).withColumn("k", F.get_json_object("props", "$.k").try_cast("double"))
 
 
 _LONG = A.with_sql(A.RESULTS_SQL, """long AS (
@@ -104,7 +104,7 @@ def round_aggregate(spark, sf_dir):
   min(round) AS first_round, max(round) AS last_round FROM ra GROUP BY ALL)
 SELECT condition, metric, first_round, last_round, round(first, 6) AS first, round(last, 6) AS last,
   round(last - first, 6) AS delta,
-  round(CASE WHEN first = 0 THEN 0.0 ELSE (last - first) / abs(first) * 100 END, 6) AS pct_change,
+  round(CASE WHEN first = 0 THEN 0.0 ELSE (last - first) / first * 100 END, 6) AS pct_change,
   CASE WHEN last - first > 0 THEN 'up' WHEN last - first < 0 THEN 'down' ELSE 'flat' END AS direction
 FROM t""")
 def trend(spark, sf_dir):

@@ -11,7 +11,7 @@ from evalframe.sources import adapters as A
 
 reg = Registry()
 
-LEXICON_TOP = 200           # opinion words mined from toxic-labelled documents
+LEXICON_SHARE = 0.1         # a mined word occurs in this share of the toxic-labelled documents
 BATCH_SIZE = 50             # requests per batch file in these queries
 MODEL_MASK_MIN_LEN = 9      # the stand-in model masks tokens of this length or more
 
@@ -23,13 +23,15 @@ def holdout(spark, sf_dir):
 
 
 def lexicon(spark, sf_dir):
-    """Lexicon table: the fixed high-priority words plus the LEXICON_TOP most
-    frequent words (by document frequency, ties by word) of toxic documents."""
+    """Lexicon table: the fixed high-priority words plus every word that occurs in at
+    least LEXICON_SHARE of the toxic documents.  A share bounds the table by the words
+    of 1 / LEXICON_SHARE documents, whatever the size of the corpus."""
     d = A.table(spark, sf_dir, "documents").join(
         A.table(spark, sf_dir, "labels").where(F.col("toxic") == 1), "doc_id", "left_semi")
     w = d.select("doc_id", F.explode(F.array_distinct(F.transform(
         F.filter(M.tokens(F.col("text")), lambda t: t.rlike(M.WORD_PATTERN)), lambda t: F.lower(t)))).alias("word"))
-    top = w.groupBy("word").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "word").limit(LEXICON_TOP)
+    n = d.agg((F.count(F.lit(1)) * LEXICON_SHARE).alias("n")).scalar()
+    top = w.groupBy("word").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= n)
     return top.select("word").unionByName(M.lexicon_table(spark)).distinct()
 
 
@@ -39,7 +41,8 @@ _LEX_SQL = A.with_sql(A.DOC_POSTS_SQL) + f""", hold AS (SELECT *, CASE WHEN inge
   FROM doc_posts),
 tw AS (SELECT DISTINCT d.doc_id, lower(w) AS word FROM documents d, LATERAL (SELECT unnest({_TOK.format(t='d.text')}) AS w)
   WHERE d.doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AND regexp_matches(w, '^[\\p{{L}}\\p{{N}}_]+$')),
-top AS (SELECT word FROM tw GROUP BY word ORDER BY count(*) DESC, word LIMIT {LEXICON_TOP}),
+top AS (SELECT word FROM tw GROUP BY word HAVING count(*) >= {LEXICON_SHARE} * (
+  SELECT count(*) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))),
 lex AS (SELECT list(DISTINCT word) AS words FROM (SELECT word FROM top UNION SELECT unnest({_HP}))),
 """
 

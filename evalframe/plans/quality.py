@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalframe.operators import quality as Q
+from evalframe.operators import mask as M
 from evalframe.operators import runs as R
 from evalframe.operators import scoring as S
 from evalframe.plans import cleaning as CL
@@ -18,7 +19,6 @@ from evalframe.sources import adapters as A
 reg = Registry()
 
 KDE_POINTS = 32
-PERSONA_ROUND_STRIDE = 20   # documents of one source are 20 doc ids apart
 
 
 def _strip_sql(x: str) -> str:
@@ -297,7 +297,7 @@ def kde_grid(spark, sf_dir):
     return rounded(k.withColumn("grid_index", F.col("grid_index").cast("bigint")))
 
 
-@reg.add("persona_evolution", f"""WITH p AS (SELECT source, doc_id // {PERSONA_ROUND_STRIDE} AS round,
+@reg.add("persona_evolution", """WITH p AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS round,
     regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS t FROM documents),
 s AS (SELECT source, round, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct FROM p),
 tk AS (SELECT DISTINCT source, round, unnest(t) AS tok FROM p),
@@ -312,7 +312,10 @@ LEFT JOIN it ON s.source = it.source AND s.round = it.round""")
 def persona_evolution(spark, sf_dir):
     """Persona of round r = the r-th document of a source."""
     d = A.table(spark, sf_dir, "documents").select(
-        "source", (F.col("doc_id") / PERSONA_ROUND_STRIDE).cast("bigint").alias("round"), "text")
+        "source", "doc_id", "text")
+    # the position among the documents of the source, from the ids alone and without one task per source
+    order = M.sequential_index(d.select("source", "doc_id"), ["source"], "doc_id").select("doc_id", F.col("position").alias("round"))
+    d = d.join(order, "doc_id")
     out = Q.persona_evolution(d, "source", "round", "text")
     return rounded(out.select("source", "round", F.col("n_tokens").cast("bigint").alias("n_tokens"),
                               F.col("n_distinct").cast("bigint").alias("n_distinct"),

@@ -215,7 +215,7 @@ _COVERAGE_SQL = """cov AS (SELECT d.source AS user_id, count(l.doc_id) AS n_eval
     count_if(l.quality = 1) AS n_with_metric,
     max(CASE WHEN l.quality = 1 THEN d.n_chars END) AS best_value,
     arg_max(CASE WHEN l.quality = 1 THEN 'run_' || CAST(d.doc_id AS VARCHAR) END,
-            CASE WHEN l.quality = 1 THEN d.n_chars * 1000000 - d.doc_id END) AS best_run
+            CASE WHEN l.quality = 1 THEN {'n': d.n_chars, 'first': -d.doc_id} END) AS best_run
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.source),
 cs AS (SELECT *, CASE WHEN n_evaluations = 0 THEN 'no_evaluations' WHEN n_with_metric = 0 THEN 'no_bertscore'
     ELSE 'success' END AS status FROM cov)
@@ -230,7 +230,7 @@ def coverage(spark, sf_dir):
     g = j.groupBy("user_id").agg(
         F.count("quality").alias("n_evaluations"), F.count_if(ok).alias("n_with_metric"),
         F.max(F.when(ok, F.col("n_chars"))).alias("best_value"),
-        F.max_by(F.when(ok, F.col("run_id")), F.when(ok, F.col("n_chars") * 1000000 - F.col("doc_id")))
+        F.max_by(F.when(ok, F.col("run_id")), F.when(ok, F.struct(F.col("n_chars"), -F.col("doc_id"))))
         .alias("best_run"))
     status = (F.when(F.col("n_evaluations") == 0, F.lit("no_evaluations"))
                .when(F.col("n_with_metric") == 0, F.lit("no_bertscore")).otherwise(F.lit("success")))

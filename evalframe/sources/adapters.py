@@ -55,6 +55,10 @@ def _strategy_sql(conv: str) -> str:
 # to the previous turn; system turns play the role of retweets.
 # ---------------------------------------------------------------------------
 
+# a turn is a 32-bit number, so conversation and turn share one 64-bit number without collision
+TURNS = 2**32
+
+
 def posts_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     conv, turn = F.col("conv_id"), F.col("turn")
@@ -64,27 +68,27 @@ def posts_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(":00+00:00"))
     return c.select(
         (conv % 10).cast("string").alias("user_id"),
-        (conv * 100 + turn).cast("string").alias("tweet_id"),
+        F.concat_ws("_", conv, turn).alias("tweet_id"),
         F.col("role").alias("screen_name"),
         created.alias("created_at"),
         F.col("text").alias("full_text"),
-        F.when(turn > 0, (conv * 100 + turn - 1).cast("string")).alias("reply_to_id"),
+        F.when(turn > 0, F.concat_ws("_", conv, turn - 1)).alias("reply_to_id"),
         F.when(F.col("role") == "system", F.lit("sys")).alias("retweeted_user_id"),
-        (conv * 100 + turn).alias("ingest_pos"),
+        (conv * TURNS + turn).alias("ingest_pos"),
     )
 
 
-POSTS_SQL = """posts AS (
+POSTS_SQL = f"""posts AS (
   SELECT CAST(conv_id % 10 AS VARCHAR) AS user_id,
-         CAST(conv_id * 100 + turn AS VARCHAR) AS tweet_id,
+         conv_id || '_' || turn AS tweet_id,
          role AS screen_name,
          '2023-08-' || lpad(CAST(1 + conv_id % 28 AS VARCHAR), 2, '0') || ' '
            || lpad(CAST((conv_id * 7 + turn) % 24 AS VARCHAR), 2, '0') || ':'
            || lpad(CAST((conv_id * 13 + turn * 5) % 60 AS VARCHAR), 2, '0') || ':00+00:00' AS created_at,
          text AS full_text,
-         CASE WHEN turn > 0 THEN CAST(conv_id * 100 + turn - 1 AS VARCHAR) END AS reply_to_id,
+         CASE WHEN turn > 0 THEN conv_id || '_' || (turn - 1) END AS reply_to_id,
          CASE WHEN role = 'system' THEN 'sys' END AS retweeted_user_id,
-         conv_id * 100 + turn AS ingest_pos
+         conv_id * {TURNS} + turn AS ingest_pos
   FROM conversations)"""
 
 
@@ -105,9 +109,9 @@ def pairs_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(prev, ["conv_id", "turn"]).select(
         (conv % 10).cast("string").alias("user_id"),
         F.concat(_strategy(conv), F.lit("_round_"), rnd.cast("string")).alias("run_id"),
-        (conv * 100 + turn).alias("index"),
+        (conv * TURNS + turn).alias("index"),
         # the item is keyed by the original (reference) post it imitates
-        (conv * 100 + turn - 1).cast("string").alias("tweet_id"),
+        F.concat_ws("_", conv, turn - 1).alias("tweet_id"),
         F.col("text").alias("prediction"),
         F.col("reference"),
     )
@@ -116,8 +120,8 @@ def pairs_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAIRS_SQL = f"""pairs AS (
   SELECT CAST(conv_id % 10 AS VARCHAR) AS user_id,
          {_strategy_sql('conv_id')} || '_round_' || CAST(1 + (conv_id // 6) % 4 AS VARCHAR) AS run_id,
-         conv_id * 100 + turn AS index,
-         CAST(conv_id * 100 + turn - 1 AS VARCHAR) AS tweet_id,
+         conv_id * {TURNS} + turn AS index,
+         conv_id || '_' || (turn - 1) AS tweet_id,
          text AS prediction,
          reference
   FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reference,
@@ -168,7 +172,7 @@ def posts_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws(" ", F.col("url"), strip_html(F.col("html"))).alias("full_text"),
         F.lit(None).cast("string").alias("reply_to_id"),
         F.lit(None).cast("string").alias("retweeted_user_id"),
-        (F.col("page_id") + F.lit(10_000_000_000)).alias("ingest_pos"),
+        F.col("page_id").alias("ingest_pos"),
     )
 
 
@@ -177,7 +181,7 @@ PAGE_POSTS_SQL = """page_posts AS (
          '2023-08-01 00:00:00+00:00' AS created_at,
          concat_ws(' ', url, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))) AS full_text,
          CAST(NULL AS VARCHAR) AS reply_to_id, CAST(NULL AS VARCHAR) AS retweeted_user_id,
-         page_id + 10000000000 AS ingest_pos
+         page_id AS ingest_pos
   FROM pages)"""
 
 
