@@ -252,3 +252,20 @@ def upsert_first(existing: DataFrame, updates: DataFrame, key: Sequence[str], or
     g = u.groupBy(*key).agg(F.min(F.struct(F.col(order), *[F.col(c) for c in cols if c != order])).alias("_b"),
                             F.count(F.lit(1)).alias("n_rows"))
     return g.select(*key, *[F.col(f"_b.{c}").alias(c) for c in cols], "n_rows")
+
+
+def progression(per_round: DataFrame, key: str = "user_id", round_col: str = "round",
+                value: str = "mean_score") -> DataFrame:
+    """Value and change per round of every key that has more than one round.
+
+    ``per_round`` holds one row per key and round, so a window spans one key's rounds only."""
+    w = Window.partitionBy(key).orderBy(round_col)
+    out = per_round.withColumn("n_rounds", F.count(F.lit(1)).over(Window.partitionBy(key))) \
+        .withColumn("delta", F.col(value) - F.lag(value).over(w)) \
+        .withColumn("delta_from_first", F.col(value) - F.first(value).over(w))
+    return out.where("n_rounds > 1")
+
+
+def complete_rounds(df: DataFrame, group: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """P25: rounds with a mean for every metric; the others are dropped."""
+    return df.groupBy(*group).agg(*[F.avg(m).alias(m) for m in metrics]).na.drop(subset=list(metrics))

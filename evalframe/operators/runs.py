@@ -155,3 +155,22 @@ def common_issues(checked: DataFrame, top: int = 10) -> DataFrame:
     """The most common issues (top k; ties by issue text)."""
     return (checked.select(F.explode("issues").alias("issue")).groupBy("issue")
             .agg(F.count(F.lit(1)).alias("users")).orderBy(F.desc("users"), "issue").limit(top))
+
+
+def valid_evaluation(run_id: Column, f1: Column) -> Column:
+    """A round of a 50-round run, not a baseline, with an F1 score."""
+    return (run_id.contains("run_r50_") & run_id.contains("_round_") & ~run_id.contains("baseline_")
+            & f1.isNotNull())
+
+
+def top_runs(generations: DataFrame, k: int, run: str = "run_id") -> DataFrame:
+    """T4: the ``k`` runs with most generations (ties by run id)."""
+    return (generations.groupBy(run).agg(F.count(F.lit(1)).alias("generations"))
+            .orderBy(F.desc("generations"), run).limit(k))
+
+
+def runs_in(ids: DataFrame, wanted: Sequence[str] | None = None, part: str | None = None) -> DataFrame:
+    """Run ids from a list, or those that hold a substring."""
+    r = F.col("run_id")
+    return ids.where((r.isin(list(wanted)) if wanted is not None else F.lit(True))
+                     & (r.contains(part) if part is not None else F.lit(True)))

@@ -323,3 +323,27 @@ def condition_failures(spark, sf_dir):
     g = g.withColumn("status", F.when((F.col("ok") == 0) | (F.col("failure_rate") > 0.5), F.lit("error"))
                      .otherwise(F.lit("ok")))
     return rounded(g)
+
+
+@reg.add("user_progression", A.with_sql(A.RESULTS_SQL, """ur AS (
+  SELECT user_id, round, avg(score) AS mean_score FROM results GROUP BY user_id, round)""") + """
+SELECT user_id, round, round(mean_score, 6) AS mean_score, n_rounds, round(delta, 6) AS delta,
+  round(delta_from_first, 6) AS delta_from_first
+FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n_rounds,
+        mean_score - lag(mean_score) OVER (PARTITION BY user_id ORDER BY round) AS delta,
+        mean_score - first_value(mean_score) OVER (PARTITION BY user_id ORDER BY round) AS delta_from_first FROM ur)
+WHERE n_rounds > 1""")
+def user_progression(spark, sf_dir):
+    """Score and change per round of the users with more than one round."""
+    per = results(spark, sf_dir).groupBy("user_id", "round").agg(F.avg("score").alias("mean_score"))
+    return rounded(X.progression(per).select("user_id", "round", "mean_score", "n_rounds", "delta", "delta_from_first"))
+
+
+@reg.add("complete_rounds", A.with_sql(A.RESULTS_SQL) + """
+SELECT condition, round, round(avg(score), 6) AS score,
+  round(avg(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)), 6) AS k
+FROM results GROUP BY condition, round HAVING avg(score) IS NOT NULL
+  AND avg(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)) IS NOT NULL""")
+def complete_rounds(spark, sf_dir):
+    """P25: rounds in which every metric is present."""
+    return rounded(X.complete_rounds(with_k(spark, sf_dir), ["condition", "round"], ["score", "k"]))

@@ -342,3 +342,38 @@ def data_report_summary(spark, sf_dir):
     # both sides are one-row global aggregates: the second enters as a scalar subquery
     rs = r.select(F.struct("runs", "evaluated_runs").alias("s")).scalar()
     return u.select("*", rs["runs"].alias("runs"), rs["evaluated_runs"].alias("evaluated_runs"))
+
+
+# ---------------------------------------------------------------------------
+# valid evaluations, largest runs, run ids by list and by substring
+# ---------------------------------------------------------------------------
+
+@reg.add("valid_evaluations", A.with_sql(A.PAIRS_SQL, A.RESULTS_SQL) + """, ev AS (
+  SELECT user_id, run_id, avg(CASE WHEN prediction IS NOT NULL THEN 1.0 END) AS f1 FROM pairs GROUP BY ALL
+  UNION ALL SELECT user_id, run_id, avg(score) AS f1 FROM results GROUP BY ALL)
+SELECT user_id, run_id, contains(run_id, 'run_r50_') AND contains(run_id, '_round_')
+  AND NOT contains(run_id, 'baseline_') AND f1 IS NOT NULL AS valid FROM ev""")
+def valid_evaluations(spark, sf_dir):
+    """P22 over all evaluations: the scored pair runs (an F1 where a prediction is) and the event runs."""
+    pairs = A.pairs_from_conversations(spark, sf_dir).groupBy("user_id", "run_id").agg(
+        F.avg(F.when(F.col("prediction").isNotNull(), 1.0)).alias("f1"))
+    res = A.results_from_events(spark, sf_dir).groupBy("user_id", "run_id").agg(F.avg("score").alias("f1"))
+    return pairs.unionByName(res).select("user_id", "run_id", R.valid_evaluation(F.col("run_id"), F.col("f1")).alias("valid"))
+
+
+@reg.add("top_runs", A.with_sql(A.PAIRS_SQL) + """SELECT run_id, count(*) AS generations FROM pairs
+  GROUP BY run_id ORDER BY generations DESC, run_id LIMIT 5""")
+def top_runs(spark, sf_dir):
+    """T4: the five runs with most generations."""
+    return R.top_runs(A.pairs_from_conversations(spark, sf_dir).select("run_id"), 5)
+
+
+@reg.add("run_ids_selected", RUN_IDS_SQL + f"""SELECT run_id, 'list' AS chosen_by FROM ids
+  WHERE run_id IN ('imitations_src0', 'imitations_src1', 'no_such_run')
+UNION ALL SELECT run_id, 'substring' AS chosen_by FROM ids WHERE contains(run_id, '_round_1')""")
+def run_ids_selected(spark, sf_dir):
+    """Run ids from a list and by substring."""
+    ids = all_run_ids(spark, sf_dir)
+    by_list = R.runs_in(ids, wanted=["imitations_src0", "imitations_src1", "no_such_run"])
+    return (by_list.withColumn("chosen_by", F.lit("list"))
+            .unionByName(R.runs_in(ids, part="_round_1").withColumn("chosen_by", F.lit("substring"))))
