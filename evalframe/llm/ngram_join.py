@@ -157,14 +157,14 @@ def verify(pairs: DataFrame, texts: DataFrame, num: int = NUM, per_copy: int = 5
     """Pairs (a, b) of ``texts(rep, text)`` whose exact set similarity reaches num / 100.
 
     A class in very many pairs is sent in one copy for each ``per_copy`` of its pairs, so
-    that no task gets them all."""
+    that no task gets them all.  The texts grow with the input and are merged at every size."""
     load = pairs.groupBy("a").agg(F.count("*").alias("m"))
     copies = (load.select("a", F.explode(F.sequence(F.lit(0), (F.col("m") / per_copy).cast("int"))).alias("part"))
-              .join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a"))
+              .join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a"))
     spread = (pairs.join(load, "a").select("a", "b", F.pmod(F.xxhash64("b"), (F.col("m") / per_copy).cast("int") + 1)
                                            .cast("int").alias("part")))
-    both = (spread.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
-            .join(copies, ["a", "part"]).select("a", "b", "text_a", "text_b"))
+    both = (spread.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
+            .join(copies.hint("merge"), ["a", "part"]).select("a", "b", "text_a", "text_b"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
