@@ -14,7 +14,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalframe.functions.text import blank_to_null
@@ -33,9 +33,9 @@ BERT = "struct<precision:double, recall:double, f1:double>"
 PERP = "struct<mean_perplexity:double, perplexities:array<double>>"
 LLM = "struct<coherence_score:int, consistency_score:int, justification:string, raw_response:string>"
 ITEM = (f"struct<index:int, prediction:string, reference:string, combined_score:double, tweet_id:string, "
-        f"rouge:{ROUGE}, bleu:{BLEU}, perplexity:{PERP}, bertscore:{BERT}, llm_evaluation:{LLM}>")
+        f"rouge:{ROUGE}, bleu:string, perplexity:{PERP}, bertscore:{BERT}, llm_evaluation:{LLM}>")
 EVAL = (f"struct<run_id:string, timestamp:string, evaluation_results:struct<"
-        f"overall:struct<rouge:{ROUGE}, bleu:{BLEU}, bertscore:{BERT}, perplexity:{PERP}, total_samples:int>, "
+        f"overall:struct<rouge:{ROUGE}, bleu:string, bertscore:{BERT}, perplexity:{PERP}, total_samples:int>, "
         f"individual_scores:array<{ITEM}>, best_predictions:array<{ITEM}>, worst_predictions:array<{ITEM}>, "
         f"statistics:struct<mean_combined_score:double, std_combined_score:double, best_score:double, "
         f"worst_score:double>>>")
@@ -49,6 +49,14 @@ LINE_SCHEMA = (f"struct<user_id:string, set:string, tweets:array<{TWEET}>, runs:
 LINE_NAMES = {0: "history", 1: "holdout", 2: "runs", 3: "evaluations", 4: "reflections"}
 
 
+def bleu_layout(text: Column) -> Column:
+    """The BLEU object from its JSON text, which may be the whole object, ``{"score": x}`` or a number."""
+    s = F.from_json(text, BLEU)
+    value = F.coalesce(s["bleu"], F.get_json_object(text, "$.score").try_cast("double"), text.try_cast("double"))
+    rest = ["precisions", "brevity_penalty", "length_ratio", "translation_length", "reference_length"]
+    return F.when(text.isNotNull(), F.struct(value.alias("bleu"), *[s[f].alias(f) for f in rest]))
+
+
 def read_posts_csv(spark: SparkSession, path: str) -> DataFrame:
     """Raw post dump; ids stay strings, malformed records are dropped."""
     return (spark.read.schema(POST_CSV_SCHEMA).option("header", True).option("mode", "DROPMALFORMED")
@@ -100,9 +108,11 @@ def normalise_user_files(lines: DataFrame, key_based: bool = True) -> dict[str,
         "user_id", "run_id", "pos", "i.tweet_id", "i.stimulus", "i.imitation")
     ev = block("evaluations", 3).select("user_id", F.explode("j.evaluations").alias("e"))
     evaluations = ev.select("user_id", "e.run_id", F.col("e.timestamp").alias("ts"),
-                            "e.evaluation_results.overall", "e.evaluation_results.statistics")
+                            F.col("e.evaluation_results.overall").withField(
+                                "bleu", bleu_layout(F.col("e.evaluation_results.overall.bleu"))).alias("overall"),
+                            "e.evaluation_results.statistics")
     items = ev.select("user_id", "e.run_id", F.explode("e.evaluation_results.individual_scores").alias("s")) \
-        .select("user_id", "run_id", "s.*")
+        .select("user_id", "run_id", "s.*").withColumn("bleu", bleu_layout(F.col("bleu")))
     rf = block("reflections", 4).select("user_id", F.explode("j.reflections").alias("r"))
     reflections = rf.select("user_id", "r.run_id", "r.iteration",
                             "r.reflection_results.reflection_on_results", "r.reflection_results.improved_persona")

@@ -175,3 +175,21 @@ def test_edge_cases_under_ansi_mode(spark):
         assert len(k) == 8
     finally:
         spark.conf.set("spark.sql.ansi.enabled", old)
+
+
+def test_bleu_layouts_are_read_alike(spark, scratch):
+    import json
+    import os
+
+    from evalframe.sources import files as IO
+    items = [{"index": i, "bleu": b} for i, b in enumerate(
+        [{"bleu": 0.25, "precisions": [0.5, 0.25], "translation_length": 4}, {"score": 0.7}, 0.5, None])]
+    lines = [{"user_id": "u", "set": "history", "tweets": []},
+             {"evaluations": [{"run_id": "r", "evaluation_results": {"overall": {"bleu": 0.4}, "individual_scores": items}}]}]
+    with open(os.path.join(scratch, "u.jsonl"), "w") as f:
+        f.write("\n".join(map(json.dumps, lines)))
+    got = IO.read_user_files(spark, scratch)
+    rows = {r["index"]: r.bleu for r in got["item_scores"].collect()}
+    assert [rows[i].bleu if rows[i] else None for i in range(4)] == [0.25, 0.7, 0.5, None]
+    assert rows[0].precisions == [0.5, 0.25] and rows[0].translation_length == 4
+    assert got["evaluations"].first().overall.bleu.bleu == 0.4
