@@ -8,7 +8,7 @@ import pytest
 
 from conftest import SF_SMALL
 
-from __spark_entry__ import oracle_sql, queries
+from evalframe.plans import oracle_sql, queries
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 
-from __spark_entry__ import queries
+from evalframe.plans import queries
 from evalframe.operators import clean as C
 
 QUERIES = queries()
