@@ -1,10 +1,12 @@
 """Operator 1: license scan by conditional compression.
 
-A text's candidate blocks start at a line with one of the ``ANCHORS`` (each template holds
-one) and run on until they have as many words as the template.  Each block is compressed
-alone and with the template as zstandard raw dictionary; the templates are
+A word with one of the ``ANCHORS`` (each template holds one) places a template in the text.
+A candidate block is as many words as the template has, from its place on, and a margin of
+the words that may differ on both sides, over line ends and inside lines of any length.
+Each block is compressed alone and with the template as zstandard raw dictionary, both by
+their wording; the templates are
 ranked by the share of their own size that they save.  The winners, in that order, are laid
-over the block at the anchors they have in common and confirmed by their exact wording: the
+over the text at the anchors they have in common and confirmed by their exact wording: the
 words that differ are counted and reported, and at most ``max_difference`` of the
 template's words may.  A confirmed notice is reported once, with its place in the text.
 
@@ -17,7 +19,6 @@ equal rows each return theirs; a null id is reported as null; other columns are
 
 from __future__ import annotations
 
-import bisect
 import difflib
 import re
 from collections.abc import Iterator
@@ -74,37 +75,51 @@ class Scanner:
     def __init__(self, templates: dict[str, str], anchors=ANCHORS) -> None:
         import zstandard as z
         self.plain = z.ZstdCompressor(level=LEVEL, write_content_size=False)
-        self.anchors = [a.encode() for a in anchors]
+        self.anchors = anchors
         self.templates = []
         for name, text in sorted(templates.items()):
             words = wording(text)
-            at = [i for i, w in enumerate(words) if any(a in w for a in anchors)]
+            at: dict[str, list[int]] = {}
+            for i, w in enumerate(words):
+                if any(a in w for a in anchors):
+                    at.setdefault(w, []).append(i)
             if not at:
                 raise ValueError(f"template {name} has no anchor")
-            raw = z.ZstdCompressionDict(text.encode(), dict_type=z.DICT_TYPE_RAWCONTENT)
-            own = len(self.plain.compress(text.encode()))
+            said = " ".join(words).encode()
+            raw = z.ZstdCompressionDict(said, dict_type=z.DICT_TYPE_RAWCONTENT)
+            own = len(self.plain.compress(said))
             self.templates.append((name, words, at, z.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False), own))
-        self.longest = max(len(t[1]) for t in self.templates)
 
-    def ranked(self, lines: list[str], stops: list[int], min_share: float) -> list[tuple[float, int]]:
-        """(share of the template's size that it saves, template), best first.  The block of
-        template ``k`` is the first ``stops[k]`` lines."""
-        alone: dict[int, tuple[bytes, int]] = {}
+    def starts(self, words: list[str], i: int, k: int, max_difference: float) -> list[int]:
+        """Places of template ``k`` that reach word ``i`` and have an anchor in common."""
+        _, own, at, _, _ = self.templates[k]
+        margin = int(max_difference * len(own))
+        lo, hi = i - len(own) - margin, i + margin
+        near = range(max(0, lo), min(len(words), i + len(own) + margin + 1))
+        return sorted({j - o for j in near for o in at.get(words[j], ()) if lo < j - o <= hi})
+
+    def ranked(self, words: list[str], i: int, min_share: float, max_difference: float) -> list[tuple[float, int]]:
+        """(share of the template's size that it saves at its best place at word ``i``, template), best first."""
+        alone: dict[tuple[int, int], tuple[bytes, int]] = {}
         shares = []
-        for k, stop in enumerate(stops):
-            if stop not in alone:
-                block = "\n".join(lines[:stop]).encode("utf-8", "replace")
-                alone[stop] = block, len(self.plain.compress(block))
-            block, size = alone[stop]
-            shares.append(((size - len(self.templates[k][3].compress(block))) / self.templates[k][4], k))
+        for k, (_, own, _, compressor, size) in enumerate(self.templates):
+            margin, saved = int(max_difference * len(own)), []
+            for s in self.starts(words, i, k, max_difference):
+                at = max(0, s - margin), s + len(own) + margin
+                if at not in alone:
+                    block = " ".join(w for w in words[at[0]:at[1]] if w).encode("utf-8", "replace")
+                    alone[at] = block, len(self.plain.compress(block))
+                block, plain = alone[at]
+                saved.append(plain - len(compressor.compress(block)))
+            if saved:
+                shares.append((max(saved) / size, k))
         return sorted((s for s in shares if s[0] >= min_share), key=lambda s: (-s[0], s[1]))
 
-    def differences(self, words: list[str], k: int) -> tuple[int, int, int, str]:
-        """(words that differ, first, end, their wording) of template ``k`` at its best place."""
-        _, own, at, _, _ = self.templates[k]
-        starts = {i - o for i, w in enumerate(words) for o in at if w == own[o]}
+    def differences(self, words: list[str], i: int, k: int, max_difference: float) -> tuple[int, int, int, str]:
+        """(words that differ, first, end, their wording) of template ``k`` at its best place at word ``i``."""
+        own = self.templates[k][1]
         best = (len(own) + 1, 0, 0, "")
-        for s in sorted(starts):
+        for s in self.starts(words, i, k, max_difference):
             a, b = max(0, s), min(len(words), s + len(own))
             part = words[a:b]
             m = difflib.SequenceMatcher(None, own, part, autojunk=False)
@@ -118,33 +133,26 @@ class Scanner:
     def scan(self, text: bytes, min_share: float = MIN_SHARE, max_difference: float = MAX_DIFFERENCE) -> list[tuple]:
         """(license, line, words, share, words that differ, wording differences) of each notice."""
         low = text.lower()
-        if not any(a in low for a in self.anchors):
+        if not any(a.encode() in low for a in self.anchors):
             return []
-        lines = text.decode("utf-8", "replace").split("\n")
-        words = [wording(x) for x in lines]
-        hot = [any(a in x.lower() for a in (y.decode() for y in self.anchors)) for x in lines]
-        out, i = [], 0
-        while i < len(lines):
-            if not hot[i]:
-                i += 1
+        rest: list[str] = []  # the words, without those of confirmed notices
+        line_of: list[int] = []
+        for j, line in enumerate(text.decode("utf-8", "replace").split("\n")):
+            words = wording(line)
+            rest += words
+            line_of += [j] * len(words)
+        out = []
+        for i in [i for i, w in enumerate(rest) if any(a in w for a in self.anchors)]:
+            if not rest[i]:
                 continue
-            stop, sums = i + 1, [len(words[i])]
-            while stop < len(lines) and sums[-1] < self.longest:
-                sums.append(sums[-1] + len(words[stop]))
-                stop += 1
-            stops = [min(bisect.bisect_left(sums, len(t[1])) + 1, len(sums)) for t in self.templates]
-            flat = [w for x in words[i:stop] for w in x]
-            line_of = [j for j in range(i, stop) for _ in words[j]]
-            taken: list[tuple[int, int]] = []
-            for share, k in self.ranked(lines[i:stop], stops, min_share):
+            for share, k in self.ranked(rest, i, min_share, max_difference):
                 name, own = self.templates[k][:2]
-                rest = [w if not any(a <= p < b for a, b in taken) else "" for p, w in enumerate(flat)]
-                n, a, b, said = self.differences(rest, k)
+                n, a, b, said = self.differences(rest, i, k, max_difference)
                 if n <= max_difference * len(own):
-                    taken.append((a, b))
+                    rest[a:b] = [""] * (b - a)
                     out.append((name, line_of[a], b - a, share, n, said))
-            last = max((line_of[b - 1] for _, b in taken), default=i)
-            i = max(i, last) + 1
+                if not rest[i]:
+                    break
         return out
 
 

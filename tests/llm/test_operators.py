@@ -383,6 +383,17 @@ def test_license_scan(spark, none):
         license_scan(none, {"x": "nothing to see"})
 
 
+def test_license_scan_finds_notices_anywhere_in_a_long_line():
+    from evalframe.llm.license_scan import TEMPLATES, Scanner
+    scanner = Scanner(TEMPLATES)
+    line = some_words(8, 14000)
+    assert len(" ".join(line)) >= 1 << 16
+    for name, notice in TEMPLATES.items():
+        for k in (0, 7000, 14000):
+            text = " ".join([*line[:k], notice, *line[k:]])
+            assert [(h[0], h[4]) for h in scanner.scan(text.encode())] == [(name, 0)]
+
+
 def test_toxicity(spark, docs, rows, none):
     from evalframe.llm.toxicity import Network, Words, drop_toxic, held_out, toxicity, train
     rng = np.random.default_rng(1)
