@@ -147,8 +147,10 @@ class Scanner:
                 continue
             for share, k in self.ranked(rest, i, min_share, max_difference):
                 name, own = self.templates[k][:2]
-                n, a, b, said = self.differences(rest, i, k, max_difference)
-                if n <= max_difference * len(own):
+                while True:  # again on what is left: an equal notice may stand beside
+                    n, a, b, said = self.differences(rest, i, k, max_difference)
+                    if n > max_difference * len(own):
+                        break
                     rest[a:b] = [""] * (b - a)
                     out.append((name, line_of[a], b - a, share, n, said))
                 if not rest[i]:

@@ -394,6 +394,27 @@ def test_license_scan_finds_notices_anywhere_in_a_long_line():
             assert [(h[0], h[4]) for h in scanner.scan(text.encode())] == [(name, 0)]
 
 
+def test_license_scan_finds_wrapped_and_repeated_notices():
+    from evalframe.llm.license_scan import TEMPLATES, Scanner
+    scanner = Scanner(TEMPLATES)
+    prose = " ".join(some_words(9, 40))
+    a, b = TEMPLATES["MIT-statement"], TEMPLATES["CC-BY-NC-4.0-statement"]
+
+    def found(text):
+        return [(h[0], h[1], h[4]) for h in scanner.scan(text.encode())]
+
+    for name, notice in TEMPLATES.items():
+        words = notice.split()
+        for k in range(1, len(words)):
+            wrapped = f"{prose}\n{' '.join(words[:k])}\n  {' '.join(words[k:])}\n{prose}"
+            assert found(wrapped) == [(name, 1, 0)]
+    assert found(f"{a} {a}") == [("MIT-statement", 0, 0)] * 2
+    assert found(f"{a} {prose} {a}\n{a}") == [("MIT-statement", 0, 0)] * 2 + [("MIT-statement", 1, 0)]
+    assert found(f"{a}\n{a}\n{b}") == [("MIT-statement", 0, 0), ("MIT-statement", 1, 0), ("CC-BY-NC-4.0-statement", 2, 0)]
+    for name, notice in TEMPLATES.items():
+        assert found(f"{notice}\n{notice}\n{notice.upper()}") == [(name, j, 0) for j in range(3)]
+
+
 def test_toxicity(spark, docs, rows, none):
     from evalframe.llm.toxicity import Network, Words, drop_toxic, held_out, toxicity, train
     rng = np.random.default_rng(1)
