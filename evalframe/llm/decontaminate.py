@@ -7,7 +7,10 @@ windows of the sizes that occur.  The fingerprints of the items are indexed by
 ``RADIUS + 1`` blocks of bits: two fingerprints within the radius agree in one block at
 least, so looking up each block finds all of them.  A candidate places the item over the
 document's words; it counts when the weighted Jaccard similarity of the five-word shingles
-(weight: bytes of the words, with repeats) reaches ``similarity``.
+(weight: bytes of the words, with repeats) reaches ``similarity``.  It is compared with the
+stretch of the item's own length there and, for passages with words deleted or inserted,
+with each run about it, of any length that can reach ``similarity``, from the item's first
+word to its last.  Not tried are runs of another length whose first or last word differs.
 
 A run of words that is left whole in the document gives a distance of 0, and a passage at
 0.8 or more keeps one that is longer than a window.  The items are searched in blocks of
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalframe.llm.shared import text_chunks
-from evalframe.llm.wordhash import SHINGLE, shingles, words
+from evalframe.llm.wordhash import SHINGLE, shingles, window_hashes, words
 
 SIMILARITY = 0.8
 RADIUS = 3
@@ -70,11 +73,57 @@ def weighted_jaccard(p, q) -> float:
     return common / total if total else 0.0
 
 
+class Runs:
+    """Runs of words of a chunk of texts, compared with items of ``SHINGLE`` words or more."""
+
+    def __init__(self, h: np.ndarray, size: np.ndarray) -> None:
+        self.h, self.keys = h, window_hashes(h)
+        self.weight = np.convolve(size, np.ones(SHINGLE, np.int64), "valid") if len(h) >= SHINGLE else np.zeros(0, np.int64)
+        self.before = np.concatenate(([0], np.cumsum(self.weight)))
+
+    def best(self, low: int, high: int, place: int, n: int, ends: tuple, own, similarity: float) -> tuple[float, int]:
+        """(similarity, first word) of the best run about ``place``, inside words ``low`` to
+        ``high``, from the item's first word to its last.  A run that reaches ``similarity``
+        weighs at most 1 / similarity of the item."""
+        total = int((own[1] * own[2]).sum())
+        most, top = total / similarity, len(self.before) - 1
+        low = max(low, int(np.searchsorted(self.before, self.before[min(max(place, 0), top)] - most)))
+        high = min(high, int(np.searchsorted(self.before, self.before[min(max(place + n, 0), top)] + most, "right")) + SHINGLE)
+        starts = low + np.flatnonzero(self.h[low:high] == ends[0])
+        stops = low + np.flatnonzero(self.h[low:high] == ends[1]) + 1
+        if not len(starts) or not len(stops):
+            return 0.0, 0
+        keys = self.keys[low:max(low, high - SHINGLE + 1)]
+        item = np.minimum(np.searchsorted(own[0], keys), len(own[0]) - 1)
+        at = np.flatnonzero(own[0][item] == keys)
+        item = item[at]
+        at = at + low
+        if (own[1] * own[2])[np.unique(item)].sum() < similarity * total:
+            return 0.0, 0
+        # the place of the same shingle as many repeats ago as the item has
+        order = np.argsort(item, kind="stable")
+        first = np.searchsorted(item[order], item[order])
+        rank, old = np.arange(len(order)) - first, np.full(len(order), -1)
+        over = np.flatnonzero(rank >= own[1][item[order]])
+        old[order[over]] = at[order[over - own[1][item[order[over]]]]]
+        best = 0.0, 0
+        for a in starts.tolist():
+            b = stops[(stops >= a + SHINGLE)]
+            b = b[self.before[b - SHINGLE + 1] - self.before[a] <= most]
+            if not len(b):
+                continue
+            common = np.concatenate(([0], np.cumsum(np.where((at >= a) & (old < a), self.weight[at], 0))))
+            common = common[np.searchsorted(at, b - SHINGLE, "right")]
+            found = common / (self.before[b - SHINGLE + 1] - self.before[a] + total - common)
+            best = max(best, (float(found.max()), a), key=lambda x: x[0])
+        return best
+
+
 class Index:
     """Fingerprints of a block of items, by window size and block of bits."""
 
     def __init__(self, items: list[tuple], similarity: float = SIMILARITY) -> None:
-        self.similarity, self.items, self.sizes = similarity, [], {}
+        self.similarity, self.items, self.ends, self.sizes = similarity, [], [], {}
         found: dict[int, list] = {}
         h, bounds, start, end = words([(t or "").encode() for _, t in items])
         for k, (item_id, _) in enumerate(items):
@@ -87,6 +136,7 @@ class Index:
             at = np.arange(len(marks))
             found.setdefault(width, []).append((marks, np.full(len(at), len(self.items)), at))
             self.items.append((item_id, b - a, profile(h[a:b], (end - start)[a:b])))
+            self.ends.append((h[a], h[b - 1]))
         for width, parts in found.items():
             marks, item, at = (np.concatenate(x) for x in zip(*parts))
             blocks = []
@@ -115,7 +165,7 @@ class Index:
     def search(self, texts: list[bytes]) -> list[tuple[int, int, int, float]]:
         """(text, item, first word, similarity) of each verified passage."""
         h, bounds, start, end = words(texts)
-        size, out, tried = end - start, [], set()
+        size, out, tried, runs = end - start, [], set(), None
         for lo in range(0, len(h), STEP):
             part = h[lo:lo + STEP + MAX_WINDOW - 1]
             sums = bit_sums(part)
@@ -133,6 +183,10 @@ class Index:
                     tried.add((w - o, i, r))
                     a, b = max(w - o, int(bounds[r])), min(w - o + self.items[i][1], int(bounds[r + 1]))
                     s = weighted_jaccard(profile(h[a:b], size[a:b]), self.items[i][2])
+                    if s < 1 and self.items[i][1] >= SHINGLE:
+                        runs = runs or Runs(h, size)
+                        s, a = max((s, a), runs.best(int(bounds[r]), int(bounds[r + 1]), w - o, self.items[i][1], self.ends[i],
+                                                     self.items[i][2], self.similarity), key=lambda x: x[0])
                     if s >= self.similarity:
                         out.append((r, i, a - int(bounds[r]), s))
         return out

@@ -331,6 +331,35 @@ def test_decontamination_finds_all_that_brute_force_finds():
             assert (best >= 0.8) == ((r, i) in found)
 
 
+def test_decontamination_finds_deleted_and_inserted_words():
+    """The best run from an item's first word to its last, by brute force over all of them."""
+    from evalframe.llm.decontaminate import Index, profile, weighted_jaccard
+    from evalframe.llm.wordhash import words
+    rng = np.random.default_rng(5)
+    items = [(k, " ".join(some_words(1500 + k, int(n)))) for k, n in enumerate(rng.integers(28, 120, 30))]
+    items[0] = (0, " ".join(some_words(1500, 12) * 4))  # shingles that repeat
+    texts = []
+    for k, t in items:
+        for insert in (False, True):
+            w = t.split()
+            x = int(rng.integers(2, 5))
+            w[x:x + (not insert)] = ["zz"] * insert
+            texts.append(" ".join(some_words(1900 + k, 30) + w + some_words(1950 + k, 25)).encode())
+    index, best = Index(items), {}
+    for r, i, a, s in index.search(texts):
+        best[r, i] = max(best.get((r, i), (0, 0)), (s, -a))
+    h, bounds, start, end = words(texts)
+    for r in range(len(texts)):
+        lo, hi = int(bounds[r]), int(bounds[r + 1])
+        _, n, own = index.items[r // 2]
+        first, last = index.ends[r // 2]
+        runs = [(a, b) for a in range(lo, hi) for b in range(a + 5, hi + 1)
+                if b - a == n or (h[a] == first and h[b - 1] == last)]
+        want = max((weighted_jaccard(profile(h[a:b], (end - start)[a:b]), own), lo - a) for a, b in runs)
+        assert want[0] < 0.8 or best[r, r // 2] == want
+    assert len(best) >= 50
+
+
 def test_simhash_is_the_bitwise_majority():
     from evalframe.llm.decontaminate import simhash
     h = np.random.default_rng(2).integers(0, 2**64, 300, dtype=np.uint64)
