@@ -12,7 +12,8 @@ SF = "/root/testdata/sf0.001"
 def test_query_matches_sql(spark, name):
     got = queries()[name](spark, SF).toPandas()
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for t in ("documents", "conversations", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     want = con.execute(oracle_sql()[name]).df()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
