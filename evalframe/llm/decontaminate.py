@@ -18,8 +18,10 @@ about ``block_bytes`` of text; each block is one pass over the documents with an
 bounded size, so neither the driver nor a task holds more than a block.
 
 Defined results: null, empty or word-less texts and items never match; an item of one to
-four words has one shingle, its whole sequence; equal rows are found one by one; a null id
-is reported as null; other columns are ignored; no items: no result.
+four words has one shingle, its whole sequence; each matching row of documents has a row of its
+own, also if rows or ids repeat or are null; several texts of one item id are one item, at its
+most similar place; of places that are equally similar the first counts; very long texts are
+searched whole; other columns are ignored; no items or an empty table: no result.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.llm.shared import text_chunks
+from evalframe.llm.shared import shared_table, text_chunks
 from evalframe.llm.wordhash import SHINGLE, shingles, window_hashes, words
 
 SIMILARITY = 0.8
@@ -46,14 +48,16 @@ def simhash(h: np.ndarray, width: int, sums: np.ndarray | None = None) -> np.nda
     """SimHash of each run of ``width`` word hashes: the majority of each bit."""
     if sums is None:
         sums = bit_sums(h)
-    more = sums[width:] - sums[:-width] > width // 2
+    more = (sums[width:] - sums[:-width]).view(np.uint8) > width // 2
     return np.packbits(more, axis=1).view(np.uint64)[:, 0]
 
 
 def bit_sums(h: np.ndarray) -> np.ndarray:
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
-    out = np.zeros((len(h) + 1, 64), np.uint8)
-    np.cumsum(bits, axis=0, dtype=np.uint8, out=out[1:])  # wraps; differences up to MAX_WINDOW do not
+    """Running sums of the 64 bits, a byte each, eight to a number.  A byte may run over into the
+    next, but a difference of two sums is right as long as it fits (windows up to 255 words)."""
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).view(np.uint64)
+    out = np.zeros((len(h) + 1, 8), np.uint64)
+    np.cumsum(bits, axis=0, out=out[1:])
     return out
 
 
@@ -81,14 +85,14 @@ class Runs:
         self.weight = np.convolve(size, np.ones(SHINGLE, np.int64), "valid") if len(h) >= SHINGLE else np.zeros(0, np.int64)
         self.before = np.concatenate(([0], np.cumsum(self.weight)))
 
-    def best(self, low: int, high: int, place: int, n: int, ends: tuple, own, similarity: float) -> tuple[float, int]:
-        """(similarity, first word) of the best run about ``place``, inside words ``low`` to
-        ``high``, from the item's first word to its last.  A run that reaches ``similarity``
-        weighs at most 1 / similarity of the item."""
+    def best(self, low: int, high: int, place: int, upto: int, ends: tuple, own, similarity: float) -> tuple[float, int]:
+        """(similarity, first word) of the best run about words ``place`` to ``upto``, inside words
+        ``low`` to ``high``, from the item's first word to its last.  A run that reaches
+        ``similarity`` weighs at most 1 / similarity of the item."""
         total = int((own[1] * own[2]).sum())
         most, top = total / similarity, len(self.before) - 1
         low = max(low, int(np.searchsorted(self.before, self.before[min(max(place, 0), top)] - most)))
-        high = min(high, int(np.searchsorted(self.before, self.before[min(max(place + n, 0), top)] + most, "right")) + SHINGLE)
+        high = min(high, int(np.searchsorted(self.before, self.before[min(max(upto, 0), top)] + most, "right")) + SHINGLE)
         starts = low + np.flatnonzero(self.h[low:high] == ends[0])
         stops = low + np.flatnonzero(self.h[low:high] == ends[1]) + 1
         if not len(starts) or not len(stops):
@@ -162,10 +166,9 @@ class Index:
             entry.append(e[close])
         return np.concatenate(window), np.concatenate(entry)
 
-    def search(self, texts: list[bytes]) -> list[tuple[int, int, int, float]]:
-        """(text, item, first word, similarity) of each verified passage."""
-        h, bounds, start, end = words(texts)
-        size, out, tried, runs = end - start, [], set(), None
+    def candidates(self, h: np.ndarray, bounds: np.ndarray) -> dict[tuple[int, int], set[int]]:
+        """Word places at which an item may begin, by (text, item)."""
+        found: dict[tuple[int, int], set[int]] = {}
         for lo in range(0, len(h), STEP):
             part = h[lo:lo + STEP + MAX_WINDOW - 1]
             sums = bit_sums(part)
@@ -176,62 +179,93 @@ class Index:
                 window = window + lo
                 row = np.searchsorted(bounds, window, side="right") - 1
                 inside = window + width <= bounds[row + 1]
-                for r, w, i, o in zip(row[inside].tolist(), window[inside].tolist(), item[entry[inside]].tolist(),
-                                      at[entry[inside]].tolist()):
-                    if (w - o, i, r) in tried:
-                        continue
-                    tried.add((w - o, i, r))
-                    a, b = max(w - o, int(bounds[r])), min(w - o + self.items[i][1], int(bounds[r + 1]))
-                    s = weighted_jaccard(profile(h[a:b], size[a:b]), self.items[i][2])
-                    if s < 1 and self.items[i][1] >= SHINGLE:
-                        runs = runs or Runs(h, size)
-                        s, a = max((s, a), runs.best(int(bounds[r]), int(bounds[r + 1]), w - o, self.items[i][1], self.ends[i],
-                                                     self.items[i][2], self.similarity), key=lambda x: x[0])
-                    if s >= self.similarity:
-                        out.append((r, i, a - int(bounds[r]), s))
+                for r, i, w in zip(row[inside].tolist(), item[entry[inside]].tolist(), (window - at[entry])[inside].tolist()):
+                    found.setdefault((r, i), set()).add(w)
+        return found
+
+    def search(self, texts: list[bytes]) -> list[tuple[int, int, int, float]]:
+        """(text, item, first word, similarity) of the best passage of each item in each text
+        (the first of several that are equally similar), if it reaches the threshold."""
+        h, bounds, start, end = words(texts)
+        size, out, runs = end - start, [], None
+        for (r, i), places in self.candidates(h, bounds).items():
+            low, high, n, own = int(bounds[r]), int(bounds[r + 1]), self.items[i][1], self.items[i][2]
+            places = sorted(places)
+            best, first = 0.0, 0
+            for w in places:
+                a, b = max(w, low), min(w + n, high)
+                s = weighted_jaccard(profile(h[a:b], size[a:b]), own)
+                if s > best:
+                    best, first = s, a
+            if best < 1 and n >= SHINGLE:
+                runs = runs or Runs(h, size)
+                k = 0
+                while k < len(places):  # places within an item's length are searched as one stretch
+                    j = k
+                    while j + 1 < len(places) and places[j + 1] - places[j] <= n:
+                        j += 1
+                    s, a = runs.best(low, high, places[k], places[j] + n, self.ends[i], own, self.similarity)
+                    if (s, -a) > (best, -first):
+                        best, first = s, a
+                    k = j + 1
+            if best >= self.similarity:
+                out.append((r, i, first - low, best))
         return out
 
+    def by_id(self, texts: list[bytes]) -> list[tuple[int, int, int, float]]:
+        """As ``search``, with the item's id; of several texts of one id the most similar one."""
+        best: dict[tuple, tuple] = {}
+        for r, i, a, s in self.search(texts):
+            key = (r, self.items[i][0])
+            best[key] = max(best.get(key, (0.0, 0)), (s, -a))
+        return [(*key, -a, s) for key, (s, a) in best.items()]
+
 
 def item_blocks(benchmark: DataFrame, similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> Iterator[Index]:
-    """Indexes of the distinct items, one block of about ``block_bytes`` after the other."""
+    """Indexes of the distinct items, one block of about ``block_bytes`` after the other; all
+    texts of an id are in one block."""
     items = benchmark.select("item_id", "text").where("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
+        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         index = Index([tuple(r) for r in rows], similarity)
         if index.items:
             yield index
 
 
-def benchmark_passages(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, item_id, start_word, similarity): the best place of each item in each document."""
+def benchmark_passages(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
+                       block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, item_id, start_word, similarity): the best place of each item in each row of
+    ``docs``.  Each block of items is one pass over the documents, written before the next."""
     schema = "doc_id long, item_id long, start_word long, similarity double"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = docs.sparkSession.createDataFrame([], schema)
-    for index in item_blocks(benchmark, similarity):
+    found, last = docs.sparkSession.createDataFrame([], schema), None
+    for index in item_blocks(benchmark, similarity, block_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def look(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = batch.column(batch.schema.get_field_index("doc_id"))
                 for first, texts in text_chunks(batch):
-                    got = sent.value.search(texts)
+                    got = sent.value.by_id(texts)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([ids[first + g[0]].as_py() for g in got], pa.int64()),
-                         pa.array([sent.value.items[g[1]][0] for g in got], pa.int64()),
-                         pa.array([g[2] for g in got], pa.int64()), pa.array([g[3] for g in got], pa.float64())],
-                        ["doc_id", "item_id", "start_word", "similarity"])
+                         pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64()),
+                         pa.array([g[3] for g in got], pa.float64())], ["doc_id", "item_id", "start_word", "similarity"])
 
-        found = found.unionByName(docs.mapInArrow(look, schema))
-    best = F.max(F.struct("similarity", (-F.col("start_word")).alias("place"))).alias("best")
-    return (found.groupBy("doc_id", "item_id").agg(best)
-            .select("doc_id", "item_id", (-F.col("best.place")).alias("start_word"), "best.similarity"))
+        if last is not None:
+            found = found.unionByName(shared_table(last, "passages"))
+        last = docs.mapInArrow(look, schema)
+    return found if last is None else found.unionByName(last)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text holds no benchmark passage."""
-    for index in item_blocks(benchmark, similarity):
+def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
+                  block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text holds no benchmark passage.  What one block
+    of items leaves is written before the next block is looked for in it."""
+    done = False
+    for index in item_blocks(benchmark, similarity, block_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -241,5 +275,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
                     clean[[first + g[0] for g in sent.value.search(texts)]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = (shared_table(docs, "clean") if done else docs).mapInArrow(keep, docs.schema)
+        done = True
     return docs
