@@ -11,10 +11,12 @@ at least ``num / 100``.  The plan:
   prefixes, so l can differ by document: each takes the level with the least estimated
   cost (postings read plus candidates that would reach verification);
 * star round: every class is compared with the smallest class of each posting list;
-* full round: pairs of classes that share prefix shingles, but are not yet in one
-  component, are counted, held against ``min(l, l')`` and verified exactly.  The smaller
-  set of a pair needs only ``n - ceil(2 t n / (1 + t)) + l`` places of its prefix, and a
-  shared shingle whose places leave too little room rules the pair out inside the join.
+* full round: classes that are not yet in one component meet in the posting lists that hold
+  several components.  Each posting carries what its prefix has before it in such lists, so a
+  pair leaves the join once at most: at the shingle that is the ``min(l, l')``-th common one,
+  if the places there leave room for enough more.  The smaller set of a pair needs only
+  ``n - ceil(2 t n / (1 + t)) + l`` places of its prefix.  Long lists are cut into parts.
+  What is left is verified exactly.
 
 Every pair at or above the threshold is verified or already connected, so the
 components are exact.  Copies cost one row per document, near copies one row per posting.
@@ -38,12 +40,14 @@ from pyspark.sql import functions as F
 
 from evalframe.llm.shared import connected_components, shared_table, text_chunks
 from evalframe.llm.wordhash import shingle_sets
+from evalframe.operators.skew import lookup_join
 
 NUM = 80
 SKETCH_BITS = 20
 MAX_LEVEL = 16
 VERIFY_COST = 50.0
 FILTER_BITS = 22
+LIST_PART = 1024
 
 
 def _bucket(s: np.ndarray, bits: int) -> np.ndarray:
@@ -122,10 +126,10 @@ def index_length(num: int) -> Column:
     return F.col("n") - F.ceil(F.col("n") * (2 * num) / (100 + num)) + F.col("level")
 
 
-def can_reach(num: int) -> Column:
-    """Whether sets that share a shingle at places ``ia`` and ``ib`` can be similar enough:
-    no more than the shorter starts, the shingle and the shorter ends can be common."""
-    most = F.least("ia", "ib") + 1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1
+def can_reach(num: int, before: Column | None = None) -> Column:
+    """Whether sets that share a shingle at places ``ia`` and ``ib`` can be similar enough: no
+    more than ``before`` (or the shorter starts), the shingle and the shorter ends are common."""
+    most = (F.least("ia", "ib") if before is None else before) + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
     return most * (100 + num) >= num * (F.col("na") + F.col("nb"))
 
 
@@ -184,7 +188,33 @@ def verify(pairs: DataFrame, texts: DataFrame, num: int = NUM, per_copy: int = 5
     return both.mapInArrow(check, "a long, b long")
 
 
-def ngram_join(docs: DataFrame, num: int = NUM, bits: int = SKETCH_BITS) -> DataFrame:
+def open_pairs(tagged: DataFrame, num: int = NUM, part: int = LIST_PART) -> DataFrame:
+    """Pairs (a, b) of ``tagged(tok, rep, i, n, level, comp)``, each once, that are in different
+    components and share as many prefix shingles as the lower of their levels."""
+    lists = (tagged.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"))
+             .where("lo < hi").select("tok", F.ceil(F.col("m") / part).cast("long").alias("parts")))
+    rows = shared_table(lookup_join(tagged.select("tok", "rep", "i", "n", "level", "comp"), lists, ["tok"], "inner", spread=["rep"]), "open")
+    # a common shingle of two components is in an open list, so these decide what is common
+    of_set = ["rep", "n", "level"]
+    prefix = rows.groupBy(*of_set).agg(F.collect_list(F.struct("i", "tok")).alias("prefix"))
+    earlier = F.transform(F.filter("prefix", lambda x: x["i"] < F.col("i")), lambda x: x["tok"])
+    rows = shared_table(rows.join(prefix, of_set).withColumn("pre", earlier).drop("prefix"), "open")
+
+    def side(of: DataFrame, tag: str, share: Column) -> DataFrame:
+        return of.select("tok", share.alias("share"), F.col("rep").alias(tag), *[F.col(c).alias(c + tag) for c in
+                                                                                ("i", "n", "level", "comp", "pre")])
+
+    larger = side(rows, "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    smaller = side(rows.where(F.col("i") < index_length(num)), "b", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    level = F.least("levela", "levelb")
+    met = (larger.join(smaller, ["tok", "share"])
+           .where("compa <> compb and (na > nb or (na = nb and a > b))").where(can_reach(num, level))
+           .where((F.least(F.size("prea"), F.size("preb")) >= level - 1)
+                  & (F.size(F.array_intersect("prea", "preb")) == level - 1)))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def ngram_join(docs: DataFrame, num: int = NUM, bits: int = SKETCH_BITS, part: int = LIST_PART) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_class) per input row: size of the shingle
     set, smallest id reachable over links (itself included), and how many rows have the
     very same set.  See the module text for the method and the edge cases."""
@@ -205,28 +235,19 @@ def ngram_join(docs: DataFrame, num: int = NUM, bits: int = SKETCH_BITS) -> Data
     met = shared_table(postings.join(lists.select("tok", "lead"), "tok").select(
         "tok", "rep", "lead", (F.col("p") / 2**40).cast("int").alias("i"),
         F.expr("cast(shiftright(p, 8) & 4294967295 as int)").alias("n"), F.expr("cast(p & 255 as int)").alias("level")), "met")
-    def side(rows: DataFrame, tag: str) -> DataFrame:
-        return rows.select("tok", F.col("rep").alias(tag), *[F.col(c).alias(c + tag) for c in ("i", "n", "level")],
-                           *([F.col("comp").alias("comp" + tag)] if "comp" in rows.columns else []))
 
-    def counted(pairs: DataFrame) -> DataFrame:
-        """Pairs that share as many prefix shingles as their lower level asks for."""
-        return (pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.least("levela", "levelb")).alias("least"))
-                .where("shared >= least").select("a", "b"))
+    def side(rows: DataFrame, tag: str) -> DataFrame:
+        return rows.select("tok", F.col("rep").alias(tag), *[F.col(c).alias(c + tag) for c in ("i", "n", "level")])
 
-    # b is the smaller set: its shingles up to place index_length are enough
-    first = side(met.where("rep = lead"), "a").join(side(met.where("rep > lead"), "b"), "tok").where(can_reach(num))
-    star = shared_table(counted(first), "star")
+    # pairs that share as many prefix shingles as their lower level asks for
+    first = (lookup_join(side(met.where("rep > lead"), "b"), side(met.where("rep = lead"), "a"), ["tok"], "inner", spread=["b"])
+             .where(can_reach(num)))
+    star = shared_table(first.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.least("levela", "levelb")).alias("least"))
+                        .where("shared >= least").select("a", "b"), "star")
     links = shared_table(verify(star, texts_of(star, docs), num), "links")
     comp = shared_table(connected_components(links), "comp")
     tagged = met.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    open_lists = (tagged.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                  .where("lo < hi").select("tok"))
-    tagged = shared_table(tagged.select("tok", "rep", "i", "n", "level", "comp").join(open_lists, "tok", "left_semi"), "open")
-    apart = (side(tagged, "a").join(side(tagged.where(F.col("i") < index_length(num)), "b"), "tok")
-             .where("compa <> compb and (na > nb or (na = nb and a > b))").where(can_reach(num)))
-    rest = shared_table(counted(apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-                        .join(star, ["a", "b"], "left_anti"), "rest")
+    rest = shared_table(open_pairs(tagged, num, part).join(star, ["a", "b"], "left_anti"), "rest")
     links = links.unionByName(verify(rest, texts_of(rest, docs), num))
     comp = shared_table(connected_components(links), "comp")
     named = (classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left")

@@ -117,6 +117,41 @@ def test_ngram_join_edits_and_levels(spark):
     assert choose_level(np.full(60, 1000.0), 10) > 4
 
 
+@pytest.mark.parametrize("part", [1024, 7])
+def test_ngram_join_of_a_group_about_the_threshold(spark, part):
+    """Copies of one text with few to many edits: most pairs lie just under the threshold."""
+    from evalframe.llm.ngram_join import ngram_join
+    rng, base, rows = np.random.default_rng(17), some_words(41, 150), []
+    for c in range(150):
+        w = base[:]
+        for _ in range(int(rng.integers(0, 9))):
+            w[rng.integers(0, 150)] = f"e{rng.integers(0, 400)}"
+        rows.append((int(c), " ".join(w)))
+    rows += [(1000 + c, " ".join(some_words(300 + c, 60))) for c in range(40)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join(frame(spark, rows), bits=10, part=part).collect()}
+    want = brute_components(rows)
+    assert got == want
+    assert 5 < len({c for i, (_, c) in want.items() if i < 1000}) < 100
+
+
+def test_ngram_join_open_pairs_come_once(spark):
+    from evalframe.llm.ngram_join import open_pairs
+    rng, rows = np.random.default_rng(3), []
+    sets = {rep: sorted(rng.choice(60, 40, replace=False).tolist()) for rep in range(30)}
+    for rep, toks in sets.items():  # places follow one order of all tokens
+        rows += [(t, rep, i, 40, 3 + rep % 3, rep % 20) for i, t in enumerate(toks[:12])]
+    tagged = spark.createDataFrame(rows, "tok long, rep long, i int, n int, level int, comp long")
+    for part in (1024, 4):
+        got = [tuple(r) for r in open_pairs(tagged, 60, part).collect()]
+        assert len(got) == len(set(got)) > 10
+        for a in sets:
+            for b in sets:
+                k = len(set(sets[a]) & set(sets[b]))
+                if a < b and a % 20 != b % 20 and 100 * k >= 60 * (80 - k):
+                    shared = len(set(sets[a][:12]) & set(sets[b][:12]))
+                    assert ((a, b) in got) or shared < min(3 + a % 3, 3 + b % 3)
+
+
 def test_packing(docs, rows, none):
     from tokenizers import Tokenizer
 
@@ -308,27 +343,59 @@ def test_decontamination(spark, docs, rows, none):
     assert decontaminate(docs, bench.where("false")).count() == len(rows)
 
 
+def test_decontamination_rows_and_blocks(spark):
+    """A row for each matching row and item, however ids repeat and items are dealt."""
+    from evalframe.llm.decontaminate import benchmark_passages, decontaminate
+    one, two, long = some_words(61, 40), some_words(62, 30), " ".join(some_words(63, 20000))
+    hit = " ".join(some_words(64, 9) + one + two)
+    rows = [(1, hit), (1, hit), (None, " ".join(one)), (None, " ".join(two)), (2, f"{long} {hit} {long}"), (3, long), (4, None)]
+    bench = spark.createDataFrame([(10, " ".join(one)), (11, " ".join(two)), (11, " ".join(one[:39])), (12, "absent words " * 9)],
+                                  "item_id long, text string")
+    want = sorted([(1, 10, 9), (1, 10, 9), (1, 11, 9), (1, 11, 9), (None, 10, 0), (None, 11, 0), (None, 11, 0), (2, 10, 20009),
+                   (2, 11, 20009)], key=repr)
+    for block_bytes in (1 << 20, 100):
+        got = benchmark_passages(frame(spark, rows), bench, block_bytes=block_bytes).collect()
+        assert sorted(((r.doc_id, r.item_id, r.start_word) for r in got), key=repr) == want
+        clean = decontaminate(frame(spark, rows), bench, block_bytes=block_bytes)
+        assert sorted(r.doc_id for r in clean.collect()) == [3, 4]
+
+
+def plain_similarity(a, b):
+    """Weighted Jaccard similarity of the five-word shingles, with repeats, of two lists of words."""
+    def counted(w):
+        k = min(5, len(w))
+        return collections.Counter(tuple(w[i:i + k]) for i in range(len(w) - k + 1))
+    p, q = counted([x.lower() for x in a]), counted([x.lower() for x in b])
+    weight = {g: sum(len(x.encode()) for x in g) for g in p | q}
+    union = sum(max(p[g], q[g]) * weight[g] for g in weight)
+    return sum(min(p[g], q[g]) * weight[g] for g in weight) / union if union else 0.0
+
+
 def test_decontamination_finds_all_that_brute_force_finds():
-    """Every place with a similarity of 0.8 or more, over texts with planted and edited items."""
-    from evalframe.llm.decontaminate import Index, profile, weighted_jaccard
-    from evalframe.llm.wordhash import words
+    """Every item that some run of words reaches 0.8 with, of texts with planted and edited items:
+    runs of the item's length, and those of other lengths from its first word to its last."""
+    from evalframe.llm.decontaminate import Index
     rng = np.random.default_rng(3)
-    items = [(k, " ".join(some_words(500 + k, int(n)))) for k, n in enumerate(rng.integers(6, 90, 25))]
+    items = [(k, some_words(500 + k, int(n))) for k, n in enumerate(rng.integers(6, 60, 18))]
     texts = []
-    for k, t in items:
-        w = t.split()
+    for k, w in items:
         for cut in (0, 1, 2):
             edited = w[:]
             edited[:cut] = ["zz"] * cut
-            texts.append(" ".join(some_words(900 + k, 30) + edited + some_words(950 + k, 25)).encode())
-    index = Index(items)
-    found = {(r, i) for r, i, _, _ in index.search(texts)}
-    h, bounds, start, end = words(texts)
-    for r in range(len(texts)):
-        a, b = int(bounds[r]), int(bounds[r + 1])
-        for i, (_, n, own) in enumerate(index.items):
-            best = max((weighted_jaccard(profile(h[s:s + n], (end - start)[s:s + n]), own) for s in range(a, max(a + 1, b - n + 1))), default=0)
-            assert (best >= 0.8) == ((r, i) in found)
+            texts.append(some_words(900 + k, 30) + edited + some_words(950 + k, 25))
+        texts.append(some_words(900 + k, 30) + w[:4] + w[5:] + some_words(950 + k, 25))
+    index = Index([(k, " ".join(w)) for k, w in items])
+    found = {(r, i): s for r, i, _, s in index.search([" ".join(t).encode() for t in texts])}
+    for r, t in enumerate(texts):
+        for i, (_, w) in enumerate(items):
+            if not set(zip(t, t[1:])) & set(zip(w, w[1:])) and len(w) > 1:
+                assert (r, i) not in found
+                continue
+            best = max([plain_similarity(t[s:s + len(w)], w) for s in range(max(1, len(t) - len(w) + 1))]
+                       + [plain_similarity(t[s:e + 1], w) for s in range(len(t)) if t[s] == w[0]
+                          for e in range(s + 4, len(t)) if t[e] == w[-1]])
+            assert (best >= 0.8) == ((r, i) in found), (r, i, best)
+            assert best < 0.8 or found[r, i] == pytest.approx(best)
 
 
 def test_decontamination_finds_deleted_and_inserted_words():
