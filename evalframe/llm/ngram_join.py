@@ -12,11 +12,11 @@ at least ``num / 100``.  The plan:
   cost (postings read plus candidates that would reach verification);
 * star round: every class is compared with the smallest class of each posting list;
 * full round: classes that are not yet in one component meet in the posting lists that hold
-  several components.  Each posting carries what its prefix has before it in such lists, so a
-  pair leaves the join once at most: at the shingle that is the ``min(l, l')``-th common one,
-  if the places there leave room for enough more.  The smaller set of a pair needs only
-  ``n - ceil(2 t n / (1 + t)) + l`` places of its prefix.  Long lists are cut into parts.
-  What is left is verified exactly.
+  several components (see ``open_pairs``): in short lists each time, in long ones once at
+  most, as each posting carries the long lists of its set.  Pairs that share ``min(l, l')``
+  prefix shingles are verified exactly, unless the places of a shared one leave too little
+  room.  The smaller set of a pair needs only ``n - ceil(2 t n / (1 + t)) + l`` places of its
+  prefix.  Long lists are cut into parts.
 
 Every pair at or above the threshold is verified or already connected, so the
 components are exact.  Copies cost one row per document, near copies one row per posting.
@@ -48,6 +48,7 @@ MAX_LEVEL = 16
 VERIFY_COST = 50.0
 FILTER_BITS = 22
 LIST_PART = 1024
+SHORT_LIST = 32
 
 
 def _bucket(s: np.ndarray, bits: int) -> np.ndarray:
@@ -188,33 +189,50 @@ def verify(pairs: DataFrame, texts: DataFrame, num: int = NUM, per_copy: int = 5
     return both.mapInArrow(check, "a long, b long")
 
 
-def open_pairs(tagged: DataFrame, num: int = NUM, part: int = LIST_PART) -> DataFrame:
-    """Pairs (a, b) of ``tagged(tok, rep, i, n, level, comp)``, each once, that are in different
-    components and share as many prefix shingles as the lower of their levels."""
+def open_pairs(tagged: DataFrame, num: int = NUM, part: int = LIST_PART, short: int = SHORT_LIST) -> DataFrame:
+    """Pairs (a, b) of ``tagged(tok, rep, i, n, level, comp)`` that are in different components and
+    share as many prefix shingles as the lower of their levels.
+
+    Lists of up to ``short`` postings give a row for each pair and list, at most ``short`` times
+    their postings.  Of the longer lists, a pair leaves the join in the first that it shares, with
+    the number of those that it shares, and only if the short ones can make up for the rest."""
     lists = (tagged.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"))
-             .where("lo < hi").select("tok", F.ceil(F.col("m") / part).cast("long").alias("parts")))
+             .where("lo < hi").select("tok", "m"))
     rows = shared_table(lookup_join(tagged.select("tok", "rep", "i", "n", "level", "comp"), lists, ["tok"], "inner", spread=["rep"]), "open")
-    # a common shingle of two components is in an open list, so these decide what is common
-    of_set = ["rep", "n", "level"]
-    prefix = rows.groupBy(*of_set).agg(F.collect_list(F.struct("i", "tok")).alias("prefix"))
-    earlier = F.transform(F.filter("prefix", lambda x: x["i"] < F.col("i")), lambda x: x["tok"])
-    rows = shared_table(rows.join(prefix, of_set).withColumn("pre", earlier).drop("prefix"), "open")
-
-    def side(of: DataFrame, tag: str, share: Column) -> DataFrame:
-        return of.select("tok", share.alias("share"), F.col("rep").alias(tag), *[F.col(c).alias(c + tag) for c in
-                                                                                ("i", "n", "level", "comp", "pre")])
-
-    larger = side(rows, "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    smaller = side(rows.where(F.col("i") < index_length(num)), "b", F.pmod(F.xxhash64("rep"), F.col("parts")))
-    level = F.least("levela", "levelb")
-    met = (larger.join(smaller, ["tok", "share"])
-           .where("compa <> compb and (na > nb or (na = nb and a > b))").where(can_reach(num, level))
-           .where((F.least(F.size("prea"), F.size("preb")) >= level - 1)
-                  & (F.size(F.array_intersect("prea", "preb")) == level - 1)))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-
-def ngram_join(docs: DataFrame, num: int = NUM, bits: int = SKETCH_BITS, part: int = LIST_PART) -> DataFrame:
+    few, many = rows.where(F.col("m") <= short), rows.where(F.col("m") > short)
+    level, of_set = F.least("levela", "levelb"), ["rep", "n", "level"]
+
+    def side(of: DataFrame, tag: str, *on: str) -> DataFrame:
+        return of.select("tok", *on, *[F.col(c).alias(c + tag) for c in of.columns if c not in ("tok", "m", "share", "rep")],
+                         F.col("rep").alias(tag))
+
+    def meet(larger: DataFrame, smaller: DataFrame, *on: str) -> DataFrame:
+        return (side(larger, "a", *on).join(side(smaller, "b", *on), ["tok", *on])
+                .where("compa <> compb and (na > nb or (na = nb and a > b))"))
+
+    needed = F.col("i") < index_length(num)
+    one_each = meet(few, few.where(needed)).where(can_reach(num)).select("a", "b", level.alias("least"), F.lit(1).alias("shared"))
+
+    def with_lists(of: DataFrame) -> DataFrame:
+        """The long lists of a set in the order of its prefix, and how many short ones it is in."""
+        long = of.where(F.col("m") > short).groupBy(*of_set).agg(F.sort_array(F.collect_list(F.struct("i", "tok"))).alias("x"))
+        brief = of.where(F.col("m") <= short).groupBy(*of_set).agg(F.count("*").alias("brief"))
+        known = long.join(brief, of_set, "left").select(*of_set, F.col("x.tok").alias("toks"), F.coalesce("brief", F.lit(0)).alias("brief"))
+        return of.where(F.col("m") > short).join(known, of_set).withColumn("k", F.array_position("toks", F.col("tok")))
+
+    parts = F.ceil(F.col("m") / part).cast("long")
+    larger = with_lists(rows).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    smaller = with_lists(rows.where(needed)).withColumn("share", F.pmod(F.xxhash64("rep"), parts))
+    spare, common = F.least("briefa", "briefb"), F.size(F.array_intersect("toksa", "toksb"))
+    before = F.size(F.array_intersect(F.slice("toksa", F.lit(1), F.col("ka").cast("int") - 1),
+                                      F.slice("toksb", F.lit(1), F.col("kb").cast("int") - 1)))
+    once = (meet(larger, smaller, "share").where(can_reach(num, F.least(spare, "ia", "ib")))
+            .where((common + spare >= level) & (before == 0)).select("a", "b", level.alias("least"), common.alias("shared")))
+    return (one_each.unionByName(once).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least"))
+            .where("shared >= least").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
+def ngram_join(docs: DataFrame, num: int = NUM, bits: int = SKETCH_BITS, part: int = LIST_PART, short: int = SHORT_LIST) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_class) per input row: size of the shingle
     set, smallest id reachable over links (itself included), and how many rows have the
     very same set.  See the module text for the method and the edge cases."""
@@ -228,26 +246,27 @@ def ngram_join(docs: DataFrame, num: int = NUM, bits: int = SKETCH_BITS, part: i
     heads = full.where("not copied").select(F.col("doc_id").alias("rep"), "n", "level", "prefix").unionByName(
         full.where("copied").join(classes.select("sig", "rep"), "sig").where("doc_id = rep")
         .dropDuplicates(["rep", "sig"]).select("rep", "n", "level", "prefix"))
-    # place, size and level of a posting travel as one number
+    # place, size and level of a posting travel as one number, its list's smallest class with it
     packed = F.col("i").cast("long") * 2**40 + F.col("n") * 2**8 + F.col("level")
     postings = heads.select("rep", "n", "level", F.posexplode("prefix").alias("i", "tok")).select("tok", "rep", packed.alias("p"))
-    lists = postings.groupBy("tok").agg(F.min("rep").alias("lead"), F.count("*").alias("m")).where("m > 1")
-    met = shared_table(postings.join(lists.select("tok", "lead"), "tok").select(
-        "tok", "rep", "lead", (F.col("p") / 2**40).cast("int").alias("i"),
-        F.expr("cast(shiftright(p, 8) & 4294967295 as int)").alias("n"), F.expr("cast(p & 255 as int)").alias("level")), "met")
+    lists = (postings.groupBy("tok").agg(F.min("rep").alias("lead"), F.min_by("p", "rep").alias("lp"), F.count("*").alias("m"))
+             .where("m > 1").drop("m"))
 
-    def side(rows: DataFrame, tag: str) -> DataFrame:
-        return rows.select("tok", F.col("rep").alias(tag), *[F.col(c).alias(c + tag) for c in ("i", "n", "level")])
+    def unpacked(p: str, tag: str) -> list[Column]:
+        return [F.expr(f"cast(shiftright({p}, 40) as int)").alias("i" + tag),
+                F.expr(f"cast(shiftright({p}, 8) & 4294967295 as int)").alias("n" + tag), F.expr(f"cast({p} & 255 as int)").alias("level" + tag)]
 
+    met = shared_table(postings.join(lists, "tok"), "met")
     # pairs that share as many prefix shingles as their lower level asks for
-    first = (lookup_join(side(met.where("rep > lead"), "b"), side(met.where("rep = lead"), "a"), ["tok"], "inner", spread=["b"])
-             .where(can_reach(num)))
+    first = met.where("rep > lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"), *unpacked("lp", "a"), *unpacked("p", "b"))
+    first = first.where(can_reach(num))
+    met = met.select("tok", "rep", *unpacked("p", ""))
     star = shared_table(first.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.least("levela", "levelb")).alias("least"))
                         .where("shared >= least").select("a", "b"), "star")
     links = shared_table(verify(star, texts_of(star, docs), num), "links")
     comp = shared_table(connected_components(links), "comp")
     tagged = met.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    rest = shared_table(open_pairs(tagged, num, part).join(star, ["a", "b"], "left_anti"), "rest")
+    rest = shared_table(open_pairs(tagged, num, part, short).join(star, ["a", "b"], "left_anti"), "rest")
     links = links.unionByName(verify(rest, texts_of(rest, docs), num))
     comp = shared_table(connected_components(links), "comp")
     named = (classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left")

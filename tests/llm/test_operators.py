@@ -117,8 +117,8 @@ def test_ngram_join_edits_and_levels(spark):
     assert choose_level(np.full(60, 1000.0), 10) > 4
 
 
-@pytest.mark.parametrize("part", [1024, 7])
-def test_ngram_join_of_a_group_about_the_threshold(spark, part):
+@pytest.mark.parametrize("part, short", [(1024, 32), (7, 4), (1024, 1000)])
+def test_ngram_join_of_a_group_about_the_threshold(spark, part, short):
     """Copies of one text with few to many edits: most pairs lie just under the threshold."""
     from evalframe.llm.ngram_join import ngram_join
     rng, base, rows = np.random.default_rng(17), some_words(41, 150), []
@@ -128,7 +128,7 @@ def test_ngram_join_of_a_group_about_the_threshold(spark, part):
             w[rng.integers(0, 150)] = f"e{rng.integers(0, 400)}"
         rows.append((int(c), " ".join(w)))
     rows += [(1000 + c, " ".join(some_words(300 + c, 60))) for c in range(40)]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join(frame(spark, rows), bits=10, part=part).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join(frame(spark, rows), bits=10, part=part, short=short).collect()}
     want = brute_components(rows)
     assert got == want
     assert 5 < len({c for i, (_, c) in want.items() if i < 1000}) < 100
@@ -141,8 +141,8 @@ def test_ngram_join_open_pairs_come_once(spark):
     for rep, toks in sets.items():  # places follow one order of all tokens
         rows += [(t, rep, i, 40, 3 + rep % 3, rep % 20) for i, t in enumerate(toks[:12])]
     tagged = spark.createDataFrame(rows, "tok long, rep long, i int, n int, level int, comp long")
-    for part in (1024, 4):
-        got = [tuple(r) for r in open_pairs(tagged, 60, part).collect()]
+    for part, short in ((1024, 0), (4, 0), (1024, 5), (4, 6), (1024, 100)):
+        got = [tuple(r) for r in open_pairs(tagged, 60, part, short).collect()]
         assert len(got) == len(set(got)) > 10
         for a in sets:
             for b in sets:
