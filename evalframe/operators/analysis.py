@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalframe.operators.skew import null_safe_join, quantiles, ranked
+
 # Fixed display order of the baseline conditions (used for ordinal sort keys).
 CONDITION_ORDER = ["no_persona", "generic", "history_only", "best_persona"]
 # Fixed condition labels.
@@ -42,8 +44,9 @@ def cell_means(results: DataFrame, keys: Sequence[str] = ("user_id", "condition"
 def descriptives(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """Count, mean, sample std, median per group."""
     v = F.col(value)
-    return df.groupBy(*group).agg(F.count(v).alias("count"), F.avg(v).alias("mean"),
-                                  F.stddev_samp(v).alias("std"), F.median(v).alias("median"))
+    g = df.groupBy(*group).agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"))
+    g = null_safe_join(g, quantiles(df, group, value, [0.5]), group, "left")
+    return g.select(*group, "count", "mean", "std", F.col("_q")[0].alias("median"))
 
 
 def pivot_mean(df: DataFrame, row: str, col: str, values: Sequence[str], value: str) -> DataFrame:
@@ -74,23 +77,12 @@ def sem(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
                                   F.try_divide(F.stddev_samp(v), F.sqrt(F.count(v))).alias("sem"))
 
 
-def describe(df: DataFrame, group: Sequence[str], value: str, approx: bool = False,
-             accuracy: int = 10000) -> DataFrame:
-    """Count, mean, std, min, quartiles, max, 99th percentile.
-
-    Exact percentiles keep a value->count map per group (memory grows with
-    the distinct values of a group); ``approx=True`` switches to the
-    bounded-memory sketch for very large groups.
-    """
+def describe(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """Count, mean, std, min, exact quartiles, max, 99th percentile at every size."""
     v = F.col(value)
-    qs = [0.25, 0.5, 0.75, 0.99]
-    if approx:
-        pct = F.percentile_approx(v, qs, accuracy)
-    else:
-        pct = F.percentile(v, qs)
     g = df.groupBy(*group).agg(F.count(v).alias("count"), F.avg(v).alias("mean"),
-                               F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
-                               pct.alias("_q"), F.max(v).alias("max"))
+                               F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    g = null_safe_join(g, quantiles(df, group, value, [0.25, 0.5, 0.75, 0.99]), group, "left")
     return g.select(*group, "count", "mean", "std", "min",
                     F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"),
                     F.col("_q")[2].alias("p75"), "max", F.col("_q")[3].alias("p99"))
@@ -148,12 +140,12 @@ def user_scores(results: DataFrame, group: Sequence[str] = ("condition",), value
 
 def rank_users(scores: DataFrame, group: Sequence[str], metric: str = "mean_score",
                descending: bool = True) -> DataFrame:
-    """Rank of each user within a group (ties by user id).
+    """Rank of each user within a group (ties by user id, null scores last, null ids first).
 
-    The window holds one row per user (already aggregated)."""
-    o = F.col(metric).desc() if descending else F.col(metric).asc()
-    w = Window.partitionBy(*group).orderBy(o, F.col("user_id"))
-    return scores.withColumn("rank", F.row_number().over(w))
+    Ranks come from counts per range of (group, metric, user), so the users of a group of any
+    size are sorted by many tasks."""
+    o = F.col(metric).desc_nulls_last() if descending else F.col(metric).asc_nulls_last()
+    return ranked(scores, group, [o, F.col("user_id")])
 
 
 def top_bottom(scores: DataFrame, group: Sequence[str], metric: str = "mean_score", n: int = 5) -> DataFrame:

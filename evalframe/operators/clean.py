@@ -21,6 +21,7 @@ from evalframe.functions.text import (
     url_without_context,
     word_count,
 )
+from evalframe.operators.skew import lookup_join
 
 SEED = 42
 
@@ -102,16 +103,16 @@ def parent_messages(cleaned: DataFrame) -> DataFrame:
     """Every reply gets ``"created_at, screen_name: full_text"`` of its
     parent, looked up across all users after cleaning; null when absent.
 
-    A left join on the parent id.  A viral parent with a huge number of
-    replies is a skewed key on the reply side only; AQE's skew-join split
-    handles it (the parent side holds one row per key).
+    The parent side holds one row per id.  The replies of a parent with very
+    many are dealt over salts, and posts that reply to nothing are spread over
+    all tasks (``lookup_join``).
     """
-    parents = cleaned.select(
-        F.col("tweet_id").alias("_pid"),
+    parents = cleaned.where(F.col("tweet_id").isNotNull()).select(
+        F.col("tweet_id").alias("reply_to_id"),
         F.concat(F.coalesce(F.col("created_at"), F.lit("")), F.lit(", "),
                  F.coalesce(F.col("screen_name"), F.lit("")), F.lit(": "),
                  F.coalesce(F.col("full_text"), F.lit(""))).alias("previous_message"))
-    return cleaned.join(parents, cleaned["reply_to_id"] == parents["_pid"], "left").drop("_pid")
+    return lookup_join(cleaned, parents, ["reply_to_id"], spread=["tweet_id"]).select(*cleaned.columns, "previous_message")
 
 
 def user_counts(cleaned: DataFrame, posts_per_set: int = 100, replies_per_set: int = 50) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalframe.functions.text import HIGH_PRIORITY_LEXICON, MASK_TOKEN, URL_ONLY_PATTERN
+from evalframe.operators.skew import null_safe_join
 
 # Word / punctuation tokeniser (Unicode letters, digits and underscore form words).
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
@@ -120,7 +121,7 @@ def union_mask(text: Column, model_text: Column, lexre: Column | None = None) ->
 
 
 def sequential_index(df: DataFrame, partition: Sequence[str], order_col: str,
-                     bucket: int = 1_000_000) -> DataFrame:
+                     bucket: int = 1_000_000, null_buckets: int = 1024) -> DataFrame:
     """0-based position of each row within its partition, ordered by a
     numeric ``order_col`` -- without sorting a whole partition in one task.
 
@@ -128,15 +129,21 @@ def sequential_index(df: DataFrame, partition: Sequence[str], order_col: str,
     counts rows per range, a window over those counts gives each range its
     offset, and a window inside one range (at most ``bucket`` rows) adds the
     local rank.  Exact, and a hot partition is spread over its ranges.
+
+    Every row gets a position: null partition values are a partition of their
+    own, and rows without ``order_col`` come last, dealt over ``null_buckets``
+    and ordered by the hash of the whole row, as are rows with equal values.
     """
-    p = list(partition)
-    b = df.withColumn("_b", F.floor(F.col(order_col) / bucket))
-    counts = b.groupBy(*p, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    p, cut = list(partition), ["_b", "_s"]
+    whole = F.xxhash64(*df.columns)
+    b = df.withColumn("_h", whole).withColumn("_b", F.floor(F.col(order_col) / bucket)).withColumn(
+        "_s", F.when(F.col(order_col).isNull(), F.pmod("_h", F.lit(null_buckets))).otherwise(F.lit(0)))
+    counts = b.groupBy(*p, *cut).agg(F.count(F.lit(1)).alias("_n"))
     off = counts.withColumn("_off", F.coalesce(F.sum("_n").over(
-        Window.partitionBy(*p).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    local = F.row_number().over(Window.partitionBy(*p, "_b").orderBy(order_col)) - 1
-    return b.withColumn("_l", local).join(off.drop("_n"), p + ["_b"]) \
-        .withColumn("position", F.col("_off") + F.col("_l")).drop("_b", "_l", "_off")
+        Window.partitionBy(*p).orderBy(F.col("_b").asc_nulls_last(), "_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    local = F.row_number().over(Window.partitionBy(*p, *cut).orderBy(F.col(order_col).asc_nulls_last(), "_h")) - 1
+    return null_safe_join(b.withColumn("_l", local), off.drop("_n"), p + cut) \
+        .withColumn("position", F.col("_off") + F.col("_l")).drop("_l", "_off", "_h", *cut)
 
 
 def work_list(posts: DataFrame, user: str = "user_id", min_texts: int = MIN_TEXTS_FOR_BATCH,

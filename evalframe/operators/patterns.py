@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalframe.operators.clean import tweet_type
+from evalframe.operators.skew import null_safe_join, quantiles
 
 WORD = r"[\p{L}\p{N}_]+"
 HASHTAG = r"#[\p{L}\p{N}_]+"
@@ -30,13 +31,16 @@ def post_patterns(posts: DataFrame, group: Sequence[str] = ("user_id",)) -> Data
     counts = base.groupBy(*g).agg(
         F.count(F.lit(1)).alias("total_tweets"), F.count_if(F.col("kind") == "post").alias("posts"),
         F.count_if(F.col("kind") == "reply").alias("replies"), F.count_if(F.col("kind") == "retweet").alias("retweets"),
-        F.avg("len").alias("avg_text_length"), F.median("len").alias("median_text_length"),
+        F.avg("len").alias("avg_text_length"),
         F.sum(F.size("tags")).alias("hashtag_count"), F.sum(F.size("ments")).alias("mention_count"))
     tags = base.select(*g, F.explode("tags").alias("tag")).groupBy(*g).agg(
         F.countDistinct("tag").alias("unique_hashtags"))
     ments = base.select(*g, F.explode("ments").alias("m")).groupBy(*g).agg(
         F.countDistinct("m").alias("unique_mentions"))
-    out = counts.join(tags, g, "left").join(ments, g, "left")
+    middle = quantiles(base, g, "len", [0.5]).withColumn("median_text_length", F.col("_q")[0]).drop("_q")
+    out = counts
+    for part in (middle, tags, ments):
+        out = null_safe_join(out, part, g, "left")
     return out.fillna(0, ["unique_hashtags", "unique_mentions"])
 
 

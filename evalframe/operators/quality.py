@@ -7,11 +7,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalframe.functions.text import FORMAT_ARTIFACTS, PREDICTION_PREFIXES, ngrams, rouge_tokens
 from evalframe.operators.ngram import overlap_counts
+from evalframe.operators.skew import lookup_join, null_safe_join, quantiles
+from evalframe.session import cut_lineage
 
 # Content-accuracy thresholds and format penalties, fixed values.
 HIGH_SIM, LOW_SIM = 0.7, 0.3
@@ -138,22 +140,24 @@ def judge_parse(response: Column) -> list[Column]:
 def bigram_perplexity(docs: DataFrame, key: str, text: str, k: float = 1.0) -> DataFrame:
     """Perplexity of each text under a bigram LM estimated on all texts.
 
-    p(w | v) = (c(v, w) + k) / (c(v) + k * V).  Every branch starts from
-    the same (text, bigram) count table -- one explode and one exchange that
-    Spark reuses -- from which the bigram counts, the context counts and the
-    per-text sums are derived.  A hot bigram is a skewed join key on the
-    occurrence side only (AQE skew split).  Texts with fewer than two tokens
-    get null.
+    p(w | v) = (c(v, w) + k) / (c(v) + k * V).  The (text, bigram) counts are
+    written once; the bigram counts, the context counts and the per-text sums
+    all start from them.  The counts are looked up with the context's count in
+    the bigram's row, so each occurrence meets one key; a bigram that very many
+    texts have is dealt over salts.  Texts with fewer than two tokens get null.
     """
     toks = docs.select(key, rouge_tokens(F.col(text)).alias("t"))
-    vocab = toks.select(F.explode("t").alias("w")).agg(F.countDistinct("w").alias("vocab_size"))
+    vocab = toks.select(F.explode("t").alias("w")).distinct().agg(F.count("w").alias("vocab_size"))
     occ = (toks.select(key, F.explode(ngrams(F.col("t"), 2)).alias("bg"))
                .groupBy(key, "bg").agg(F.count(F.lit(1)).alias("n")))
-    occ = occ.withColumn("v", F.substring_index("bg", " ", 1))
-    cvw = occ.groupBy("bg").agg(F.sum("n").alias("cvw"))
-    ctx = occ.groupBy("v").agg(F.sum("n").alias("cv"))
+    occ = cut_lineage(occ)
+    cvw = occ.groupBy("bg").agg(F.sum("n").alias("cvw")).withColumn("v", F.substring_index("bg", " ", 1))
+    # different bigrams only: a context has at most as many as there are words
+    cvw = cut_lineage(cvw)
+    ctx = cvw.groupBy("v").agg(F.sum("cvw").alias("cv"))
+    counts = lookup_join(cvw, ctx, ["v"], "inner", spread=["bg"]).select("bg", "cvw", "cv")
     # V is a one-row aggregate: a scalar subquery, evaluated once
-    j = occ.join(cvw, "bg").join(ctx, "v").withColumn("vocab_size", vocab.scalar())
+    j = lookup_join(occ, counts, ["bg"], "inner", spread=[key]).withColumn("vocab_size", vocab.scalar())
     lp = F.log((F.col("cvw") + k) / (F.col("cv") + k * F.col("vocab_size")))
     per = j.groupBy(key).agg((F.sum(F.col("n") * lp) / F.sum("n")).alias("avg_log_p"),
                              F.sum("n").alias("n_bigrams"))
@@ -169,8 +173,8 @@ def bigram_perplexity(docs: DataFrame, key: str, text: str, k: float = 1.0) -> D
 def box_stats(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """Quartiles, whiskers (1.5 IQR rule clipped to the data) and count."""
     v = F.col(value)
-    g = df.groupBy(*group).agg(F.percentile(v, [0.25, 0.5, 0.75]).alias("_q"), F.min(v).alias("min"),
-                               F.max(v).alias("max"), F.count(v).alias("count"))
+    g = df.groupBy(*group).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("count"))
+    g = null_safe_join(g, quantiles(df, group, value, [0.25, 0.5, 0.75]), group, "left")
     q1, q2, q3 = F.col("_q")[0], F.col("_q")[1], F.col("_q")[2]
     iqr = q3 - q1
     return g.select(*group, q1.alias("q1"), q2.alias("median"), q3.alias("q3"),
@@ -225,3 +229,28 @@ def persona_evolution(personas: DataFrame, key: str, round_col: str, text: str)
                     (F.col("n_tokens") - F.col("prev_tokens")).alias("token_change"),
                     F.when(F.col("prev_distinct").isNotNull(),
                            F.when(union > 0, common / union).otherwise(F.lit(0.0))).alias("jaccard_prev"))
+
+
+def persona_keywords(personas: DataFrame, key: str, text: str, k: int = 10, prior_size: float = 500.0) -> DataFrame:
+    """The ``k`` words that set a persona's texts apart from all others': log-odds with an
+    informative Dirichlet prior (the corpus' own word shares, ``prior_size`` words in all), divided
+    by their standard deviation.  Ties go to the lesser word; a null persona is one of its own.
+
+    Counts are summed before any shuffle, word and persona totals are looked up, and the lists come
+    from a group limit, so neither a frequent word nor a large persona meets one task."""
+    toks = personas.select(F.col(key).alias("key"), F.explode(rouge_tokens(F.col(text))).alias("word"))
+    own = cut_lineage(toks.groupBy("key", "word").agg(F.count(F.lit(1)).alias("n")))
+    words = own.groupBy("word").agg(F.sum("n").alias("n_word"))
+    sizes = own.groupBy("key").agg(F.sum("n").alias("n_key"))
+    total = own.agg(F.sum("n").alias("n")).scalar()
+    named = F.coalesce("key", F.lit("")).alias("_k"), F.col("key").isNull().alias("_null")
+    j = lookup_join(own.select("*", *named), words, ["word"], spread=["key", "word"])
+    j = lookup_join(j, sizes.select("n_key", *named), ["_k", "_null"], spread=["word"]).withColumn("n_all", total)
+    prior = F.lit(prior_size) * F.col("n_word") / F.col("n_all")
+    a, b = F.col("n") + prior, F.col("n_word") - F.col("n") + prior
+    size_a, size_b = F.col("n_key") + F.lit(prior_size), F.col("n_all") - F.col("n_key") + F.lit(prior_size)
+    odds = F.log(F.try_divide(a, size_a - a)) - F.log(F.try_divide(b, size_b - b))
+    z = odds / F.sqrt(1 / a + 1 / b)
+    scored = j.select(F.col("key").alias(key), "word", "n", odds.alias("log_odds"), z.alias("z")).where("z is not null")
+    order = Window.partitionBy(key).orderBy(F.round("z", 9).desc(), "word")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

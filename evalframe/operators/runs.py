@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalframe.operators.skew import null_safe_join, quantiles
+
 # Run-type patterns, fixed values; a later pattern overrides an earlier one.
 RUN_TYPE_PATTERNS = ["bleu_only", "perplexity_only", "all_metrics", "rouge_only", "imitations"]
 # Condition keys in their fixed lookup order (first contained key wins).
@@ -122,10 +124,12 @@ def base_run_overview(overview: DataFrame, run_col: str = "run_id") -> DataFrame
 def stats_by(df: DataFrame, group: str, value: str) -> DataFrame:
     """A5: count, sum, mean, median, sample std, min, max (rounded to 2)."""
     v = F.col(value)
-    return df.groupBy(group).agg(
+    g = df.groupBy(group).agg(
         F.count(v).alias("num_runs"), F.sum(v).alias("total_gens"), F.round(F.avg(v), 2).alias("mean_gens"),
-        F.round(F.median(v), 2).alias("median_gens"), F.round(F.stddev_samp(v), 2).alias("std_gens"),
-        F.min(v).alias("min_gens"), F.max(v).alias("max_gens"))
+        F.round(F.stddev_samp(v), 2).alias("std_gens"), F.min(v).alias("min_gens"), F.max(v).alias("max_gens"))
+    g = null_safe_join(g, quantiles(df, [group], value, [0.5]), [group], "left")
+    return g.select(group, "num_runs", "total_gens", "mean_gens", F.round(F.col("_q")[0], 2).alias("median_gens"),
+                    "std_gens", "min_gens", "max_gens")
 
 
 def runs_without_evaluation(runs: DataFrame, evaluations: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -7,14 +7,16 @@ native Spark except the LCS helper used by ROUGE-L.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalframe.functions.text import bleu_tokens, rouge_tokens
-from evalframe.operators.lcs import lcs
+from evalframe.operators.lcs import lcs, union_lcs_counts
 from evalframe.operators.ngram import overlap_counts
+from evalframe.operators.skew import null_safe_join
 
 DEFAULT_KEY = ("user_id", "run_id", "index")
 BLEU_MAX_ORDER = 4
@@ -132,6 +134,49 @@ def score_pairs(pairs: DataFrame, key_cols: Sequence[str] = DEFAULT_KEY,
     return counts.select(*out)
 
 
+def rouge_lsum(pairs: DataFrame, key_cols: Sequence[str] = DEFAULT_KEY) -> DataFrame:
+    """M2: ROUGE-Lsum per pair: precision, recall and F1 of the union of the common subsequences of
+    each line of the reference with all lines of the prediction; 0 where a side has no word."""
+    def lines(c: str) -> Column:
+        kept = F.filter(F.split(F.coalesce(F.col(c), F.lit("")), "\n"), lambda x: x != "")
+        return F.transform(kept, rouge_tokens)
+
+    counted = pairs.select(*key_cols, union_lcs_counts(lines("reference"), lines("prediction")).alias("u"))
+    p = F.coalesce(_div(F.col("u.hits"), F.col("u.n_pred")), F.lit(0.0))
+    r = F.coalesce(_div(F.col("u.hits"), F.col("u.n_ref")), F.lit(0.0))
+    return counted.select(*key_cols, p.alias("rougeLsum_precision"), r.alias("rougeLsum_recall"), _f1(p, r).alias("rougeLsum"))
+
+
+# cumulative chances of 0, 1, 2, ... of a Poisson variable of mean 1, in units of 2**-32
+POISSON = [math.floor(2**32 * math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1))) for k in range(12)]
+
+
+def bootstrap_means(scored: DataFrame, metrics: Sequence[str], group_cols: Sequence[str] = ("user_id", "run_id"),
+                    item: str = "index", replicates: int = 100, confidence: float = 0.95, seed: int = 42) -> DataFrame:
+    """Per group and metric the mean over items, and low, mid and high percentiles of its bootstrap.
+
+    An item's weight in a replicate is a Poisson(1) draw from the hash of (seed, item, replicate), so a
+    replicate is a resample of expected size that any task can draw alone, and repeats alike.  Items give
+    one row per replicate, summed per group before the shuffle; a group ends with ``replicates`` means.
+    A replicate that drew no item is left out."""
+    g, low = list(group_cols), (1 - confidence) / 2
+    words = -(-replicates // 4)  # a hash gives four draws of 32 bits
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(item).cast("string"), F.col("_w").cast("string")))
+    draws = F.filter(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.struct(
+        (F.col("_w") * 4 + k).alias("replicate"), F.conv(h.substr(k * 8 + 1, F.lit(8)), 16, 10).cast("long").alias("u"))),
+        lambda x: x["replicate"] < replicates)
+    rows = (scored.select(*g, item, *metrics, F.explode(F.sequence(F.lit(0), F.lit(words - 1))).alias("_w"))
+            .select(*g, *metrics, F.explode(draws).alias("d")))
+    weight = F.size(F.filter(F.array(*[F.lit(c) for c in POISSON]), lambda c: F.col("d.u") >= c))
+    rows = rows.select(*g, *metrics, F.col("d.replicate").alias("replicate"), weight.alias("w")).where("w > 0")
+    means = rows.groupBy(*g, "replicate").agg(*[_div(F.sum(F.col(m) * F.col("w")), F.sum(F.when(F.col(m).isNotNull(), F.col("w"))))
+                                                .alias(m) for m in metrics])
+    long = means.unpivot([*g, "replicate"], list(metrics), "metric", "mean")
+    out = long.groupBy(*g, "metric").agg(*[F.percentile("mean", q).alias(n) for n, q in (("low", low), ("mid", 0.5), ("high", 1 - low))])
+    plain = scored.groupBy(*g).agg(*[F.avg(m).alias(m) for m in metrics]).unpivot(g, list(metrics), "metric", "mean")
+    return null_safe_join(plain, out, [*g, "metric"], "left")
+
+
 def bleu_corpus(scored: DataFrame, group_cols: Sequence[str] = ("user_id", "run_id"),
                 extra_aggs: Sequence[Column] = ()) -> DataFrame:
     """A12 corpus BLEU per group from summed n-gram counts (not a mean of items).

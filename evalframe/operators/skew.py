@@ -50,17 +50,18 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
 
 
 def range_blocks(df: DataFrame, group: Sequence[str], order: Sequence[Column | str],
-                 keep=cut_lineage) -> tuple[DataFrame, DataFrame]:
+                 keep=cut_lineage, weight: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``df`` cut into ranges of (group, order), and the size of each group's part of a range.
 
     Returns (rows with ``_p``, the number of their range; blocks of (group, _p, _n, _off,
-    _total): rows of the group in the range, in the ranges before it, and in all).  The rows
+    _total): rows of the group in the range, in the ranges before it, and in all; a row counts
+    ``weight`` if that is given).  The rows
     are written once (``keep``), as ranges are drawn from a sample.  A group of any size is
     spread over ranges; only rows equal in all of ``group`` and ``order`` stay together.
     """
     group = list(group)
     rows = keep(df.repartitionByRange(*group, *order).withColumn("_p", F.spark_partition_id()))
-    sizes = rows.groupBy(*group, "_p").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = rows.groupBy(*group, "_p").agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
     whole = Window.partitionBy(*group)
     before = whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     blocks = (sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
@@ -68,12 +69,11 @@ def range_blocks(df: DataFrame, group: Sequence[str], order: Sequence[Column | s
     return rows, blocks
 
 
-def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality of ``keys``."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where null equals null; the keys are those of ``left``."""
+    keys = list(keys)
+    other = right.withColumnsRenamed({k: "__" + k for k in keys})
+    return left.join(other, _renamed(keys), how).drop(*["__" + k for k in keys])
 
 
 def ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], rank: str = "rank",
@@ -94,3 +94,36 @@ def _renamed(keys: Sequence[str]) -> Column:
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col("__" + k))
     return cond
+
+
+def quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Sequence[float], name: str = "_q") -> DataFrame:
+    """Exact quantiles of ``value`` per group with linear interpolation, as array ``name`` in the
+    order of ``probs`` (null where a group has no value; nulls in ``value`` are left out).
+
+    Equal values are counted before anything is sorted, so a value that many rows share is one
+    row.  Counts per range of (group, value) tell which ranges hold the wanted ranks; only these
+    are put in order.  A group is spread over ranges, and no task keeps all its values."""
+    group = list(group) or ["__all"]
+    base = df.withColumn("__all", F.lit(0)) if group == ["__all"] else df
+    v = F.col(value).cast("double")
+    counted = base.select(*group, v.alias("_v")).where("_v is not null").groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    rows, blocks = range_blocks(counted, group, ["_v"], weight="_c")
+    last = F.col("_total") - 1
+    ranks = F.array_distinct(F.array(*[f((F.lit(float(p)) * last)).cast("long") for p in probs for f in (F.floor, F.ceil)]))
+    wanted = F.filter(ranks, lambda r: (r >= F.col("_off")) & (r < F.col("_off") + F.col("_n")))
+    blocks = blocks.withColumn("_want", wanted).where(F.size("_want") > 0)
+    found = null_safe_join(rows, blocks.select(*group, "_p", "_off", "_total", "_want"), [*group, "_p"])
+    upto = Window.partitionBy("_p", *group).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.col("_off") + F.sum("_c").over(upto)
+    hit = found.withColumn("_end", end).withColumn("_hits", F.filter("_want", lambda r: (r < F.col("_end")) & (r >= F.col("_end") - F.col("_c"))))
+    hit = hit.select(*group, "_total", "_v", F.explode("_hits").alias("_r"))
+    at = hit.groupBy(*group).agg(F.max("_total").alias("_total"),  # at most two entries for each of ``probs``
+                                 F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_at"))
+    out = []
+    for p in probs:
+        place = F.lit(float(p)) * last
+        lo, hi = (F.try_element_at("_at", f(place).cast("long")) for f in (F.floor, F.ceil))
+        out.append(lo + F.when(hi == lo, F.lit(0.0)).otherwise((hi - lo) * (place - F.floor(place))))
+    at = at.select(*group, F.array(*out).alias(name))
+    groups = base.select(*group).distinct()
+    return null_safe_join(groups, at, group, "left").drop("__all")

@@ -12,7 +12,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalframe.functions.dist import f_pvalue, t_pvalue
+from evalframe.functions.dist import f_pvalue, mauchly_test, t_pvalue
 
 ALPHA = 0.05
 
@@ -54,23 +54,78 @@ def ttest_paired(cells: DataFrame, by: str, levels: Sequence[str], value: str =
     levels = list(levels)
     wide = cells.groupBy(subject).pivot(by, levels).agg(F.avg(value))
     pairs = list(combinations(levels, 2))
-    diffs = [F.struct(F.lit(a).alias("level_a"), F.lit(b).alias("level_b"),
-                      (F.col(f"`{a}`") - F.col(f"`{b}`")).alias("d")) for a, b in pairs]
-    # one pass over the pivoted rows: every pair difference is generated from the same row
-    long = wide.select(F.explode(F.array(*diffs)).alias("x")).select("x.*")
+    diffs = [F.struct(F.lit(a).alias("level_a"), F.lit(b).alias("level_b"), F.col(f"`{a}`").alias("x"),
+                      F.col(f"`{b}`").alias("y")) for a, b in pairs]
+    # one pass over the pivoted rows: every pair is generated from the same row
+    long = wide.select(F.explode(F.array(*diffs)).alias("p")).select("p.*").withColumn("d", F.col("x") - F.col("y"))
     g = long.where(F.col("d").isNotNull()).groupBy("level_a", "level_b").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean_diff"), F.stddev_samp("d").alias("sd_diff"))
+        F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean_diff"), F.stddev_samp("d").alias("sd_diff"),
+        F.sqrt((F.var_samp("x") + F.var_samp("y")) / 2).alias("sd_mean"))
     t = F.try_divide(F.col("mean_diff"), F.try_divide(F.col("sd_diff"), F.sqrt(F.col("n"))))
     out = g.select("level_a", "level_b", "n", "mean_diff", "sd_diff",
-                   F.when(F.col("n") > 1, t).alias("t_statistic"), (F.col("n") - 1).alias("df"))
+                   F.when(F.col("n") > 1, t).alias("t_statistic"), (F.col("n") - 1).alias("df"),
+                   F.try_divide("mean_diff", "sd_mean").alias("cohen_d"))
     out = out.withColumn("p_value", t_pvalue(F.col("t_statistic"), F.col("df")))
     return out.withColumn("p_bonferroni", F.least(F.lit(1.0), F.col("p_value") * len(pairs))) \
               .withColumn("significant", F.col("p_bonferroni") < ALPHA)
 
 
+def sphericity(scores: DataFrame, dims: DataFrame, by: Sequence[str], subject: str = "user_id") -> DataFrame:
+    """Per group ``by``: Greenhouse-Geisser epsilon, Mauchly's W, its p-value, and whether the
+    contrasts count as spherical (always for a single one).
+
+    ``scores(by, subject, cell, z)``: each subject's scores, centred on the effect's contrasts;
+    ``dims(by, d)``: their number.  One aggregate over the pairs of a subject's few cells gives the
+    covariances, and only these reach the test."""
+    by = list(by)
+    rows = scores.groupBy(*by, subject).agg(F.sort_array(F.collect_list(F.struct("cell", "z"))).alias("zs"))
+    pairs = (rows.select(*by, "zs", F.posexplode("zs").alias("i", "x"))
+             .select(*by, "i", F.col("x.z").alias("x"), F.posexplode("zs").alias("j", "y")).where("i <= j"))
+    cov = pairs.groupBy(*by, "i", "j").agg(F.covar_samp("x", F.col("y.z")).alias("c"), F.count(F.lit(1)).alias("n"))
+    both = F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0)
+    g = cov.groupBy(*by).agg(F.collect_list(F.struct("i", "j", "c")).alias("s"), F.max("n").alias("n"),
+                             F.sum(F.when(F.col("i") == F.col("j"), F.col("c"))).alias("tr"),
+                             F.sum(both * F.col("c") * F.col("c")).alias("tr2")).join(dims, by)
+    g = g.withColumn("m", mauchly_test(F.col("s"), F.col("n"), F.col("d")))
+    eps = F.when(F.col("d") == 1, F.lit(1.0)).otherwise(F.try_divide(F.col("tr") * F.col("tr"), F.col("d") * F.col("tr2")))
+    p = F.when(F.isnan("m.p"), F.lit(None)).otherwise(F.col("m.p"))
+    return g.select(*by, eps.alias("epsilon"), F.when(F.isnan("m.w"), F.lit(None)).otherwise(F.col("m.w")).alias("w_spher"),
+                    p.alias("p_spher"), F.when(F.col("d") == 1, F.lit(True)).otherwise(p > ALPHA).alias("spherical"))
+
+
+def _corrected(effects: DataFrame, tests: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Plain and corrected p-values; the corrected one is reported where sphericity fails."""
+    out = effects.join(tests, list(by), "left")
+    f, d1, d2, e = (F.col(c) for c in ("f_statistic", "df1", "df2", "epsilon"))
+    out = out.withColumn("p_value", f_pvalue(f, d1, d2)).withColumn("p_gg", f_pvalue(f, d1 * e, d2 * e))
+    out = out.withColumn("p_reported", F.when(F.coalesce("spherical", F.lit(True)), F.col("p_value")).otherwise(F.col("p_gg")))
+    return out.withColumn("significant", F.col("p_reported") < ALPHA)
+
+
+def rm_anova_oneway(cells: DataFrame, a: str, by: Sequence[str], value: str = "mean_value", subject: str = "user_id") -> DataFrame:
+    """A41, one-way form: a within subjects, for each group of ``by`` on its own (one task, say).
+    ``cells`` holds one value per group, subject and level, and only subjects with all levels."""
+    by = list(by)
+    base = cells.select(*by, subject, a, F.col(value).alias("y"))
+    x = (base.withColumn("m_s", F.avg("y").over(Window.partitionBy(*by, subject)))
+         .join(base.groupBy(*by, a).agg(F.avg("y").alias("m_a")), [*by, a])
+         .join(base.groupBy(*by).agg(F.avg("y").alias("m"), F.countDistinct(subject).alias("n"), F.countDistinct(a).alias("a")), by))
+    m, m_a, m_s = F.col("m"), F.col("m_a"), F.col("m_s")
+    sums = x.groupBy(*by).agg(F.sum((m_a - m) ** 2).alias("ss"), F.sum((m_s - m) ** 2).alias("ss_s"),
+                              F.sum((F.col("y") - m_a - m_s + m) ** 2).alias("ss_error"), F.first("n").alias("n"), F.first("a").alias("a"))
+    d1, d2 = F.col("a") - 1, (F.col("a") - 1) * (F.col("n") - 1)
+    f = F.try_divide(F.try_divide(F.col("ss"), d1), F.try_divide(F.col("ss_error"), d2))
+    effects = sums.select(*by, F.lit(a).alias("source"), "ss", d1.alias("df1"), "ss_error", d2.alias("df2"),
+                          F.when((d1 > 0) & (d2 > 0) & (F.col("ss_error") > 0), f).alias("f_statistic"),
+                          F.try_divide("ss", F.col("ss") + F.col("ss_s") + F.col("ss_error")).alias("ges"))
+    scores = x.select(*by, subject, F.col(a).alias("cell"), (F.col("y") - m_s).alias("z"))
+    return _corrected(effects, sphericity(scores, effects.select(*by, F.col("df1").alias("d")), by, subject), by)
+
+
 def rm_anova(cells: DataFrame, a: str, b: str, value: str = "mean_value", subject: str = "user_id") -> DataFrame:
     """Two-way repeated-measures ANOVA (a x b within subjects) with
-    generalized eta squared.  ``cells`` holds one value per subject x a x b
+    generalized eta squared, and for each effect Mauchly's test and the
+    Greenhouse-Geisser corrected p-value.  ``cells`` holds one value per subject x a x b
     and only complete subjects (see ``complete_users``).
 
     Level means are small grouped aggregates; subject-level means are
@@ -121,5 +176,32 @@ def rm_anova(cells: DataFrame, a: str, b: str, value: str = "mean_value", subjec
                              F.try_divide(F.col(ss), F.col(ss) + err).alias("ges")))
     # one pass over the sums row; the three effects are generated from it
     out = sums.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-    out = out.withColumn("p_value", f_pvalue(F.col("f_statistic"), F.col("df1"), F.col("df2")))
-    return out.withColumn("significant", F.col("p_value") < ALPHA)
+    # scores centred on the contrasts of each effect: one row per subject and level, or cell
+    x = x.select(subject, a, b, "y", "m_s", "m_sa", "m_sb")
+    za = x.groupBy(subject, F.col(a).alias("cell")).agg(F.max(m_sa - m_s).alias("z")).withColumn("source", F.lit(a))
+    zb = x.groupBy(subject, F.col(b).alias("cell")).agg(F.max(m_sb - m_s).alias("z")).withColumn("source", F.lit(b))
+    zab = x.select(subject, F.to_json(F.array(a, b)).alias("cell"), (F.col("y") - m_sa - m_sb + m_s).alias("z"),
+                   F.lit(f"{a}:{b}").alias("source"))
+    tests = sphericity(za.unionByName(zb).unionByName(zab), out.select("source", F.col("df1").alias("d")), ["source"], subject)
+    return _corrected(out, tests, ["source"])
+
+
+def findings(cells: DataFrame, effects: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row per statement of the report (section, effect, statement, significant) from the
+    descriptives by condition and task, the ANOVA's effects and the paired tests."""
+    big = lambda c: F.col(c).cast("bigint")
+    said = [cells.select(F.lit("descriptive").alias("section"), F.concat_ws(" / ", "task", "condition").alias("effect"),
+                         F.format_string("n = %d, mean = %.3f, std = %.3f, median = %.3f", "count", "mean", "std", "median").alias("statement"),
+                         F.lit(None).cast("boolean").alias("significant")),
+            effects.select(F.lit("anova"), "source", F.format_string(
+                "F(%d, %d) = %.3f, p = %.3f, ges = %.3f, eps = %.3f", big("df1"), big("df2"), "f_statistic", "p_reported", "ges", "epsilon"),
+                "significant"),
+            pairs.select(F.lit("post-hoc"), F.concat_ws(" - ", "level_a", "level_b"), F.format_string(
+                "t(%d) = %.3f, p = %.3f, d = %.3f", big("df"), "t_statistic", "p_bonferroni", "cohen_d"), "significant"),
+            effects.where(F.col("source") == "condition:task").select(
+                F.lit("interpretation"), "source", F.when(F.col("significant"), F.lit("the effect of condition depends on the task"))
+                .otherwise(F.lit("the effect of condition is the same for both tasks")), "significant")]
+    out = said[0]
+    for rows in said[1:]:
+        out = out.union(rows)
+    return out

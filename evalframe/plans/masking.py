@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from evalframe.functions.text import HIGH_PRIORITY_LEXICON, URL_ONLY_PATTERN
 from evalframe.operators import mask as M
+from evalframe.operators.skew import null_safe_join
 from evalframe.plans.common import Registry, rounded
+from evalframe.session import cut_lineage
 from evalframe.sources import adapters as A
 
 reg = Registry()
@@ -17,11 +19,17 @@ MODEL_MASK_MIN_LEN = 9      # the stand-in model masks tokens of this length or
 
 
 def holdout(spark, sf_dir):
-    """Documents as holdout posts; every fourth one was already masked."""
+    """Documents as holdout posts, of which every fourth one was already masked: the state that
+    the incremental queries (P23: ``mask_deterministic``, ``mask_worklist``) start from."""
     p = A.posts_from_documents(spark, sf_dir)
     return p.withColumn("masked_text", F.when(F.col("ingest_pos") % 4 == 0, F.lit("[MASKED]")))
 
 
+def posts(spark, sf_dir):
+    """All documents as posts, none of them masked yet."""
+    return A.posts_from_documents(spark, sf_dir)
+
+
 def lexicon(spark, sf_dir):
     """Lexicon table: the fixed high-priority words plus every word that occurs in at
     least LEXICON_SHARE of the toxic documents.  A share bounds the table by the words
@@ -64,7 +72,7 @@ def mask_deterministic(spark, sf_dir):
 
 
 @reg.add("mask_union", _LEX_SQL + f"""mt AS (SELECT tweet_id, ingest_pos, full_text, {_TOK.format(t='full_text')} AS toks
-  FROM hold WHERE masked_text IS NULL),
+  FROM doc_posts),
 mm AS (SELECT tweet_id, list_filter(string_split_regex(array_to_string(list_transform(toks, lambda t: CASE WHEN
     length(t) >= {MODEL_MASK_MIN_LEN} THEN '[MASKED]' ELSE t END), ' ')
     || CASE WHEN ingest_pos % 7 = 0 THEN ' extra' ELSE '' END, '\\s+'), lambda w: w <> '') AS model FROM mt),
@@ -86,7 +94,7 @@ SELECT mt.tweet_id, CASE WHEN coalesce(mt.full_text = '', true)
 FROM mt LEFT JOIN out ON mt.tweet_id = out.tweet_id""")
 def mask_union(spark, sf_dir):
     """K2 + K3: rules union a model's masked positions, with the failsafe."""
-    todo = holdout(spark, sf_dir).where(F.col("masked_text").isNull())
+    todo = posts(spark, sf_dir)
     toks = M.tokens(F.col("full_text"))
     model = F.concat(F.array_join(F.transform(toks, lambda t: F.when(F.length(t) >= MODEL_MASK_MIN_LEN,
                                                                      F.lit("[MASKED]")).otherwise(t)), " "),
@@ -107,7 +115,7 @@ def mask_worklist(spark, sf_dir):
 
 
 _REQ_SQL = _LEX_SQL + f"""pos AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ingest_pos) - 1 AS position
-  FROM hold WHERE masked_text IS NULL),
+  FROM doc_posts),
 req AS (SELECT user_id, tweet_id, position, 'mask-' || CAST(position AS VARCHAR) AS custom_id,
     CAST(floor(position / {BATCH_SIZE}) AS BIGINT) AS batch, full_text,
     CAST(to_json({{'custom_id': 'mask-' || CAST(position AS VARCHAR), 'method': 'POST', 'url': '{M.BATCH_URL}',
@@ -119,8 +127,7 @@ req AS (SELECT user_id, tweet_id, position, 'mask-' || CAST(position AS VARCHAR)
 
 
 def requests(spark, sf_dir, carry=()):
-    todo = holdout(spark, sf_dir).where(F.col("masked_text").isNull())
-    return M.batch_requests(todo, batch_size=BATCH_SIZE, carry=carry)
+    return M.batch_requests(posts(spark, sf_dir), batch_size=BATCH_SIZE, carry=carry)
 
 
 @reg.add("batch_requests", _REQ_SQL.rstrip().rstrip(",") + """
@@ -138,14 +145,13 @@ parsed AS (SELECT user_id, custom_id, status = 200 AS ok,
     CASE WHEN status = 200 THEN regexp_replace(content, '^\\s+|\\s+$', '', 'g') ELSE '[MASKED]' END AS mt FROM res)
 SELECT h.user_id, h.tweet_id, coalesce(p.mt, {_mask_sql('h.full_text')}) AS masked_text,
   CASE WHEN p.ok THEN 'batch' WHEN p.ok IS NOT NULL THEN 'failed' ELSE 'rules' END AS origin
-FROM hold h CROSS JOIN lex LEFT JOIN req r ON h.tweet_id = r.tweet_id AND h.user_id = r.user_id
-LEFT JOIN parsed p ON r.custom_id = p.custom_id AND r.user_id = p.user_id
-WHERE h.masked_text IS NULL""")
+FROM doc_posts h CROSS JOIN lex LEFT JOIN req r ON h.tweet_id IS NOT DISTINCT FROM r.tweet_id AND h.user_id IS NOT DISTINCT FROM r.user_id
+LEFT JOIN parsed p ON r.custom_id = p.custom_id AND r.user_id IS NOT DISTINCT FROM p.user_id""")
 def batch_results(spark, sf_dir):
-    """S18 + J11: parse result lines, join back by request id -> tweet id,
-    fall back to the rule mask where no result exists."""
+    """S18 + J11: parse result lines, join back by request id, fall back to the rule mask where no
+    result exists.  The requests are made once; users without an id keep their rows."""
     lex = lexicon(spark, sf_dir)
-    req = M.attach_lexicon(requests(spark, sf_dir, carry=("full_text",)), lex)
+    req = cut_lineage(requests(spark, sf_dir, carry=("full_text",)).select("user_id", "tweet_id", "position", "custom_id", "full_text"))
     # the service's result lines (one JSON object per request) as they come back
     line = F.to_json(F.struct(
         F.col("custom_id"),
@@ -153,15 +159,15 @@ def batch_results(spark, sf_dir):
                  F.struct(F.array(F.struct(F.struct(F.concat(M.deterministic_mask(F.col("full_text")), F.lit("  "))
                                                     .alias("content")).alias("message"))).alias("choices"))
                  .alias("body")).alias("response")))
-    lines = req.select("user_id", line.alias("value"))
+    lines = M.attach_lexicon(req, lex).select("user_id", line.alias("value"))
     parsed = M.parse_batch_results(lines, keep=["user_id"])
-    todo = M.attach_lexicon(holdout(spark, sf_dir).where(F.col("masked_text").isNull()).drop("masked_text"), lex)
-    ids = requests(spark, sf_dir).select("user_id", "tweet_id", "custom_id")
-    j = todo.join(ids, ["user_id", "tweet_id"], "left").join(parsed, ["custom_id", "user_id"], "left")
+    ids = null_safe_join(req.select("user_id", "tweet_id", "custom_id"), parsed, ["custom_id", "user_id"], "left")
+    todo = posts(spark, sf_dir).select("user_id", "tweet_id", "full_text")
+    j = null_safe_join(todo, ids.drop("custom_id"), ["user_id", "tweet_id"], "left")
     origin = F.when(F.col("ok"), F.lit("batch")).when(F.col("ok").isNotNull(), F.lit("failed")).otherwise(F.lit("rules"))
-    return j.select("user_id", "tweet_id",
-                    F.coalesce(F.col("masked_text"), M.deterministic_mask(F.col("full_text"))).alias("masked_text"),
-                    origin.alias("origin"))
+    return M.attach_lexicon(j, lex).select(
+        "user_id", "tweet_id", F.coalesce(F.col("masked_text"), M.deterministic_mask(F.col("full_text"))).alias("masked_text"),
+        origin.alias("origin"))
 
 
 @reg.add("mask_outcome", _REQ_SQL.rstrip().rstrip(",") + """

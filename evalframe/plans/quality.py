@@ -320,3 +320,22 @@ def persona_evolution(spark, sf_dir):
     return rounded(out.select("source", "round", F.col("n_tokens").cast("bigint").alias("n_tokens"),
                               F.col("n_distinct").cast("bigint").alias("n_distinct"),
                               F.col("token_change").cast("double").alias("token_change"), "jaccard_prev"))
+
+
+KEYWORDS, PRIOR = 5, 500.0
+
+
+@reg.add("persona_keywords", f"""WITH t AS (SELECT source, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS word FROM documents),
+o AS (SELECT source, word, count(*) AS n FROM t GROUP BY ALL),
+w AS (SELECT word, sum(n) AS n_word FROM o GROUP BY word), k AS (SELECT source, sum(n) AS n_key FROM o GROUP BY source),
+j AS (SELECT o.source, o.word, o.n, {PRIOR} * n_word / (SELECT sum(n) FROM o) AS pr, n_word, n_key, (SELECT sum(n) FROM o) AS n_all
+  FROM o JOIN w ON w.word = o.word JOIN k ON k.source IS NOT DISTINCT FROM o.source),
+l AS (SELECT *, n + pr AS a, n_word - n + pr AS b FROM j),
+z AS (SELECT *, ln(a / (n_key + {PRIOR} - a)) - ln(b / (n_all - n_key + {PRIOR} - b)) AS log_odds FROM l),
+r AS (SELECT *, log_odds / sqrt(1 / a + 1 / b) AS z FROM z)
+SELECT source, rank, word, n, round(log_odds, 6) AS log_odds, round(z, 6) AS z FROM (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(z, 9) DESC, word) AS rank FROM r) WHERE rank <= {KEYWORDS}""")
+def persona_keywords(spark, sf_dir):
+    """The words that set each source apart."""
+    k = Q.persona_keywords(A.table(spark, sf_dir, "documents"), "source", "text", KEYWORDS, PRIOR)
+    return rounded(k.select("source", F.col("rank").cast("bigint").alias("rank"), "word", "n", "log_odds", "z"))

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalframe.operators import scoring as S
+from evalframe.operators import wordvec as V
 from evalframe.plans.common import Registry, rounded
 from evalframe.plans.sqlgen import lcs_sql, pair_scores_sql, r6
+from evalframe.session import cut_lineage
+from evalframe.sources import adapters as A
 from evalframe.sources.adapters import PAIRS_SQL, pairs_from_conversations
 
 reg = Registry()
@@ -134,3 +137,78 @@ def overall_scores(spark, sf_dir):
     out = S.bleu_corpus(s, extra_aggs=[F.avg("rouge1").alias("rouge1"), F.avg("rouge2").alias("rouge2"),
                                        F.avg("rougeL").alias("rougeL")])
     return rounded(out.select("user_id", "run_id", "rouge1", "rouge2", "rougeL", "bleu", "total_samples"))
+
+
+@reg.add("rouge_lsum")
+def rouge_lsum(spark, sf_dir):
+    """M2: ROUGE-Lsum per pair.  Its way back through the tables is not for SQL; the tests hold it
+    against a plain dynamic program over all given pairs."""
+    return rounded(S.rouge_lsum(pairs_from_conversations(spark, sf_dir)))
+
+
+REPLICATES, SEED = 60, 42
+_POISSON = "[" + ", ".join(map(str, S.POISSON)) + "]"
+
+
+@reg.add("rouge_bootstrap", _SCL + f""", d AS (SELECT user_id, run_id, rouge1, rouge2, rougeL, 4 * w + k AS replicate,
+    CAST('0x' || substr(md5('{SEED}|' || CAST("index" AS VARCHAR) || '|' || CAST(w AS VARCHAR)), 8 * k + 1, 8) AS BIGINT) AS u
+  FROM scl, (SELECT unnest(range(0, {-(-REPLICATES // 4)})) AS w), (SELECT unnest(range(0, 4)) AS k)),
+wt AS (SELECT *, len(list_filter({_POISSON}, lambda c: u >= c)) AS weight FROM d WHERE replicate < {REPLICATES}),
+m AS (SELECT user_id, run_id, replicate, sum(rouge1 * weight) / sum(weight) AS rouge1, sum(rouge2 * weight) / sum(weight) AS rouge2,
+  sum(rougeL * weight) / sum(weight) AS rougeL FROM wt WHERE weight > 0 GROUP BY user_id, run_id, replicate),
+q AS (SELECT user_id, run_id, metric, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.5) AS mid, quantile_cont(v, 0.975) AS high
+  FROM (UNPIVOT m ON rouge1, rouge2, rougeL INTO NAME metric VALUE v) GROUP BY ALL),
+p AS (SELECT user_id, run_id, metric, avg(v) AS mean FROM (UNPIVOT (SELECT user_id, run_id, rouge1, rouge2, rougeL FROM scl)
+  ON rouge1, rouge2, rougeL INTO NAME metric VALUE v) GROUP BY ALL)
+SELECT p.user_id, p.run_id, p.metric, round(p.mean, 6) AS mean, round(low, 6) AS low, round(mid, 6) AS mid, round(high, 6) AS high
+FROM p LEFT JOIN q ON p.user_id = q.user_id AND p.run_id = q.run_id AND p.metric = q.metric""")
+def rouge_bootstrap(spark, sf_dir):
+    """Overall ROUGE of each run with the bootstrap's low, mid and high."""
+    s = S.score_pairs(pairs_from_conversations(spark, sf_dir), metrics=["rouge"]).select("user_id", "run_id", "index", "rouge1", "rouge2", "rougeL")
+    return rounded(S.bootstrap_means(cut_lineage(s), ["rouge1", "rouge2", "rougeL"], replicates=REPLICATES, seed=SEED))
+
+
+_VEC = f""", wt0 AS (SELECT regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS t FROM conversations),
+wtok AS (SELECT t, unnest(range(1, len(t) + 1)) AS i FROM wt0),
+co AS (SELECT t[i] AS word, t[i + o] AS other, count(*) AS n FROM wtok, (SELECT unnest([{', '.join(str(o) for o in range(-V.REACH, V.REACH + 1) if o)}]) AS o)
+  WHERE i + o BETWEEN 1 AND len(t) GROUP BY ALL),
+sd AS (SELECT word, d, CAST(sum(n * CASE WHEN substr(md5(other), d, 1) IN ('0', '1') THEN 1 WHEN substr(md5(other), d, 1) IN ('e', 'f') THEN -1
+  ELSE 0 END) AS DOUBLE) AS x FROM co, (SELECT unnest(range(1, {V.DIMS + 1})) AS d) GROUP BY word, d),
+sv AS (SELECT word, list(x ORDER BY d) AS v FROM sd GROUP BY word),
+vec AS (SELECT word, list_transform(v, lambda x: CASE WHEN list_dot_product(v, v) > 0 THEN x / sqrt(list_dot_product(v, v)) ELSE 0.0 END) AS v FROM sv),
+pw AS (SELECT "index" AS idx, side, word, count(*) AS n FROM (
+    SELECT "index", 0 AS side, unnest(regexp_extract_all(lower(coalesce(prediction, '')), '[a-z0-9]+')) AS word FROM pairs
+    UNION ALL SELECT "index", 1, unnest(regexp_extract_all(lower(coalesce(reference, '')), '[a-z0-9]+')) FROM pairs) GROUP BY ALL),
+pv AS (SELECT pw.*, coalesce(vec.v, list_transform(range({V.DIMS}), lambda x: 0.0)) AS v FROM pw LEFT JOIN vec ON vec.word = pw.word),
+mx AS (SELECT a.idx, a.side, a.word, any_value(a.n) AS n, max(list_dot_product(a.v, b.v)) AS best
+  FROM pv a JOIN pv b ON a.idx = b.idx AND a.side <> b.side GROUP BY a.idx, a.side, a.word),
+vpr AS (SELECT idx, sum(best * n) FILTER (WHERE side = 0) / sum(n) FILTER (WHERE side = 0) AS p,
+  sum(best * n) FILTER (WHERE side = 1) / sum(n) FILTER (WHERE side = 1) AS r FROM mx GROUP BY idx),
+bs AS (SELECT q."index", q.user_id, q.run_id, coalesce(p, 0.0) AS bertscore_precision, coalesce(r, 0.0) AS bertscore_recall,
+  CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS bertscore_f1 FROM pairs q LEFT JOIN vpr ON vpr.idx = q."index")
+"""
+
+
+def greedy_scores(spark, sf_dir):
+    vectors = cut_lineage(V.word_vectors(A.table(spark, sf_dir, "conversations")))
+    return V.greedy_match(pairs_from_conversations(spark, sf_dir), vectors, S.DEFAULT_KEY)
+
+
+@reg.add("bertscore_greedy", "WITH " + PAIRS_SQL + _VEC + """SELECT user_id, run_id, "index", round(bertscore_precision, 6) AS bertscore_precision,
+  round(bertscore_recall, 6) AS bertscore_recall, round(bertscore_f1, 6) AS bertscore_f1 FROM bs""")
+def bertscore_greedy(spark, sf_dir):
+    """M4 re-aimed: greedy matching of the corpus' word vectors per pair."""
+    return rounded(greedy_scores(spark, sf_dir))
+
+
+@reg.add("bertscore_overall", _SCL + _VEC + """SELECT b.user_id, b.run_id, round(avg(bertscore_precision), 6) AS bertscore_precision,
+  round(avg(bertscore_recall), 6) AS bertscore_recall, round(avg(bertscore_f1), 6) AS bertscore_f1,
+  round(avg((s.rougeL * 0.4 + coalesce(s.bleu, 0.0) * 0.3 + bertscore_precision * 0.3) /
+    (0.7 + CASE WHEN s.bleu IS NOT NULL THEN 0.3 ELSE 0.0 END)), 6) AS mean_combined_score
+FROM bs b JOIN scl s ON s."index" = b."index" GROUP BY b.user_id, b.run_id""")
+def bertscore_overall(spark, sf_dir):
+    """M4 + M6: means of each run, and the combined score with all three metrics."""
+    s = scored_pairs(spark, sf_dir).select(*S.DEFAULT_KEY, "rougeL", "bleu").join(greedy_scores(spark, sf_dir), list(S.DEFAULT_KEY))
+    return rounded(S.combined_score(s).groupBy("user_id", "run_id").agg(
+        *[F.avg(f"bertscore_{m}").alias(f"bertscore_{m}") for m in ("precision", "recall", "f1")],
+        F.avg("combined_score").alias("mean_combined_score")))

@@ -98,7 +98,8 @@ POSTS_SQL = f"""posts AS (
 
 def pairs_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistant turn (prediction) paired with the turn right before it
-    (reference).  A self equi-join on (conv_id, turn - 1): the join key
+    (reference), which is null where there is none (J2).  A self equi-join on
+    (conv_id, turn - 1): the join key
     contains the turn, so even a conversation holding a third of all rows
     is spread over many partitions (a ``lag`` window would put it in one)."""
     c = table(spark, sf_dir, "conversations")
@@ -106,7 +107,7 @@ def pairs_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = c.where(F.col("role") == "assistant").select("conv_id", "turn", "text")
     conv, turn = F.col("conv_id"), F.col("turn")
     rnd = 1 + (conv / 6).cast("bigint") % 4
-    return a.join(prev, ["conv_id", "turn"]).select(
+    return a.join(prev, ["conv_id", "turn"], "left").select(
         (conv % 10).cast("string").alias("user_id"),
         F.concat(_strategy(conv), F.lit("_round_"), rnd.cast("string")).alias("run_id"),
         (conv * TURNS + turn).alias("index"),
@@ -123,11 +124,11 @@ PAIRS_SQL = f"""pairs AS (
          conv_id * {TURNS} + turn AS index,
          conv_id || '_' || (turn - 1) AS tweet_id,
          text AS prediction,
-         reference
+         CASE WHEN prev_turn = turn - 1 THEN reference END AS reference
   FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reference,
                lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS prev_turn
         FROM conversations) t
-  WHERE role = 'assistant' AND prev_turn = turn - 1)"""
+  WHERE role = 'assistant')"""
 
 
 # ---------------------------------------------------------------------------

@@ -39,8 +39,12 @@ def con():
     return c
 
 
+# queries that SQL cannot express, and the tests that hold them against brute force
+NO_SQL = {"rouge_lsum"}  # test_matching.py
+
+
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) - NO_SQL == set(ORACLE)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -67,7 +71,7 @@ SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "stri
                  "boolean": "BOOLEAN", "float": "FLOAT"}
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_column_types_match_oracle(spark, con, name):
     st = {f.name: f.dataType.simpleString() for f in QUERIES[name](spark, SF_SMALL).schema.fields}
     rel = con.sql(ORACLE[name])
