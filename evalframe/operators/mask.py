@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalframe.functions.text import HIGH_PRIORITY_LEXICON, MASK_TOKEN, URL_ONLY_PATTERN
-from evalframe.operators.skew import null_safe_join
+from evalframe.operators.skew import lookup_join, null_safe_join, ranked
 
 # Word / punctuation tokeniser (Unicode letters, digits and underscore form words).
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
@@ -160,6 +160,25 @@ def work_list(posts: DataFrame, user: str = "user_id", min_texts: int = MIN_TEXT
                     (F.col("unprocessed") * tokens_per_text / 1000.0 * price_per_1k).alias("estimated_cost"))
 
 
+def route_texts(posts: DataFrame, user: str = "user_id", min_texts: int = MIN_TEXTS_FOR_BATCH) -> DataFrame:
+    """K4: ``posts`` still to mask with their user's number of such texts and the route: users with
+    fewer than ``min_texts`` are masked by the rules alone.  Users are counted before the shuffle and
+    looked up, a user with very many posts is spread; posts without a user are one user's."""
+    todo = posts.where(F.col("masked_text").isNull())
+    keyed = todo.withColumns({"_k": F.coalesce(user, F.lit("")), "_null": F.col(user).isNull()})
+    sizes = keyed.groupBy("_k", "_null").agg(F.count(F.lit(1)).alias("todo_texts"))
+    routed = lookup_join(keyed, sizes, ["_k", "_null"])
+    return routed.withColumn("route", F.when(F.col("todo_texts") < min_texts, F.lit("rules")).otherwise(F.lit("batch"))) \
+        .select(*posts.columns, "todo_texts", "route")
+
+
+def mask_in_order(texts: DataFrame, order: Sequence[str], text: str, lexicon: DataFrame) -> DataFrame:
+    """K5: the rule mask of a list of texts in input order: 0-based position by ``order`` and the mask."""
+    placed = ranked(texts.select(*order, text).withColumn("_all", F.lit(0)), ["_all"], list(order))
+    return attach_lexicon(placed, lexicon).select((F.col("rank") - 1).alias("position"),
+                                                  deterministic_mask(F.col(text)).alias("masked_text"))
+
+
 def batch_requests(posts: DataFrame, prefix: str = "mask", user: str = "user_id",
                    order_col: str = "ingest_pos", batch_size: int = BATCH_SIZE,
                    carry: Sequence[str] = ()) -> DataFrame:

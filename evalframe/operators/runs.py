@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.operators.skew import null_safe_join, quantiles
+from evalframe.operators.skew import lookup_join, null_safe_join, quantiles
 
 # Run-type patterns, fixed values; a later pattern overrides an earlier one.
 RUN_TYPE_PATTERNS = ["bleu_only", "perplexity_only", "all_metrics", "rouge_only", "imitations"]
@@ -178,3 +178,78 @@ def runs_in(ids: DataFrame, wanted: Sequence[str] | None = None, part: str | Non
     r = F.col("run_id")
     return ids.where((r.isin(list(wanted)) if wanted is not None else F.lit(True))
                      & (r.contains(part) if part is not None else F.lit(True)))
+
+
+# ---------------------------------------------------------------------------
+# evaluations as the JSON objects they are stored in (P20, A28, A7 layouts, J9)
+# ---------------------------------------------------------------------------
+
+OBJECT = "map<string,string>"
+# Where a score may lie in an evaluation's overall object, fixed layouts: a number or {score} under
+# its own name, or the scorer's nested object.
+SCORE_LAYOUTS = {"bleu": [("bleu", None), ("bleu", "score"), ("bleu", "bleu")],
+                 "rouge_1": [("rouge_1", None), ("rouge_1", "score"), ("rouge", "rouge1")],
+                 "rouge_2": [("rouge_2", None), ("rouge_2", "score"), ("rouge", "rouge2")],
+                 "rouge_l": [("rouge_l", None), ("rouge_l", "score"), ("rouge", "rougeL")]}
+
+
+def overall_object(evaluation: Column) -> Column:
+    """The overall scores of an evaluation (JSON) as a map of JSON texts."""
+    return F.from_json(F.get_json_object(evaluation, "$.overall"), OBJECT)
+
+
+def first_item(evaluation: Column) -> Column:
+    """The first item's scores as a map of JSON texts (null without items)."""
+    return F.from_json(F.get_json_object(evaluation, "$.individual_scores[0]"), OBJECT)
+
+
+def _filled(obj: Column, name: str) -> Column:
+    """The key is there and its value is not empty: no null, false, zero, empty text, list or object."""
+    v = F.trim(F.try_element_at(obj, F.lit(name)))
+    empty = v.isin("", "null", "false", "{}", "[]", '""') | F.coalesce(v.try_cast("double") == 0, F.lit(False))
+    return F.coalesce(v.isNotNull() & ~empty, F.lit(False))
+
+
+def detected_metrics(evaluation: Column) -> dict[str, Column]:
+    """P20: flags of the metrics that an evaluation really holds, in its overall scores or its first
+    item: ROUGE and BLEU must be filled, perplexity and BERTScore just there, be it as null."""
+    objects = overall_object(evaluation), first_item(evaluation)
+    out = {}
+    for m in ALL_METRICS:
+        found = [_filled(o, m) if m in ("rouge", "bleu") else F.coalesce(F.map_contains_key(o, m), F.lit(False)) for o in objects]
+        out[m] = found[0] | found[1]
+    return out
+
+
+def layout_scores(evaluation: Column) -> dict[str, Column]:
+    """BLEU and ROUGE-1/2/L of an evaluation in any of the known layouts, 0 where none has it."""
+    overall = overall_object(evaluation)
+    out = {}
+    for m, places in SCORE_LAYOUTS.items():
+        values = [F.try_element_at(overall, F.lit(k)) if part is None else
+                  F.get_json_object(F.try_element_at(overall, F.lit(k)), f"$.{part}") for k, part in places]
+        out[m] = F.coalesce(*[v.try_cast("double") for v in values], F.lit(0.0))
+    return out
+
+
+def user_score_means(evaluations: DataFrame, group: Sequence[str], json: str = "evaluation") -> DataFrame:
+    """Mean of the four scores over the evaluations of a group, their common mean, and the count."""
+    scores = layout_scores(F.col(json))
+    g = evaluations.select(*group, *[c.alias(m) for m, c in scores.items()]).groupBy(*group).agg(
+        *[F.avg(m).alias(m) for m in scores], F.count(F.lit(1)).alias("evaluation_count"))
+    return g.withColumn("combined", sum((F.col(m) for m in scores), F.lit(0.0)) / len(scores))
+
+
+def metric_corrections(evaluations: DataFrame, prefix: str = "run_r50_all_metrics", json: str = "evaluation") -> DataFrame:
+    """P20 + P21: (user_id, run_id, metrics, corrected_run_id); ids without ``prefix`` stay."""
+    e = evaluations.withColumn("metrics", metric_set(detected_metrics(F.col(json))))
+    fixed = F.when(F.col("run_id").contains(prefix), corrected_run_id(F.col("run_id"), F.col("metrics"))).otherwise(F.col("run_id"))
+    return e.select("user_id", "run_id", "metrics", fixed.alias("corrected_run_id"))
+
+
+def move_reflections(reflections: DataFrame, corrections: DataFrame, key: Sequence[str] = ("user_id", "run_id")) -> DataFrame:
+    """Each reflection follows the corrected id of its own run; those whose run has no evaluation,
+    and rows without a key, keep their id.  ``corrections`` has one row per key."""
+    moved = lookup_join(reflections, corrections.select(*key, "corrected_run_id"), list(key))
+    return moved.withColumn("original_run_id", F.col("run_id")).withColumn("run_id", F.coalesce("corrected_run_id", "run_id")) \
+        .select(*reflections.columns, "original_run_id")

@@ -180,3 +180,21 @@ def mask_outcome(spark, sf_dir):
     g = r.groupBy("user_id").agg(F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed"),
                                  F.count(F.lit(1)).alias("processed"))
     return rounded(g.withColumn("success_rate", F.col("ok") / F.col("processed")))
+
+
+MIN_TEXTS = 38              # users with fewer texts to mask are left to the rules in these queries
+
+
+@reg.add("mask_routing", _LEX_SQL.rstrip().rstrip(",") + f""", c AS (SELECT user_id, count(*) AS todo_texts FROM hold WHERE masked_text IS NULL GROUP BY user_id)
+SELECT h.user_id, h.tweet_id, c.todo_texts, CASE WHEN c.todo_texts < {MIN_TEXTS} THEN 'rules' ELSE 'batch' END AS route
+FROM hold h JOIN c ON c.user_id IS NOT DISTINCT FROM h.user_id WHERE h.masked_text IS NULL""")
+def mask_routing(spark, sf_dir):
+    """K4: which way each text still to mask goes."""
+    return M.route_texts(holdout(spark, sf_dir), min_texts=MIN_TEXTS).select("user_id", "tweet_id", "todo_texts", "route")
+
+
+@reg.add("mask_list", _LEX_SQL.rstrip().rstrip(",") + f"""
+SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS position, {_mask_sql('text')} AS masked_text FROM conversations, lex""")
+def mask_list(spark, sf_dir):
+    """K5: all turns as one list, masked in order."""
+    return M.mask_in_order(A.table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", lexicon(spark, sf_dir))

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evalframe.operators import analysis as X
 from evalframe.operators import runs as R
+from evalframe.operators import scoring as S
 from evalframe.plans.common import Registry, rounded
+from evalframe.plans.sqlgen import pair_scores_sql
 from evalframe.sources import adapters as A
 
 reg = Registry()
@@ -348,17 +351,146 @@ def data_report_summary(spark, sf_dir):
 # valid evaluations, largest runs, run ids by list and by substring
 # ---------------------------------------------------------------------------
 
-@reg.add("valid_evaluations", A.with_sql(A.PAIRS_SQL, A.RESULTS_SQL) + """, ev AS (
-  SELECT user_id, run_id, avg(CASE WHEN prediction IS NOT NULL THEN 1.0 END) AS f1 FROM pairs GROUP BY ALL
-  UNION ALL SELECT user_id, run_id, avg(score) AS f1 FROM results GROUP BY ALL)
-SELECT user_id, run_id, contains(run_id, 'run_r50_') AND contains(run_id, '_round_')
-  AND NOT contains(run_id, 'baseline_') AND f1 IS NOT NULL AS valid FROM ev""")
-def valid_evaluations(spark, sf_dir):
-    """P22 over all evaluations: the scored pair runs (an F1 where a prediction is) and the event runs."""
-    pairs = A.pairs_from_conversations(spark, sf_dir).groupBy("user_id", "run_id").agg(
-        F.avg(F.when(F.col("prediction").isNotNull(), 1.0)).alias("f1"))
+_F1_SQL = "WITH " + pair_scores_sql(A.PAIRS_SQL) + ", " + A.RESULTS_SQL + """, ev AS (
+  SELECT user_id, run_id, avg(rouge1) AS f1 FROM sc GROUP BY ALL
+  UNION ALL SELECT user_id, run_id, avg(score) AS f1 FROM results GROUP BY ALL),
+va AS (SELECT *, contains(run_id, 'run_r50_') AND contains(run_id, '_round_')
+  AND NOT contains(run_id, 'baseline_') AND f1 IS NOT NULL AS valid FROM ev)
+"""
+
+
+def run_f1(spark, sf_dir):
+    """Mean F1 (ROUGE-1) of each scored pair run, mean score of each event run, and whether it is valid."""
+    pairs = S.score_pairs(A.pairs_from_conversations(spark, sf_dir), metrics=["rouge"], rouge_l=False)
+    f1 = pairs.groupBy("user_id", "run_id").agg(F.avg("rouge1").alias("f1"))
     res = A.results_from_events(spark, sf_dir).groupBy("user_id", "run_id").agg(F.avg("score").alias("f1"))
-    return pairs.unionByName(res).select("user_id", "run_id", R.valid_evaluation(F.col("run_id"), F.col("f1")).alias("valid"))
+    return f1.unionByName(res).withColumn("valid", R.valid_evaluation(F.col("run_id"), F.col("f1")))
+
+
+@reg.add("valid_evaluations", _F1_SQL + "SELECT user_id, run_id, round(f1, 6) AS f1, valid FROM va")
+def valid_evaluations(spark, sf_dir):
+    """P22 over all evaluations: the scored pair runs and the event runs."""
+    return rounded(run_f1(spark, sf_dir))
+
+
+@reg.add("best_valid_round", _F1_SQL + """SELECT user_id, run_id, best_round, round(f1, 6) AS best_value FROM (
+  SELECT *, coalesce(TRY_CAST(regexp_extract(run_id, 'round_(\\d+)', 1) AS INTEGER), 1) AS best_round,
+    row_number() OVER (PARTITION BY user_id ORDER BY f1 DESC, coalesce(TRY_CAST(regexp_extract(run_id, 'round_(\\d+)', 1) AS INTEGER), 1), run_id) AS rn
+  FROM va WHERE valid AND f1 > 0) WHERE rn = 1""")
+def best_valid_round(spark, sf_dir):
+    """W5 behind P22: each user's best round by F1 among the valid evaluations."""
+    ok = run_f1(spark, sf_dir).where(F.col("valid") & (F.col("f1") > 0)).withColumn("best_round", R.round_from_regex(F.col("run_id")))
+    best = X.argmax_per_group(ok, ["user_id"], "f1", ["best_round", "run_id"])
+    return rounded(best.select("user_id", "run_id", "best_round", F.col("f1").alias("best_value")))
+
+
+# ---------------------------------------------------------------------------
+# evaluations as stored: the runs' own scores as JSON, in the layouts that occur
+# ---------------------------------------------------------------------------
+
+# overall object and first item by kind of run; %1$s, %2$s, %3$s: ROUGE-1, ROUGE-2, BLEU
+EVALUATIONS = {
+    "all_metrics_round_1": ('{"rouge": {"rouge1": %1$s, "rouge2": %2$s, "rougeL": %1$s}, "bleu": {"bleu": %3$s}, "perplexity": {"mean": 9.5}, '
+                            '"bertscore": {"f1": 0.5}}', '{}'),
+    "all_metrics_round_2": ('{"rouge_1": %1$s, "rouge_2": {"score": %2$s}, "rouge": {"rouge1": 0.25}, "bleu": %3$s}', '{"rouge": {}}'),
+    "all_metrics_round_3": ('{"rouge": {"rouge1": %1$s}, "bleu": {}}', '{"bleu": 0}'),
+    "all_metrics_round_4": ('{}', '{"bleu": {"bleu": %3$s}, "perplexity": null, "rouge": {}}'),
+    "rouge_1": ('{"rouge_1": {"score": %1$s}, "rouge_l": "%2$s"}', '{"rouge": {"rouge1": %1$s}}'),
+    "bleu_only": ('{"bleu": {"score": %3$s}, "rouge": null}', '{}'),
+    "perplexity_only": ('{"perplexity": null}', '{}'),
+    "bertscore": ('{"bertscore": {"f1": 0.5}, "rouge": []}', '{}'),
+}
+
+
+def _evaluation(part, otherwise, fill):
+    out = otherwise
+    for kind, texts in reversed(EVALUATIONS.items()):
+        out = fill(kind, '{"overall": ' + texts[0] + ', "individual_scores": [' + texts[1] + ']}', out)
+    return out
+
+
+def evaluations(spark, sf_dir):
+    """(user_id, run_id, items, evaluation): one stored evaluation (JSON) per pair run."""
+    sc = S.score_pairs(A.pairs_from_conversations(spark, sf_dir), rouge_l=False)
+    g = sc.groupBy("user_id", "run_id").agg(F.count(F.lit(1)).alias("items"), *[F.avg(m).alias(m) for m in ("rouge1", "rouge2", "bleu")])
+    n = [F.format_string("%.9f", F.coalesce(F.col(m), F.lit(0.0))) for m in ("rouge1", "rouge2", "bleu")]
+
+    def fill(kind, text, rest):
+        for i, c in enumerate(n):
+            text = F.replace(F.lit(text) if isinstance(text, str) else text, F.lit(f"%{i + 1}$s"), c)
+        return F.when(F.col("run_id").contains(kind), text).otherwise(rest)
+
+    return g.select("user_id", "run_id", "items", _evaluation(EVALUATIONS, F.lit('{"overall": {}}'), fill).alias("evaluation"))
+
+
+def _fill_sql(kind, text, rest):
+    text = "'" + text + "'"
+    for i, c in enumerate(("rouge1", "rouge2", "bleu")):
+        text = f"replace({text}, '%{i + 1}$s', printf('%.9f', coalesce({c}, 0.0)))"
+    return f"CASE WHEN contains(run_id, '{kind}') THEN {text} ELSE {rest} END"
+
+
+def _filled_sql(path: str) -> str:
+    v = f"CAST(json_extract(e, '{path}') AS VARCHAR)"
+    return f"coalesce({v} NOT IN ('', 'null', 'false', '{{}}', '[]', '\"\"') AND coalesce(TRY_CAST({v} AS DOUBLE), 1.0) <> 0, false)"
+
+
+_HAS = {m: " OR ".join(_filled_sql(p + m) if m in ("rouge", "bleu") else f"json_exists(e, '{p + m}')"
+                       for p in ("$.overall.", "$.individual_scores[0].")) for m in R.ALL_METRICS}
+_EVAL_SQL = "WITH " + pair_scores_sql(A.PAIRS_SQL) + f""", g AS (SELECT user_id, run_id, count(*) AS items, avg(rouge1) AS rouge1,
+    avg(rouge2) AS rouge2, avg(bleu) AS bleu FROM sc GROUP BY ALL),
+ev AS (SELECT user_id, run_id, items, CAST({_evaluation(EVALUATIONS, "'{\"overall\": {}}'", _fill_sql)} AS JSON) AS e FROM g),
+md AS (SELECT user_id, run_id, items, e, list_filter([{', '.join(f"CASE WHEN {c} THEN '{m}' END" for m, c in _HAS.items())}],
+  lambda x: x IS NOT NULL) AS metrics FROM ev),
+fx AS (SELECT *, CASE WHEN contains(run_id, 'run_r50_all_metrics') THEN {_fix_sql()} ELSE run_id END AS corrected_run_id FROM md)
+"""
+
+
+@reg.add("metric_detection", _EVAL_SQL + """SELECT user_id, run_id, items, array_to_string(metrics, ',') AS metrics, corrected_run_id FROM fx""")
+def metric_detection(spark, sf_dir):
+    """P20 + P21 on stored evaluations: what each really holds, and the id that follows."""
+    e = evaluations(spark, sf_dir)
+    fixed = R.metric_corrections(e)
+    return fixed.join(e.select("user_id", "run_id", "items"), ["user_id", "run_id"]).select(
+        "user_id", "run_id", "items", F.array_join("metrics", ",").alias("metrics"), "corrected_run_id")
+
+
+@reg.add("metric_key_audit", _EVAL_SQL + """SELECT kind, key, count(*) AS evaluations FROM (
+  SELECT CASE WHEN contains(run_id, 'all_metrics') THEN 'all_metrics' ELSE 'single' END AS kind,
+    unnest(json_keys(e, '$.overall')) AS key FROM ev) GROUP BY ALL""")
+def metric_key_audit(spark, sf_dir):
+    """How many evaluations of each kind of run have each key in their overall object."""
+    e = evaluations(spark, sf_dir)
+    kind = F.when(F.col("run_id").contains("all_metrics"), F.lit("all_metrics")).otherwise(F.lit("single"))
+    keys = e.select(kind.alias("kind"), F.explode(F.map_keys(R.overall_object(F.col("evaluation")))).alias("key"))
+    return keys.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("evaluations"))
+
+
+def _layout_sql(m: str) -> str:
+    paths = [f"$.overall.{k}" + (f".{part}" if part else "") for k, part in R.SCORE_LAYOUTS[m]]
+    return "coalesce(" + ", ".join(f"TRY_CAST(json_extract_string(e, '{p}') AS DOUBLE)" for p in paths) + ", 0.0)"
+
+
+@reg.add("score_layouts", _EVAL_SQL + f"""SELECT user_id, base_run, {', '.join(f'round({m}, 6) AS {m}' for m in R.SCORE_LAYOUTS)}, evaluation_count,
+  round((bleu + rouge_1 + rouge_2 + rouge_l) / 4, 6) AS combined FROM (
+  SELECT user_id, regexp_replace(run_id, '_round_\\d+$', '') AS base_run, {', '.join(f'avg({_layout_sql(m)}) AS {m}' for m in R.SCORE_LAYOUTS)},
+    count(*) AS evaluation_count FROM ev GROUP BY ALL)""")
+def score_layouts(spark, sf_dir):
+    """Mean BLEU and ROUGE-1/2/L per user and base run over all score layouts, and their common mean."""
+    e = evaluations(spark, sf_dir).withColumn("base_run", R.base_run(F.col("run_id")))
+    return rounded(R.user_score_means(e, ["user_id", "base_run"]))
+
+
+@reg.add("reflection_run_fix", _EVAL_SQL + """SELECT c.user_id, coalesce(f.corrected_run_id, c.run_id) AS run_id, c.item, c.run_id AS original_run_id
+FROM (SELECT user_id, run_id, "index" AS item FROM pairs
+  UNION ALL SELECT CAST(user_id AS VARCHAR), 'baseline_' || event_type, event_id FROM events) c
+LEFT JOIN fx f ON f.user_id = c.user_id AND f.run_id = c.run_id""")
+def reflection_run_fix(spark, sf_dir):
+    """Reflections (one per item) follow the corrected id of their own run; event runs have no evaluation."""
+    pairs = A.pairs_from_conversations(spark, sf_dir).select("user_id", "run_id", F.col("index").alias("item"))
+    ev = A.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("user_id"), F.concat(
+        F.lit("baseline_"), F.col("event_type")).alias("run_id"), F.col("event_id").alias("item"))
+    return R.move_reflections(pairs.unionByName(ev), R.metric_corrections(evaluations(spark, sf_dir)))
 
 
 @reg.add("top_runs", A.with_sql(A.PAIRS_SQL) + """SELECT run_id, count(*) AS generations FROM pairs

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evalframe.functions.text import rouge_tokens
 from evalframe.operators import scoring as S
 from evalframe.operators import wordvec as V
 from evalframe.plans.common import Registry, rounded
@@ -212,3 +213,27 @@ def bertscore_overall(spark, sf_dir):
     return rounded(S.combined_score(s).groupBy("user_id", "run_id").agg(
         *[F.avg(f"bertscore_{m}").alias(f"bertscore_{m}") for m in ("precision", "recall", "f1")],
         F.avg("combined_score").alias("mean_combined_score")))
+
+
+def exact_match(pairs, key):
+    """A plugged metric: 1 where both texts have the same words, else 0."""
+    same = F.coalesce(rouge_tokens(F.col("prediction")) == rouge_tokens(F.col("reference")), F.lit(False))
+    return pairs.select(*key, same.cast("int").cast("double").alias("exact_match"))
+
+
+def length_ratio(pairs, key):
+    """A plugged metric: characters of the prediction over those of the reference (null for an empty one)."""
+    return pairs.select(*key, F.try_divide(F.length("prediction").cast("double"), F.length("reference").cast("double")).alias("char_ratio"))
+
+
+@reg.add("plugged_metrics", _SC + """SELECT sc.user_id, sc.run_id, sc."index", round(sc.bleu, 6) AS bleu,
+  CASE WHEN regexp_extract_all(lower(coalesce(p.prediction, '')), '[a-z0-9]+') = regexp_extract_all(lower(coalesce(p.reference, '')), '[a-z0-9]+')
+    THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS exact_match,
+  round(CASE WHEN length(p.reference) > 0 THEN CAST(length(p.prediction) AS DOUBLE) / length(p.reference) END, 6) AS char_ratio
+FROM sc JOIN pairs p ON p."index" = sc."index" """)
+def plugged_metrics(spark, sf_dir):
+    """X5 + M14: a built-in and two plugged metrics, chosen by name."""
+    for name, fn in (("exact_match", exact_match), ("char_ratio", length_ratio)):
+        if name not in S.REGISTRY:
+            S.register_metric(name, fn)
+    return rounded(S.evaluate(pairs_from_conversations(spark, sf_dir), ["bleu", "exact_match", "char_ratio"]))

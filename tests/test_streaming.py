@@ -73,3 +73,37 @@ def test_evaluation_stream_restarts_after_a_crashed_write(spark, scratch):
         got = {r.run_id: r.score for r in spark.read.parquet(ST.latest_version(spark, table)).collect()}
         assert got == {"r1": 0.1, "r2": 0.9}
         _forget_last_commit(ck)
+
+
+def test_mask_stream_keeps_posts_without_an_id(spark, scratch):
+    src, sink, ck = (os.path.join(scratch, d) for d in ("src", "sink", "ck"))
+    rows = [("u", None, "a stupid idea", None), ("u", None, "a stupid idea", None), ("u", "1", "x", None), ("u", "1", "x", None)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(src)
+    ST.mask_stream(spark, src, spark.createDataFrame([], SCHEMA).schema, sink, ck, M.lexicon_table(spark)).awaitTermination()
+    assert sorted(r.tweet_id or "" for r in spark.read.parquet(sink).collect()) == ["", "", "1"]
+
+
+def test_evaluation_table_rewrites_only_touched_buckets(spark, scratch):
+    src, table, ck = (os.path.join(scratch, d) for d in ("esrc", "etab", "eck"))
+    schema = "user_id string, run_id string, ts long, score double"
+    st = spark.createDataFrame([], schema).schema
+    rows = [(f"u{i}", None if i == 3 else "r", 1, float(i)) for i in range(60)]
+    spark.createDataFrame(rows, schema).write.mode("append").json(src)
+
+    def run():
+        ST.evaluation_table_stream(spark, src, st, table, ck, buckets=32).awaitTermination()
+        return {(r.user_id, r.run_id): r.score for r in ST.read_evaluations(spark, table, st).collect()}
+
+    want = {(u, r): s for u, r, _, s in rows}
+    assert run() == want
+    spark.createDataFrame([("u5", "r", 2, 99.0), ("new", "r", 1, 7.0), ("u5", "r", 0, 1.0)], schema).write.mode("append").json(src)
+    want |= {("u5", "r"): 99.0, ("new", "r"): 7.0}
+    assert run() == want
+    second = [d for d in os.listdir(os.path.join(table, "data=000000000001")) if d.startswith("bucket=")]
+    assert 1 <= len(second) <= 2
+    # a batch that crashed before its manifest, and one that is replayed, end in the same table
+    _forget_last_commit(ck)
+    assert run() == want
+    os.makedirs(os.path.join(table, "manifest=000000000002", "_temporary"))
+    spark.createDataFrame([("u6", "r", 3, -1.0)], schema).write.mode("append").json(src)
+    assert run() == want | {("u6", "r"): -1.0}
