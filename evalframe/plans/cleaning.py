@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from evalframe.functions.text import EMOJI_CLASS, URL_PATTERN
 from evalframe.operators import clean as C
 from evalframe.plans.common import Registry, rounded
+from evalframe.session import ensure_checkpoint_dir
 from evalframe.sources import adapters as A
+from evalframe.sources import files
 
 reg = Registry()
 
@@ -83,6 +87,27 @@ def dedupe_keep_first(spark, sf_dir):
         .select("doc_id", "source", "text_md5", "copies")
 
 
+_USER_FILE_SQL = A.with_sql(A.POSTS_SQL) + """, uf AS (SELECT regexp_extract(tweet_id, '^[^_]*') AS user_id,
+    CASE WHEN ingest_pos % 2 = 0 THEN 'history' ELSE 'holdout' END AS set, * EXCLUDE (user_id) FROM posts)
+SELECT user_id, set, row_number() OVER (PARTITION BY user_id, set ORDER BY ingest_pos) - 1 AS pos, tweet_id, screen_name, created_at, full_text,
+  reply_to_id, retweeted_user_id FROM uf"""
+
+
+@reg.add("user_files", _USER_FILE_SQL)
+def user_files(spark, sf_dir):
+    """Each conversation as a user's file lines, written as text, read back by splits, normalised."""
+    p = A.posts_from_conversations(spark, sf_dir)
+    sets = F.when(F.col("ingest_pos") % 2 == 0, F.lit("history")).otherwise(F.lit("holdout"))
+    p = p.withColumns({"user_id": F.substring_index("tweet_id", "_", 1), "set": sets, "pos": F.col("ingest_pos")})
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/user-files-{uuid.uuid4().hex}"
+    files.user_file_lines(p).write.text(path)
+    back = files.read_user_files(spark, path)["posts"]
+    # the lines of all users lie in common files here, so each line's own user counts
+    both = files.history(back).unionByName(files.holdout(back))
+    return both.select("user_id", "set", F.col("pos").cast("bigint").alias("pos"), "tweet_id", "screen_name", "created_at", "full_text",
+                       "reply_to_id", "retweeted_user_id")
+
+
 @reg.add("parent_join", _CONV_CLEAN + """
 SELECT c.tweet_id, c.reply_to_id,
        CASE WHEN p.tweet_id IS NOT NULL THEN coalesce(p.created_at, '') || ', ' || coalesce(p.screen_name, '')

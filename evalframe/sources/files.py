@@ -14,7 +14,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalframe.functions.text import blank_to_null
@@ -65,12 +65,25 @@ def read_posts_csv(spark: SparkSession, path: str) -> DataFrame:
             .withColumnRenamed("retweeted_user_ID", "retweeted_user_id"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, line) of all lines under ``path``, counted from 0 in each file.
+
+    A large file is read by many tasks: the lines of a split keep their order, counts per split give
+    its first number.  The broadcast table has one row for each file split, of which the driver
+    holds the list anyway."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    splits = lines.groupBy("file", "split").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "split", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return lines.join(F.broadcast(splits), ["file", "split"]).select("file", (F.col("at") + F.col("shift")).alias("line_no"), "line")
+
+
 def user_lines(spark: SparkSession, path: str) -> DataFrame:
     """Every non-blank line of every user file with its 0-based line
     index and the parsed JSON (malformed lines: ``ok`` false, blocks null)."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = raw.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    lines = lines.where(F.trim("line") != "")
+    lines = numbered_lines(spark, path).where(F.trim(F.translate("line", "\r\t", "  ")) != "")
     parsed = F.from_json("line", LINE_SCHEMA, {"allowNonNumericNumbers": "true", "mode": "PERMISSIVE"})
     out = lines.select("file", "line_no", "line", parsed.alias("j"))
     ok = (F.col("j.user_id").isNotNull() | F.col("j.tweets").isNotNull() | F.col("j.runs").isNotNull()
@@ -87,7 +100,8 @@ def normalise_user_files(lines: DataFrame, key_based: bool = True) -> dict[str,
     """
     users = lines.where(F.col("j.user_id").isNotNull()).groupBy("file").agg(
         F.min_by("j.user_id", "line_no").alias("user_id"))
-    lines = lines.join(users, "file", "left")
+    # a line that names its user keeps it: several users may share a file
+    lines = lines.join(users, "file", "left").withColumn("user_id", F.coalesce("j.user_id", "user_id"))
 
     def block(name, line_no):
         b = lines.where(F.col(f"j.{name}").isNotNull())
@@ -124,6 +138,31 @@ def read_user_files(spark: SparkSession, path: str, key_based: bool = True) -> d
     return normalise_user_files(user_lines(spark, path), key_based)
 
 
+def history(posts: DataFrame, user_id: str | None = None) -> DataFrame:
+    """The history posts, of one user or all."""
+    h = posts.where(F.col("set") == "history")
+    return h if user_id is None else h.where(F.col("user_id") == user_id)
+
+
+def holdout(posts: DataFrame) -> DataFrame:
+    """The holdout posts of all users."""
+    return posts.where(F.col("set") == "holdout")
+
+
+def predictions(imitations: DataFrame, run_id: str) -> DataFrame:
+    """The predictions of a run; those of all entries with its id."""
+    return imitations.where(F.col("run_id") == run_id)
+
+
+def user_file_lines(posts: DataFrame) -> DataFrame:
+    """S10, content: one JSON line per (user_id, set) of ``posts(user_id, set, pos, ...)`` with the
+    set's tweets in order.  A set is as large as the split made it."""
+    tweet = F.struct("pos", "tweet_id", "full_text", "screen_name", "created_at", "reply_to_id", "retweeted_user_id")
+    sets = posts.groupBy("user_id", "set").agg(F.sort_array(F.collect_list(tweet)).alias("tw"))
+    tweets = F.transform("tw", lambda t: t.dropFields("pos", "retweeted_user_id").withField("retweeted_user_ID", t["retweeted_user_id"]))
+    return sets.select(F.to_json(F.struct("user_id", "set", tweets.alias("tweets"))).alias("value"))
+
+
 def read_aggregate_csv(spark: SparkSession, path: str, tag: str | None = None) -> DataFrame:
     """CSV with two header rows (metric; statistic) and a third naming the
     index -> long ``(tag, <index>, metric, statistic, value)`` rows.
