@@ -261,3 +261,22 @@ def progression(per_round: DataFrame, key: str = "user_id", round_col: str = "ro
 def complete_rounds(df: DataFrame, group: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """P25: rounds with a mean for every metric; the others are dropped."""
     return df.groupBy(*group).agg(*[F.avg(m).alias(m) for m in metrics]).na.drop(subset=list(metrics))
+
+
+def first_per_user(items: DataFrame, users: int, k: int, order: Sequence[str], key: str = "user_id") -> DataFrame:
+    """T5: the first ``k`` items (by ``order``) of each of the first ``users`` users (by id).
+
+    The list of users is as long as asked for and enters as a semi-join; items are cut by a group limit."""
+    chosen = items.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key).limit(users)
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return items.join(chosen, key, "left_semi").withColumn("place", place).where(F.col("place") <= k)
+
+
+def category_order(df: DataFrame, category: str, value: str) -> DataFrame:
+    """Categories with their mean and exact median, and their places by mean (largest first) and by
+    median (smallest first); ties and missing values go by name, missing last."""
+    g = df.groupBy(category).agg(F.avg(value).alias("mean"))
+    g = null_safe_join(g, quantiles(df, [category], value, [0.5]), [category], "left").withColumn("median", F.col("_q")[0]).drop("_q")
+    one = g.withColumn("_all", F.lit(0))
+    by_mean = ranked(one, ["_all"], [F.col("mean").desc_nulls_last(), F.col(category)], rank="by_mean")
+    return ranked(by_mean, ["_all"], [F.col("median").asc_nulls_last(), F.col(category)], rank="by_median").drop("_all")

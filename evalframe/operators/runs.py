@@ -253,3 +253,19 @@ def move_reflections(reflections: DataFrame, corrections: DataFrame, key: Sequen
     moved = lookup_join(reflections, corrections.select(*key, "corrected_run_id"), list(key))
     return moved.withColumn("original_run_id", F.col("run_id")).withColumn("run_id", F.coalesce("corrected_run_id", "run_id")) \
         .select(*reflections.columns, "original_run_id")
+
+
+def coverage_status(users: DataFrame, evaluations: DataFrame, prefix: str, metric: str = "bertscore", json: str = "evaluation") -> DataFrame:
+    """Per user of ``users(user_id)`` the evaluations, those of runs with ``prefix``, those of them that
+    hold ``metric``, and the status: error (an evaluation that cannot be read), no_evaluations,
+    no_matching_runs, no_<metric> or success.  Evaluations of unknown users are left out."""
+    match = F.coalesce(F.col("run_id").contains(prefix), F.lit(False))
+    held = detected_metrics(F.col(json))[metric]
+    broken = F.from_json(F.col(json), OBJECT, {"mode": "PERMISSIVE"}).isNull() | (F.get_json_object(F.col(json), "$").isNull())
+    g = evaluations.where(F.col("user_id").isNotNull()).groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n_evaluations"), F.count_if(match).alias("n_matching"),
+        F.count_if(match & held).alias("n_with_metric"), F.count_if(broken).alias("n_broken"))
+    out = users.select("user_id").distinct().join(g, "user_id", "left").fillna(0, ["n_evaluations", "n_matching", "n_with_metric", "n_broken"])
+    return out.withColumn("status", F.when(F.col("n_broken") > 0, F.lit("error")).when(F.col("n_evaluations") == 0, F.lit("no_evaluations"))
+                          .when(F.col("n_matching") == 0, F.lit("no_matching_runs"))
+                          .when(F.col("n_with_metric") == 0, F.lit(f"no_{metric}")).otherwise(F.lit("success")))

@@ -347,3 +347,23 @@ FROM results GROUP BY condition, round HAVING avg(score) IS NOT NULL
 def complete_rounds(spark, sf_dir):
     """P25: rounds in which every metric is present."""
     return rounded(X.complete_rounds(with_k(spark, sf_dir), ["condition", "round"], ["score", "k"]))
+
+
+@reg.add("category_order", A.with_sql(A.RESULTS_SQL, """g AS (SELECT condition, avg(score) AS mean, quantile_cont(score, 0.5) AS median
+  FROM results GROUP BY condition)""") + """SELECT condition, round(mean, 6) AS mean, round(median, 6) AS median,
+  row_number() OVER (ORDER BY mean DESC, condition) AS by_mean, row_number() OVER (ORDER BY median ASC, condition) AS by_median FROM g""")
+def category_order(spark, sf_dir):
+    """Conditions by mean and by median."""
+    return rounded(X.category_order(results(spark, sf_dir), "condition", "score"))
+
+
+FIRST_USERS, FIRST_ITEMS = 7, 3
+
+
+@reg.add("first_items", _R + f"""SELECT user_id, item, place FROM (
+  SELECT user_id, item, row_number() OVER (PARTITION BY user_id ORDER BY item) AS place FROM results
+  WHERE user_id IN (SELECT DISTINCT user_id FROM results ORDER BY user_id LIMIT {FIRST_USERS})) WHERE place <= {FIRST_ITEMS}""")
+def first_items(spark, sf_dir):
+    """T5: the first items of the first users."""
+    f = X.first_per_user(results(spark, sf_dir).select("user_id", "item"), FIRST_USERS, FIRST_ITEMS, ["item"])
+    return f.select("user_id", "item", F.col("place").cast("bigint").alias("place"))

@@ -202,6 +202,16 @@ def filter_by_type(spark, sf_dir):
     return C.filter_by_type(A.posts_from_conversations(spark, sf_dir), "replies").select("tweet_id", "user_id")
 
 
+@reg.add("posts_by_type", A.with_sql(A.POSTS_SQL) + """
+SELECT tweet_id, user_id, CASE WHEN NOT coalesce(regexp_matches(retweeted_user_id, '^\\s*$'), true) THEN 'retweets'
+  WHEN NOT coalesce(regexp_matches(reply_to_id, '^\\s*$'), true) THEN 'replies' ELSE 'posts' END AS kind FROM posts""")
+def posts_by_type(spark, sf_dir):
+    """P10: the three filters side by side; together they hold every post once."""
+    p = A.posts_from_conversations(spark, sf_dir)
+    kinds = [C.filter_by_type(p, k).select("tweet_id", "user_id", F.lit(k).alias("kind")) for k in ("posts", "replies", "retweets")]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
+
+
 @reg.add("task_type", A.with_sql(A.POSTS_SQL, cleaned_sql("posts"), A.PAIRS_SQL) + """,
 pm AS (SELECT c.user_id, c.tweet_id, c.reply_to_id,
           CASE WHEN p.tweet_id IS NOT NULL THEN coalesce(p.created_at, '') || ', ' || coalesce(p.screen_name, '')

@@ -493,6 +493,20 @@ def reflection_run_fix(spark, sf_dir):
     return R.move_reflections(pairs.unionByName(ev), R.metric_corrections(evaluations(spark, sf_dir)))
 
 
+@reg.add("coverage_statuses", _EVAL_SQL + """, us AS (SELECT DISTINCT user_id FROM pairs UNION SELECT DISTINCT CAST(user_id AS VARCHAR) FROM events),
+cv AS (SELECT user_id, count(*) AS n_evaluations, count(*) FILTER (WHERE contains(run_id, 'all_metrics_round_')) AS n_matching,
+  count(*) FILTER (WHERE contains(run_id, 'all_metrics_round_') AND list_contains(metrics, 'bertscore')) AS n_with_metric FROM md GROUP BY user_id)
+SELECT us.user_id, coalesce(n_evaluations, 0) AS n_evaluations, coalesce(n_matching, 0) AS n_matching, coalesce(n_with_metric, 0) AS n_with_metric,
+  CASE WHEN coalesce(n_evaluations, 0) = 0 THEN 'no_evaluations' WHEN n_matching = 0 THEN 'no_matching_runs'
+    WHEN n_with_metric = 0 THEN 'no_bertscore' ELSE 'success' END AS status FROM us LEFT JOIN cv ON cv.user_id = us.user_id""")
+def coverage_statuses(spark, sf_dir):
+    """A29 on stored evaluations: every user of the pairs and the events."""
+    users = A.pairs_from_conversations(spark, sf_dir).select("user_id").unionByName(
+        A.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("user_id")))
+    c = R.coverage_status(users, evaluations(spark, sf_dir), "all_metrics_round_")
+    return c.select("user_id", "n_evaluations", "n_matching", "n_with_metric", "status")
+
+
 @reg.add("top_runs", A.with_sql(A.PAIRS_SQL) + """SELECT run_id, count(*) AS generations FROM pairs
   GROUP BY run_id ORDER BY generations DESC, run_id LIMIT 5""")
 def top_runs(spark, sf_dir):

@@ -68,3 +68,12 @@ def test_list_mask_keeps_the_order(spark):
     texts = spark.createDataFrame([(i, None if i == 4 else f"a stupid idea {i}") for i in range(40)], "i int, t string").repartition(4)
     got = M.mask_in_order(texts, ["i"], "t", M.lexicon_table(spark)).orderBy("position").collect()
     assert [r.position for r in got] == list(range(40)) and got[7].masked_text == "a [MASKED] idea 7" and got[4].masked_text == "[MASKED]"
+
+
+def test_every_status(spark):
+    good, bare = json.dumps({"overall": {"bertscore": 1}}), json.dumps({"overall": {"bleu": 1}})
+    ev = spark.createDataFrame([("a", "p_1", good), ("b", "p_1", bare), ("c", "q", good), ("d", "p_2", "{broken"), ("d", "p_1", good), (None, "p", good),
+                                ("e", None, good)], "user_id string, run_id string, evaluation string")
+    users = spark.createDataFrame([(u,) for u in ("a", "a", "b", "c", "d", "e", "z")], "user_id string")
+    got = {r.user_id: r.status for r in R.coverage_status(users, ev, "p_").collect()}
+    assert got == {"a": "success", "b": "no_bertscore", "c": "no_matching_runs", "d": "error", "e": "no_matching_runs", "z": "no_evaluations"}
