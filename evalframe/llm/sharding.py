@@ -1,7 +1,8 @@
 """Operator 8 [native]: two-pass external shuffle into shards.
 
-Pass one scatters the rows, by seeded hashes, into buckets of about ``bucket_bytes``; pass
-two shuffles each bucket by Fisher-Yates (Spark's ``shuffle`` of an array) and writes it.
+Pass one scatters the rows, by seeded hashes, into buckets of about ``bucket_bytes``, as many
+in a shard as its own bytes ask for, so a shard that one id fills has more of them; pass two
+shuffles each bucket by Fisher-Yates (Spark's ``shuffle`` of an array) and writes it.
 The shard of a row follows the ``key`` law: highest random weight hashing of its id, so
 that one more shard takes rows only into itself.  Inside a shard a second seeded hash of
 id, text and scan position picks the bucket, so buckets are even whatever the texts are,
@@ -9,6 +10,7 @@ and copies or rows without id do not meet in one.
 
 The files are a Parquet table (shard, bucket, place, row); ``read_shards`` adds the slot of
 each row in its shard.  A lost executor repeats its buckets; a bucket is committed once.
+The shard of a row is reproducible; its bucket and place depend on how the input is partitioned.
 
 Defined results: null ids are one key and share a shard; null texts count no bytes; rows
 repeated in full are separate rows; other columns travel inside ``row``, whatever they are
@@ -39,15 +41,15 @@ def row_size(text: Column) -> Column:
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, bucket_bytes: int = BUCKET_BYTES,
                  seed: int = SEED) -> None:
-    total = docs.agg(F.sum(row_size(F.col("text")))).first()[0] or 0
-    per_shard = max(1, -(-total // (shards * bucket_bytes)))
+    shard = key_shard(F.col("doc_id"), shards, seed).alias("shard")
+    sizes = docs.groupBy(shard).agg(F.sum(row_size(F.col("text"))).alias("bytes")).collect()  # one row a shard
+    buckets = dict.fromkeys(range(shards), 1) | {r["shard"]: max(1, -(-r["bytes"] // bucket_bytes)) for r in sizes}
+    of_shard = F.element_at(F.array(*[F.lit(buckets[s]).cast("long") for s in range(shards)]), F.col("shard") + 1)
     mixed = F.xxhash64("doc_id", "text", F.monotonically_increasing_id(), F.lit(seed + 1))
-    scattered = docs.select(key_shard(F.col("doc_id"), shards, seed).alias("shard"),
-                            F.pmod(mixed, F.lit(per_shard)).alias("bucket"), mixed.alias("mixed"),
-                            F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    drawn = (scattered.groupBy("shard", "bucket").agg(F.collect_list(F.struct("mixed", "row")).alias("rows"))
-             .select("shard", "bucket", F.posexplode(F.shuffle("rows", F.lit(seed))).alias("place", "r"))
-             .select("shard", "bucket", F.col("place").cast("long").alias("place"), "r.row"))
+    scattered = docs.select(shard, mixed.alias("mixed"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    drawn = (scattered.groupBy("shard", F.pmod("mixed", of_shard).alias("bucket")).agg(F.collect_list("row").alias("rows"))
+             .select("shard", "bucket", F.posexplode(F.shuffle("rows", F.lit(seed))).alias("place", "row"))
+             .select("shard", "bucket", F.col("place").cast("long").alias("place"), "row"))
     drawn.write.parquet(path)
 
 

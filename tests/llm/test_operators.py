@@ -269,6 +269,19 @@ def test_sharding_spreads_copies(spark):
     assert order != sorted(order)
 
 
+def test_sharding_a_hot_id(spark, scratch):
+    """A third of the rows with one id: its shard gets more buckets, not larger ones."""
+    from evalframe.llm.sharding import read_shards, write_shards
+    rows = [(7 if i % 3 == 0 else 1000 + i, f"text {i}") for i in range(3000)]
+    write_shards(frame(spark, rows), f"{scratch}/shards", shards=16, bucket_bytes=500)
+    sizes = [r["count"] for r in spark.read.parquet(f"{scratch}/shards").groupBy("shard", "bucket").count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 3 * np.median(sizes)
+    got = read_shards(spark, f"{scratch}/shards").collect()
+    assert collections.Counter((r.row.doc_id, r.row.text) for r in got) == collections.Counter(rows)
+    for s in range(16):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
 def test_quality(spark, docs, rows, none):
     from evalframe.llm.quality import quality
     labels = spark.createDataFrame([(1, 1), (4, 1), (10, 0), (1, 0), (None, 1), (99, 1)], "doc_id long, quality int")
