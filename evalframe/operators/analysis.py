@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalframe.operators.skew import null_safe_join, quantiles, ranked
+from evalframe.operators.skew import lookup_join, null_safe_join, quantiles, ranked
 
 # Fixed display order of the baseline conditions (used for ordinal sort keys).
 CONDITION_ORDER = ["no_persona", "generic", "history_only", "best_persona"]
@@ -280,3 +280,25 @@ def category_order(df: DataFrame, category: str, value: str) -> DataFrame:
     one = g.withColumn("_all", F.lit(0))
     by_mean = ranked(one, ["_all"], [F.col("mean").desc_nulls_last(), F.col(category)], rank="by_mean")
     return ranked(by_mean, ["_all"], [F.col("median").asc_nulls_last(), F.col(category)], rank="by_median").drop("_all")
+
+
+def initial_vs_peak_complete(df: DataFrame, group: Sequence[str], metrics: Sequence[str], round_col: str = "round") -> DataFrame:
+    """W7 + P25: each metric in the group's first round that has all metrics, its peak over such rounds, and
+    the improvement.  Groups without such a round have no row."""
+    rounds = complete_rounds(df, [*group, round_col], metrics)
+    aggs = [F.min(round_col).alias("first_round")]
+    for m in metrics:
+        aggs += [F.min_by(m, round_col).alias(f"{m}_initial"), F.max(m).alias(f"{m}_peak")]
+    g = rounds.groupBy(*group).agg(*aggs)
+    return g.withColumns({f"{m}_improvement": F.col(f"{m}_peak") - F.col(f"{m}_initial") for m in metrics})
+
+
+def valid_reflections(reflections: DataFrame, fields: Sequence[str] = ("reflection_on_results", "improved_persona")) -> DataFrame:
+    """Reflections that have both texts; an upsert takes no others."""
+    return reflections.dropna(subset=list(fields))
+
+
+def join_runs(evaluations: DataFrame, runs: DataFrame, key: Sequence[str] = ("user_id", "run_id")) -> DataFrame:
+    """Every evaluation with the columns of its run (null where the run is unknown); runs without an
+    evaluation are left out.  ``runs`` has one row per key; heavy and null keys are spread."""
+    return lookup_join(evaluations, runs, list(key))

@@ -367,3 +367,39 @@ def first_items(spark, sf_dir):
     """T5: the first items of the first users."""
     f = X.first_per_user(results(spark, sf_dir).select("user_id", "item"), FIRST_USERS, FIRST_ITEMS, ["item"])
     return f.select("user_id", "item", F.col("place").cast("bigint").alias("place"))
+
+
+@reg.add("initial_vs_peak_complete", A.with_sql(A.RESULTS_SQL, """cr AS (SELECT condition, round, avg(score) AS score,
+    avg(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS k FROM results GROUP BY condition, round
+  HAVING avg(score) IS NOT NULL AND avg(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)) IS NOT NULL),
+g AS (SELECT condition, min(round) AS first_round, arg_min(score, round) AS s0, max(score) AS s1, arg_min(k, round) AS k0, max(k) AS k1
+  FROM cr GROUP BY condition)""") + """SELECT condition, first_round, round(s0, 6) AS score_initial, round(s1, 6) AS score_peak,
+  round(k0, 6) AS k_initial, round(k1, 6) AS k_peak, round(s1 - s0, 6) AS score_improvement, round(k1 - k0, 6) AS k_improvement FROM g""")
+def initial_vs_peak_complete(spark, sf_dir):
+    """From the first round that has all metrics."""
+    return rounded(X.initial_vs_peak_complete(with_k(spark, sf_dir), ["condition"], ["score", "k"]))
+
+
+@reg.add("upsert_valid_reflection", _REFL + """SELECT user_id, run_id, iteration, pos, improved_persona, reflection FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, run_id, iteration ORDER BY (pos % 2 = 1) DESC, pos DESC) AS rn FROM (
+    SELECT *, CASE WHEN pos % 5 <> 0 THEN 'reflection ' || CAST(pos AS VARCHAR) END AS reflection FROM refl) v
+  WHERE reflection IS NOT NULL AND improved_persona IS NOT NULL) t WHERE rn = 1""")
+def upsert_valid_reflection(spark, sf_dir):
+    """Reflections without one of their texts (every fifth here) are rejected before the upsert."""
+    text = F.when(F.col("pos") % 5 != 0, F.concat(F.lit("reflection "), F.col("pos").cast("string")))
+    r = reflections(spark, sf_dir).select("user_id", "run_id", "iteration", "pos", "improved_persona", text.alias("reflection"))
+    r = X.valid_reflections(r, ["reflection", "improved_persona"])
+    out = X.upsert_latest(r.where(F.col("pos") % 2 == 0), r.where(F.col("pos") % 2 == 1), ["user_id", "run_id", "iteration"], ["pos"])
+    return out.select("user_id", "run_id", "iteration", "pos", "improved_persona", "reflection")
+
+
+@reg.add("evaluations_with_runs", _REFL + """, ev AS (SELECT user_id, run_id, avg(score) AS mean_score, count(*) AS items FROM results GROUP BY ALL),
+rn AS (SELECT user_id, run_id, arg_min(improved_persona, pos) AS persona, count(*) AS n_reflections FROM refl WHERE pos % 3 = 0 GROUP BY ALL)
+SELECT ev.user_id, ev.run_id, round(mean_score, 6) AS mean_score, items, persona, n_reflections
+FROM ev LEFT JOIN rn ON rn.user_id = ev.user_id AND rn.run_id = ev.run_id""")
+def evaluations_with_runs(spark, sf_dir):
+    """Evaluations with their run's persona; a run is known from every third event."""
+    ev = results(spark, sf_dir).groupBy("user_id", "run_id").agg(F.avg("score").alias("mean_score"), F.count(F.lit(1)).alias("items"))
+    runs = reflections(spark, sf_dir).where(F.col("pos") % 3 == 0).groupBy("user_id", "run_id").agg(
+        F.min_by("improved_persona", "pos").alias("persona"), F.count(F.lit(1)).alias("n_reflections"))
+    return rounded(X.join_runs(ev, runs).select("user_id", "run_id", "mean_score", "items", "persona", "n_reflections"))

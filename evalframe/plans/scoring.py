@@ -237,3 +237,17 @@ def plugged_metrics(spark, sf_dir):
         if name not in S.REGISTRY:
             S.register_metric(name, fn)
     return rounded(S.evaluate(pairs_from_conversations(spark, sf_dir), ["bleu", "exact_match", "char_ratio"]))
+
+
+_FLAT = ("rouge1", "rouge2", "rougeL", "bleu", "combined_score")
+
+
+@reg.add("flatten_evaluation", _SCL + f"""
+SELECT user_id, run_id, count(*) AS total_samples, {', '.join(
+    f'round(avg({m}), 6) AS {m}_mean, round(stddev_pop({m}), 6) AS {m}_std, round(max({m}), 6) AS {m}_max, round(min({m}), 6) AS {m}_min' for m in _FLAT)}
+FROM cmb GROUP BY user_id, run_id""")
+def flatten_evaluation(spark, sf_dir):
+    """All item metrics of an evaluation as mean, population std, largest and smallest."""
+    s = S.combined_score(scored_pairs(spark, sf_dir))
+    aggs = [f(F.col(m)).alias(f"{m}_{n}") for m in _FLAT for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("max", F.max), ("min", F.min))]
+    return rounded(s.groupBy("user_id", "run_id").agg(F.count(F.lit(1)).alias("total_samples"), *aggs))

@@ -77,3 +77,19 @@ def test_every_status(spark):
     users = spark.createDataFrame([(u,) for u in ("a", "a", "b", "c", "d", "e", "z")], "user_id string")
     got = {r.user_id: r.status for r in R.coverage_status(users, ev, "p_").collect()}
     assert got == {"a": "success", "b": "no_bertscore", "c": "no_matching_runs", "d": "error", "e": "no_matching_runs", "z": "no_evaluations"}
+
+
+def test_evaluations_keep_unknown_runs_and_reflections_need_both_texts(spark):
+    from evalframe.operators import analysis as X
+    ev = spark.createDataFrame([("u", "r", 1.0), ("u", "q", 2.0), (None, "r", 3.0)], "user_id string, run_id string, s double")
+    runs = spark.createDataFrame([("u", "r", "p"), ("u", "unused", "x")], "user_id string, run_id string, persona string")
+    assert {r.s: r.persona for r in X.join_runs(ev, runs).collect()} == {1.0: "p", 2.0: None, 3.0: None}
+    refl = spark.createDataFrame([(1, "a", "b"), (2, None, "b"), (3, "a", None), (4, "", "")], "k int, reflection_on_results string, improved_persona string")
+    assert sorted(r.k for r in X.valid_reflections(refl).collect()) == [1, 4]
+
+
+def test_initial_round_has_all_metrics(spark):
+    from evalframe.operators import analysis as X
+    df = spark.createDataFrame([("g", 1, 9.0, None), ("g", 2, 1.0, 2.0), ("g", 3, 4.0, 1.0), ("h", 1, None, 1.0)], "c string, round int, a double, b double")
+    got = X.initial_vs_peak_complete(df, ["c"], ["a", "b"]).collect()
+    assert [(r.c, r.first_round, r.a_initial, r.a_peak, r.b_improvement) for r in got] == [("g", 2, 1.0, 4.0, 0.0)]
