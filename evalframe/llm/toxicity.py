@@ -3,18 +3,23 @@
 Inputs of a word (runs of letters, digits and non-ASCII bytes, lower-cased A-Z): two hashed
 word embeddings and the mean of hashed embeddings of its character 3- and 5-grams (UTF-8
 bytes, with marks at both ends).  A GRU reads a window of ``WINDOW`` words in each
-direction, attention pools the states and a logistic unit scores the window.  All windows
-that start every ``STRIDE`` words are scored; a text's score is that of its worst window.
-
-Training: bags of windows with the text's label, the smooth maximum over a bag's windows,
-Adam, a fixed seed.  The labelled rows it learns from are a bounded sample (``MAX_TOXIC``
-and ``MAX_CLEAN`` rows, those with the least hash of their id); rows of the held-out fold
-(crc32 of the id as text, modulo 3, equal to 1) are never learned from.  Everything else
-covers all rows and whole texts.  Neither labels nor id, language or source are inputs.
+direction (gates and candidates by softsign, x / (1 + |x|), which needs no exponential),
+attention pools the states and a logistic unit scores the window.  Every window
+is scored: one starts at each word that has ``WINDOW`` words from it on, and a shorter text
+is one window.  A text's score is that of its worst window.
+
+Training: a text is the bag of all its windows, its logit that of the worst one.  A step
+scores all of them; the gradient goes to ``DRAWN`` of them, drawn by their share in the
+smooth maximum (with Gumbel noise), so none is left out; Adam, a fixed seed.  The rows it
+learns from are a bounded sample of the labelled ones (``MAX_TOXIC`` and ``MAX_CLEAN`` rows,
+those with the least hash of their id); rows of the held-out fold (crc32 of the id as text, modulo 3, equal to 1)
+are never learned from.  Everything else covers all rows and whole texts.  Neither labels
+nor id, language or source are inputs.
 
 Defined results: null, empty and word-less texts score 0; without labelled rows of both
 kinds every score is 0; several labels of one id count as toxic if any is; a null id is
-held out; equal rows return equal rows; other columns are ignored.
+held out; equal rows return equal rows; a very long text is scored in blocks of windows;
+equally bad windows give the same score; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,12 +34,12 @@ from pyspark.sql import functions as F
 from evalframe.llm.shared import text_chunks
 from evalframe.llm.wordhash import WS, mix, words
 
-WINDOW, STRIDE = 32, 16
+WINDOW, BLOCK = 10, 2048  # words of a window; windows scored at once
 WORD_BITS, GRAM_BITS = 16, 16
 WORD_DIM, GRAM_DIM, HIDDEN = 4, 8, 8
 GRAMS = (3, 5)
-MAX_TOXIC, MAX_CLEAN, MAX_BAG = 1500, 2500, 24
-EPOCHS, BATCH, RATE = 5, 48, 0.02
+MAX_TOXIC, MAX_CLEAN, DRAWN = 1500, 2500, 24
+EPOCHS, BATCH, RATE, SHRINK = 5, 48, 0.01, 2.0
 THRESHOLD = 0.7
 SEED = 6
 
@@ -75,21 +80,32 @@ class Words:
         self.gram, self.owner = np.concatenate(grams), np.concatenate(owners)
         self.share = (1.0 / np.maximum(1, np.bincount(self.owner, minlength=self.count))).astype(np.float32)
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """(word places of each window, padded; text of each window)."""
+    def sequence(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word places of all texts one after the other, each padded to a window at least;
+        where each window starts in them; text of each window)."""
         n = np.diff(self.bounds)
-        per = np.where(n > 0, 1 + np.maximum(0, -(-(n - WINDOW) // STRIDE)), 0)
+        size = np.where(n > 0, np.maximum(n, WINDOW), 0)
+        base = np.cumsum(size) - size
+        seq = np.full(int(size.sum()), self.count)
+        seq[np.arange(len(self.index)) + np.repeat(base - self.bounds[:-1], n)] = self.index
+        per = np.where(n > 0, size - WINDOW + 1, 0)
         text = np.repeat(np.arange(len(n)), per)
-        k = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
-        at = (self.bounds[:-1][text] + k * STRIDE)[:, None] + np.arange(WINDOW)
-        padded = np.append(self.index, self.count)
-        return padded[np.where(at < self.bounds[1:][text][:, None], at, len(self.index))], text
+        return seq, np.arange(len(text)) - np.repeat(np.cumsum(per) - per - base, per), text
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """(word places of each window, text of each window)."""
+        seq, start, text = self.sequence()
+        return seq[start[:, None] + np.arange(WINDOW)], text
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def softsign(x: np.ndarray) -> np.ndarray:
+    return x / (1 + np.abs(x))
+
+
 class Network:
     """Parameters, forward and backward pass."""
 
@@ -126,22 +142,76 @@ class Network:
             for t in order:
                 a, m = pre[places[:, t]], real[:, t:t + 1]
                 hu = h @ u
-                zr = sigmoid(a[:, :2 * H] + hu[:, :2 * H])
+                zr = (1 + softsign(a[:, :2 * H] + hu[:, :2 * H])) / 2
                 z, r = zr[:, :H], zr[:, H:]
-                c = np.tanh(a[:, 2 * H:] + r * hu[:, 2 * H:])
+                c = softsign(a[:, 2 * H:] + r * hu[:, 2 * H:])
                 new = h + m * (1 - z) * (c - h)
                 if keep:
                     steps.append((t, h, z, r, c, hu[:, 2 * H:], m))
                 h = new
                 states[t, :, H * (d == "b"):H * (1 + (d == "b"))] = h
             tape[d] = steps
-        e = np.tanh(states) @ p["att"] + (real.T - 1) * 1e4
+        e = states @ p["att"] + (real.T - 1) * 1e4
         e = np.exp(e - e.max(axis=0))
         w = e / e.sum(axis=0)
         pooled = (w[:, :, None] * states).sum(axis=0)
         logit = pooled @ p["out"] + p["bias"][0]
         return (logit, states, w, pooled, tape) if keep else logit
 
+    def logits(self, x: np.ndarray, seq: np.ndarray) -> np.ndarray:
+        """Logit of the window that starts at each place of ``seq``: all windows of a block
+        take their t-th step together, on the block's words shifted by t, so nothing is
+        gathered per window.  Same numbers as ``run``: a padding word holds the state (its
+        update gate is 1) and has no weight, and of a state only its attention and its
+        output are kept, which leave the product that the next step needs anyway."""
+        p, H, n = self.p, HIDDEN, len(seq) - WINDOW + 1
+        out = np.empty(max(0, n), x.dtype)
+        pad = ((seq == len(x) - 1) * -1e4).astype(x.dtype)
+        ways = []
+        for d, order in (("f", range(WINDOW)), ("b", range(WINDOW - 1, -1, -1))):
+            pre, u = x @ p["x" + d] + p["c" + d], p["u" + d].T.copy()
+            pre[-1, :H] = 1e30
+            u[2 * H:] /= 2
+            own = slice(H * (d == "b"), H * (1 + (d == "b")))
+            ways.append((order, pre, np.concatenate([u, p["att"][None, own], p["out"][None, own]])))
+        for i in range(0, n, BLOCK):
+            m = min(BLOCK, n - i)
+            here = seq[i:i + m + WINDOW - 1]
+            seen = np.zeros((WINDOW, 2, m), x.dtype)
+            size = np.empty((2 * H, m), x.dtype)
+            for order, pre, u in ways:
+                a, h = np.ascontiguousarray(pre[here].T), np.zeros((H, m), x.dtype)
+                hu, before = u @ h, None
+                for t in order:
+                    if before is not None:
+                        np.matmul(u, h, out=hu)
+                        seen[before] += hu[3 * H:]
+                    zr, z, r, c = hu[:2 * H], hu[:H], hu[H:2 * H], hu[2 * H:3 * H]
+                    zr += a[:2 * H, t:t + m]
+                    np.abs(zr, out=size)
+                    size += 1
+                    zr /= size
+                    r += 1
+                    c *= r
+                    c += a[2 * H:, t:t + m]
+                    np.abs(c, out=r)
+                    r += 1
+                    c /= r
+                    c -= h
+                    z -= 1
+                    c *= z
+                    c *= 0.5
+                    h -= c
+                    before = t
+                seen[before] += u[3 * H:] @ h
+            e = seen[:, 0]
+            for t in range(WINDOW):
+                e[t] += pad[i + t:i + t + m]
+            e -= e.max(axis=0)
+            np.exp(e, out=e)
+            out[i:i + m] = (e * seen[:, 1]).sum(axis=0) / e.sum(axis=0) + p["bias"][0]
+        return out
+
     def gradients(self, words_: Words, x: np.ndarray, places: np.ndarray, kept, dlogit: np.ndarray) -> dict[str, np.ndarray]:
         p, H = self.p, HIDDEN
         _, states, w, pooled, tape = kept
@@ -149,9 +219,8 @@ class Network:
         dpool = dlogit[:, None] * p["out"]
         de = (states * dpool).sum(axis=2)
         de = w * (de - (w * de).sum(axis=0))
-        th = np.tanh(states)
-        g["att"] = np.einsum("tn,tnh->h", de, th)
-        dstates = w[:, :, None] * dpool + de[:, :, None] * p["att"] * (1 - th * th)
+        g["att"] = np.einsum("tn,tnh->h", de, states)
+        dstates = w[:, :, None] * dpool + de[:, :, None] * p["att"]
         dx = np.zeros_like(x)
         for d in "fb":
             dh, u, dpre = np.zeros((len(places), H), np.float32), p["u" + d], np.zeros((len(x), 3 * H), np.float32)
@@ -160,9 +229,9 @@ class Network:
             for t, h, z, r, c, hc, m in reversed(tape[d]):
                 dh = dh + dstates[t, :, H * (d == "b"):H * (1 + (d == "b"))]
                 dc = dh * m * (1 - z)
-                dz = -dh * m * (c - h) * z * (1 - z)
-                da_c = dc * (1 - c * c)
-                dr = da_c * hc * r * (1 - r)
+                dz = -dh * m * (c - h) * (1 - np.abs(2 * z - 1)) ** 2 / 2
+                da_c = dc * (1 - np.abs(c)) ** 2
+                dr = da_c * hc * (1 - np.abs(2 * r - 1)) ** 2 / 2
                 da = np.concatenate([dz, dr, da_c], 1)
                 dhu = np.concatenate([dz, dr, da_c * r], 1)
                 gu += h.T @ dhu
@@ -188,13 +257,12 @@ class Network:
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Score of each text: the worst of all its windows."""
         w = Words(texts)
-        places, text = w.windows()
+        seq, start, text = w.sequence()
         out = np.zeros(len(texts))
-        if len(places):
-            x = self.embed(w)
-            logits = np.concatenate([self.run(x, places[i:i + 4096]) for i in range(0, len(places), 4096)])
+        if len(start):
+            logits = self.logits(self.embed(w), seq)[start].astype(np.float64)
             first = np.flatnonzero(np.diff(text, prepend=-1))
-            out[text[first]] = sigmoid(np.maximum.reduceat(logits.astype(np.float64), first))
+            out[text[first]] = sigmoid(np.maximum.reduceat(logits, first))
         return out
 
 
@@ -209,28 +277,27 @@ def train(texts: list[bytes], toxic: list[int], epochs: int = EPOCHS, seed: int
         for i in range(0, len(order), BATCH):
             pick = order[i:i + BATCH]
             w = Words([texts[k] for k in pick])
-            places, bag = w.windows()
-            if not len(places):
+            seq, start, bag = w.sequence()
+            if not len(start):
                 steps += 1
                 continue
-            keys = rng.random(len(bag))  # at most MAX_BAG windows of a text in one step
-            rank = np.argsort(np.lexsort((keys, bag))) - np.searchsorted(bag, bag)
-            places, bag = places[rank < MAX_BAG], bag[rank < MAX_BAG]
             x = net.embed(w)
-            kept = net.run(x, places, keep=True)
-            logit = kept[0].astype(np.float64)
-            start = np.flatnonzero(np.diff(bag, prepend=-1))
-            size = np.diff(np.append(start, len(bag)))
-            top = np.repeat(np.maximum.reduceat(logit, start), size)
-            e = np.exp(logit - top)
-            total_e = np.add.reduceat(e, start)
-            wrong = sigmoid(top[start] + np.log(total_e)) - label[pick[bag[start]]]
-            grads = net.gradients(w, x, places, kept, (np.repeat(wrong / total_e, size) * e / len(start)).astype(np.float32))
+            logit = net.logits(x, seq)[start].astype(np.float64)
+            first_of = np.flatnonzero(np.diff(bag, prepend=-1))
+            wrong = sigmoid(np.maximum.reduceat(logit, first_of)) - label[pick[bag[first_of]]]
+            size = np.diff(np.append(first_of, len(bag)))
+            by_key = np.lexsort((-logit - rng.gumbel(size=len(bag)), bag))
+            drawn = by_key[np.arange(len(bag)) - np.repeat(first_of, size) < DRAWN]
+            share = np.repeat(wrong / np.minimum(size, DRAWN) / len(size), np.minimum(size, DRAWN))
+            places = seq[start[drawn][:, None] + np.arange(WINDOW)]
+            grads = net.gradients(w, x, places, net.run(x, places, keep=True), share.astype(np.float32))
             steps += 1
             rate = RATE * min(1.0, 2 * (1 - steps / (total + 1)))
             for k, v in grads.items():
                 first[k] += 0.1 * (v - first[k])
                 second[k] += 0.01 * (v * v - second[k])
+                if v.shape[0] > 1 << 12:  # the hashed tables shrink, or rare words learn texts by heart
+                    net.p[k] *= 1 - rate * SHRINK
                 net.p[k] -= rate * (first[k] / (1 - 0.9 ** steps)) / (np.sqrt(second[k] / (1 - 0.99 ** steps)) + 1e-6)
             if steps >= total:
                 break

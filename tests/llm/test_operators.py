@@ -1,6 +1,7 @@
 """The training-data operators against brute force, and on awkward rows."""
 
 import collections
+import math
 import re
 import zlib
 
@@ -525,7 +526,7 @@ def test_license_scan_finds_wrapped_and_repeated_notices():
 
 
 def test_toxicity(spark, docs, rows, none):
-    from evalframe.llm.toxicity import Network, Words, drop_toxic, held_out, toxicity, train
+    from evalframe.llm.toxicity import WINDOW, Network, Words, drop_toxic, held_out, toxicity, train
     rng = np.random.default_rng(1)
     texts, label = [], []
     for k in range(160):
@@ -550,12 +551,74 @@ def test_toxicity(spark, docs, rows, none):
     kept = drop_toxic(docs, docs, labels)  # none of the labelled rows is there: nothing is learned
     assert kept.columns == docs.columns and kept.count() == len(rows)
     assert toxicity(none, labels).count() == 0 and all(r.score == 0 for r in toxicity(docs, labels.where("false")).collect())
-    # the windows cover every word and overlap
+    # a window starts at every word that has a whole window from it on
     w = Words([" ".join(some_words(5, 100)).encode(), b"", b"a"])
     places, text = w.windows()
-    assert set(places[text == 0].ravel()) == set(w.index[:100].tolist()) | {w.count}
-    assert (text == 0).sum() == 6 and (text == 2).sum() == 1
-    assert Network().run(Network().embed(w), places).shape == (7,)
+    assert places[text == 0].tolist() == [w.index[i:i + WINDOW].tolist() for i in range(100 - WINDOW + 1)]
+    assert places[text == 2].tolist() == [[w.index[100]] + [w.count] * (WINDOW - 1)] and not (text == 1).any()
+    assert Network().run(Network().embed(w), places).shape == (100 - WINDOW + 2,)
+
+
+def plain_score(net, words_):
+    """Worst window of a text, word by word and number by number."""
+    from evalframe.llm.toxicity import GRAM_BITS, GRAMS, HIDDEN, WINDOW, WORD_BITS, _MULT, LOWER, mix
+    from evalframe.llm.wordhash import words
+    p, worst = {k: v.astype(np.float64) for k, v in net.p.items()}, -math.inf
+
+    def vector(word):
+        h = words([word.encode()])[0]
+        top = np.uint64(64 - WORD_BITS)
+        marked = b"\x01" + bytes(LOWER[list(word.encode())].tolist()) + b"\x01"
+        rows = []
+        for n in GRAMS:
+            for i in range(len(marked) - n + 1):
+                g = (n + sum(b * int(k) for b, k in zip(marked[i:i + n], _MULT))) % 2**64
+                rows.append(p["g"][int(mix(np.array([g], np.uint64))[0]) >> (64 - GRAM_BITS)])
+        return [*p["wa"][int((h >> top)[0])], *p["wb"][int((mix(h ^ _MULT[7]) >> top)[0])], *np.mean(rows, axis=0)]
+
+    def soft(v):
+        return v / (1 + abs(v))
+
+    def states(xs, d):
+        h, out = [0.0] * HIDDEN, []
+        for x in xs:
+            a = [p["c" + d][j] + sum(v * p["x" + d][i][j] for i, v in enumerate(x)) for j in range(3 * HIDDEN)]
+            b = [sum(v * p["u" + d][i][j] for i, v in enumerate(h)) for j in range(3 * HIDDEN)]
+            z = [(1 + soft(a[j] + b[j])) / 2 for j in range(2 * HIDDEN)]
+            c = [soft(a[2 * HIDDEN + j] + z[HIDDEN + j] * b[2 * HIDDEN + j]) for j in range(HIDDEN)]
+            h = [z[j] * h[j] + (1 - z[j]) * c[j] for j in range(HIDDEN)]
+            out.append(h)
+        return out
+
+    xs = [vector(w) for w in words_]
+    for i in range(max(1, len(xs) - WINDOW + 1)):
+        part = xs[i:i + WINDOW]
+        both = [f + b for f, b in zip(states(part, "f"), states(part[::-1], "b")[::-1])]
+        weight = [math.exp(sum(v * q for v, q in zip(h, p["att"]))) for h in both]
+        pooled = [sum(k * h[j] for k, h in zip(weight, both)) / sum(weight) for j in range(2 * HIDDEN)]
+        worst = max(worst, sum(v * q for v, q in zip(pooled, p["out"])) + p["bias"][0])
+    return 1 / (1 + math.exp(-worst))
+
+
+def test_toxicity_scores_every_window_as_plain_arithmetic_does():
+    from evalframe.llm.toxicity import BLOCK, WINDOW, Network, Words
+    net = Network(5)
+    for k in ("wa", "wb"):
+        net.p[k] = np.random.default_rng(4).normal(0, 1, net.p[k].shape).astype(np.float32)
+    lists = [some_words(60 + k, n) for k, n in enumerate((1, 3, WINDOW - 1, WINDOW, WINDOW + 1, 37))]
+    got = net.score([" ".join(w).encode() for w in lists])
+    assert got == pytest.approx([plain_score(net, w) for w in lists], abs=1e-5)
+    # blocks of windows, several texts, padding between them: the same logits as window by window
+    w = Words([" ".join(some_words(9, 2 * BLOCK + 50)).encode(), b"", b"one two", " ".join(some_words(8, 30)).encode()])
+    seq, start, _ = w.sequence()
+    x, (places, _) = net.embed(w), w.windows()
+    assert net.logits(x, seq)[start] == pytest.approx(net.run(x, places), abs=1e-4)
+    # one bad word anywhere moves the score of a long text: no window is left out
+    long_text = some_words(11, 3 * WINDOW)
+    base = net.score([" ".join(long_text).encode()])[0]
+    moved = [net.score([" ".join([*long_text[:i], "zzyzx" * 3, *long_text[i + 1:]]).encode()])[0] for i in range(0, len(long_text), 7)]
+    assert moved == pytest.approx([plain_score(net, [*long_text[:i], "zzyzx" * 3, *long_text[i + 1:]])
+                                   for i in range(0, len(long_text), 7)], abs=1e-5) and 0 <= base <= 1
 
 
 def test_gradients_match_differences():
