@@ -30,7 +30,13 @@ TEMPLATES = {
         "Fill in every [MASKED] token so the post reads naturally.\nOriginal Tweet: {tweet}\n\nCompleted Tweet:",
     "imitation_replies_template_no_persona":
         "Write a natural reply to this post.\nTweet to reply to: {tweet}\n\nReply:",
-    "persona_template": "Describe the writing persona of this user.\n\n{historie}",
+    "imitation_post_template_generic":
+        "You are an everyday user of social media. Fill in every [MASKED] token in that manner.\n"
+        "Original Tweet: {tweet}\n\nCompleted Tweet:",
+    "imitation_replies_template_generic":
+        "You are an everyday user of social media. Write a reply in that manner.\n"
+        "Tweet to reply to: {tweet}\n\nReply:",
+    "persona_template_simple": "Describe the writing persona of this user.\n\n{historie}",
     "mask_opinion_template": "Replace every opinion-bearing word with [MASKED].\n\nText: {text}",
     "reflect_results_template":
         "Examine the quality of the imitation.\nPrompt: {persona}\nBest imitation: {best_preds}\n"
@@ -57,6 +63,15 @@ CONDITION_TEMPLATES = {
 }
 UNPROCESSABLE_POST = "Post text could not be processed."
 
+
+
+def template(name: str) -> str:
+    """The catalogue's template of that name."""
+    if name not in TEMPLATES:
+        raise ValueError(f"no template {name!r}; known: {', '.join(sorted(TEMPLATES))}")
+    return TEMPLATES[name]
+
+
 _FIELD = re.compile(r"\{(\w+)\}")
 
 
