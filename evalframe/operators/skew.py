@@ -21,7 +21,7 @@ def _parts(df: DataFrame) -> int:
 
 
 def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left",
-                spread: Sequence[str] | None = None, min_rows: int = 16) -> DataFrame:
+                spread: Sequence[str] | None = None, min_rows: int = 16, sizes: DataFrame | None = None) -> DataFrame:
     """``left`` joined on ``keys`` with ``right``, which has at most one row per key.
 
     Keys of more rows than an even partition holds (the total over the number of shuffle
@@ -29,13 +29,21 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     they fill partitions; the one row of ``right`` is copied for each salt.  Only the list of
     these keys' hashes is broadcast: at most 16 bytes a shuffle partition.  Rows with a null
     key match nothing and are spread over all partitions.  Salts come from the hash of
-    ``spread`` (all columns of ``left`` if not given), so a repeated task deals alike.
+    ``spread`` (all columns of ``left`` if not given), so a repeated task deals alike.  A caller
+    that already has the rows per key passes them as ``sizes`` (``keys`` and ``n``), which saves
+    the pass over ``left`` that counts them.
     """
     keys, parts = list(keys), _parts(left)
     on = F.xxhash64(*keys)
-    counts = left.dropna(subset=keys).select(on.alias("__k")).groupBy("__k").agg(F.count(F.lit(1)).alias("__n"))
+    if sizes is None:
+        counts = left.dropna(subset=keys).select(on.alias("__k")).groupBy("__k").agg(F.count(F.lit(1)).alias("__n"))
+    else:
+        counts = sizes.dropna(subset=keys).select(on.alias("__k"), F.col("n").alias("__n"))
     even = F.greatest(F.lit(float(min_rows)), F.coalesce(counts.agg(F.sum("__n") / F.lit(parts)).scalar(), F.lit(0.0)))
-    heavy = F.broadcast(counts.where(F.col("__n") > even).select("__k", F.ceil(F.col("__n") / even).alias("__c")))
+    heavy = counts.where(F.col("__n") > even)
+    if sizes is not None:  # different keys of one hash share its salts
+        heavy = heavy.groupBy("__k").agg(F.max("__n").alias("__n"))
+    heavy = F.broadcast(heavy.select("__k", F.ceil(F.col("__n") / even).alias("__c")))
     row = F.xxhash64(F.lit("salt"), *(spread or left.columns))
     no_key = F.lit(False)
     for k in keys:

@@ -66,6 +66,28 @@ def test_perplexity_of_a_hot_bigram(spark):
         assert got[k].n_bigrams == len(pairs) and (got[k].perplexity == pytest.approx(want) if pairs else got[k].perplexity is None)
 
 
+def test_perplexity_writes_no_row_per_text(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr("evalframe.operators.quality.cut_lineage", lambda df: written.append(df.columns) or df)
+    docs = [(1, "a b a b"), (1, "b a"), (None, "a b"), (2, "lone"), (3, "")]
+    got = sorted((r.k or 0, r.n_bigrams, r.perplexity and round(r.perplexity, 9))
+                 for r in bigram_perplexity(spark.createDataFrame(docs, "k long, text string"), "k", "text").collect())
+    # c(a b) = 3, c(b a) = 2 and 3 words; rows of one key share their sums
+    ab, ba = np.log(4 / 6), np.log(3 / 5)
+    one = round(float(np.exp(-(2 * ab + 2 * ba) / 4)), 9)
+    assert got == [(0, 0, None), (1, 4, one), (1, 4, one), (2, 0, None), (3, 0, None)]
+    assert written and all("k" not in columns for columns in written)
+
+
+def test_lookup_join_with_given_sizes(spark):
+    left = spark.createDataFrame([(i % 3 if i < 900 else i, i) for i in range(1000)] + [(None, -1)], "k long, i long")
+    right = spark.createDataFrame([(k, f"v{k}") for k in range(0, 990)], "k long, v string")
+    sizes = left.groupBy("k").count().withColumnRenamed("count", "n")
+    for how in ("left", "inner"):
+        plain = sorted(map(str, lookup_join(left, right, ["k"], how).collect()))
+        assert sorted(map(str, lookup_join(left, right, ["k"], how, sizes=sizes).collect())) == plain
+
+
 def test_quantiles_equal_numpy(spark):
     rng, rows = np.random.default_rng(1), []
     for g, n in (("a", 1), ("b", 2), ("c", 3000), (None, 501), ("e", 0)):
