@@ -7,7 +7,7 @@ native expression with no shuffle of the texts.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,18 +77,18 @@ def _is_blank(text: Column) -> Column:
     return F.coalesce(text == "", F.lit(True))
 
 
-def rule_masked_tokens(text: Column, lexre: Column | None = None) -> Column:
+def rule_masked_tokens(toks: Column, lexre: Column | None = None) -> Column:
     """Tokens joined by one space with every lexicon token replaced by [MASKED]."""
     lexre = F.col("_lexre") if lexre is None else lexre
-    joined = F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" "))
-    return F.regexp_replace(F.regexp_replace(joined, lexre, F.lit(" " + MASK_TOKEN)), "^ | $", "")
+    joined = F.concat(F.lit(" "), F.array_join(toks, " "), F.lit(" "))
+    return F.trim(F.regexp_replace(joined, lexre, F.lit(" " + MASK_TOKEN)))  # no token holds a space
 
 
 def deterministic_mask(text: Column, lexre: Column | None = None) -> Column:
     """K1: lexicon tokens -> [MASKED] (case-insensitive), tokens joined by one
     space; empty or URL-only text -> [MASKED]."""
     url_only = F.coalesce(text.rlike(URL_ONLY_PATTERN), F.lit(False))
-    return F.when(_is_blank(text) | url_only, F.lit(MASK_TOKEN)).otherwise(rule_masked_tokens(text, lexre))
+    return F.when(_is_blank(text) | url_only, F.lit(MASK_TOKEN)).otherwise(rule_masked_tokens(tokens(text), lexre))
 
 
 def union_mask(text: Column, model_text: Column, lexre: Column | None = None) -> Column:
@@ -97,27 +97,39 @@ def union_mask(text: Column, model_text: Column, lexre: Column | None = None) ->
     the last word-like token (else the last token) is masked.
 
     Arrays are combined element-wise with ``zip_with`` (never indexed from
-    inside a lambda), so each row costs O(tokens).
+    inside a lambda), so each row costs O(tokens).  The tokens, the hits and the
+    failsafe position are bound to names, so each is worked out once a row.
     """
-    toks = tokens(text)
-    rule_toks = F.split(rule_masked_tokens(text, lexre), " ")
-    model = F.filter(F.split(F.coalesce(model_text, F.lit("")), r"\s+"), lambda w: w != "")
-    by_model = F.when(F.size(model) == F.size(toks),
-                      F.zip_with(toks, model, lambda t, m: (m == MASK_TOKEN) & (t != MASK_TOKEN))) \
-        .otherwise(F.transform(toks, lambda t: F.lit(False)))
-    hit = F.zip_with(rule_toks, by_model, lambda r, b: (r == MASK_TOKEN) | b)
-    # failsafe position: last word-like token, else the last token (0-based)
-    last_word = F.aggregate(F.transform(toks, lambda t, i: F.when(t.rlike(WORD_PATTERN), i).otherwise(-1)),
-                            F.lit(-1), lambda acc, x: F.greatest(acc, x))
-    last = F.when(last_word >= 0, last_word).otherwise(F.size(toks) - 1)
-    # the failsafe splices the mask in with slices (``last`` never enters a lambda)
-    failsafe = F.concat(F.slice(toks, 1, F.greatest(last, F.lit(0))), F.array(F.lit(MASK_TOKEN)),
-                        F.slice(toks, last + 2, F.greatest(F.size(toks), F.lit(1))))
-    masked = F.when(F.size(toks) == 0, toks).when(
-        F.exists(hit, lambda h: h), F.zip_with(toks, hit, lambda t, h: F.when(h, F.lit(MASK_TOKEN)).otherwise(t))) \
-        .otherwise(failsafe)
+    arrays = _bound(tokens(text), lambda toks: F.struct(
+        toks.alias("toks"), F.split(rule_masked_tokens(toks, lexre), " ").alias("rule"),
+        F.filter(F.split(F.coalesce(model_text, F.lit("")), r"\s+"), lambda w: w != "").alias("model")))
+
+    def hits(x: Column) -> Column:
+        by_rule = F.transform(x["rule"], lambda r: r == MASK_TOKEN)
+        by_both = F.zip_with(by_rule, F.zip_with(x["toks"], x["model"], lambda t, m: (m == MASK_TOKEN) & (t != MASK_TOKEN)),
+                             lambda r, b: r | b)
+        return F.when(F.size(x["model"]) == F.size(x["toks"]), by_both).otherwise(by_rule)
+
+    def failsafe(toks: Column) -> Column:
+        # last word-like token, else the last token (0-based)
+        words = F.transform(toks, lambda t, i: F.when(t.rlike(WORD_PATTERN), i).otherwise(-1))
+        at = _bound(F.array_max(words), lambda word: F.when(word >= 0, word).otherwise(F.size(toks) - 1))
+        # the mask is spliced in with slices (``last`` never enters a lambda over tokens)
+        return _bound(at, lambda last: F.concat(F.slice(toks, 1, F.greatest(last, F.lit(0))), F.array(F.lit(MASK_TOKEN)),
+                                                F.slice(toks, last + 2, F.greatest(F.size(toks), F.lit(1)))))
+
+    def masked(x: Column) -> Column:
+        return F.when(F.size(x["toks"]) == 0, x["toks"]).otherwise(_bound(hits(x), lambda hit: F.when(
+            F.array_contains(hit, True),
+            F.zip_with(x["toks"], hit, lambda t, h: F.when(h, F.lit(MASK_TOKEN)).otherwise(t))).otherwise(failsafe(x["toks"]))))
+
     url_only = F.coalesce(text.rlike(URL_ONLY_PATTERN), F.lit(False))
-    return F.when(_is_blank(text) | url_only, F.lit(MASK_TOKEN)).otherwise(F.array_join(masked, " "))
+    return F.when(_is_blank(text) | url_only, F.lit(MASK_TOKEN)).otherwise(F.array_join(_bound(arrays, masked), " "))
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def sequential_index(df: DataFrame, partition: Sequence[str], order_col: str,

@@ -157,8 +157,7 @@ def test_sequential_index_matches_row_number(spark):
 
 
 def test_edge_cases_under_ansi_mode(spark):
-    from evalframe.operators import quality as Q
-    old = spark.conf.get("spark.sql.ansi.enabled")
+        old = spark.conf.get("spark.sql.ansi.enabled")
     spark.conf.set("spark.sql.ansi.enabled", "true")
     try:
         pairs = spark.createDataFrame([
@@ -193,3 +192,11 @@ def test_bleu_layouts_are_read_alike(spark, scratch):
     assert [rows[i].bleu if rows[i] else None for i in range(4)] == [0.25, 0.7, 0.5, None]
     assert rows[0].precisions == [0.5, 0.25] and rows[0].translation_length == 4
     assert got["evaluations"].first().overall.bleu.bleu == 0.4
+
+
+def test_union_mask_tokenises_a_text_once(spark):
+    df = spark.createDataFrame([("so bad, really", "so bad , [MASKED]"), ("it is", "it is"), ("a - !", None), ("-", "x y")], "t string, m string")
+    lex = M.lexicon_table(spark, ["BAD"])
+    masked = M.attach_lexicon(df, lex).select(M.union_mask(F.col("t"), F.col("m")).alias("x"))
+    assert masked._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert [r.x for r in masked.collect()] == ["so [MASKED] , [MASKED]", "it [MASKED]", "[MASKED] - !", "[MASKED]"]
