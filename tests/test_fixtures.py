@@ -11,6 +11,7 @@ from conftest import SF_MID, SF_SMALL
 from evalframe.operators import analysis as X
 from evalframe.operators import clean as C
 from evalframe.operators import mask as M
+from evalframe.operators import quality as Q
 from evalframe.operators import scoring as S
 from evalframe.plans import cleaning as CL
 from evalframe.sources import files as IO
@@ -157,7 +158,8 @@ def test_sequential_index_matches_row_number(spark):
 
 
 def test_edge_cases_under_ansi_mode(spark):
-        old = spark.conf.get("spark.sql.ansi.enabled")
+    from evalframe.operators import quality as Q
+    old = spark.conf.get("spark.sql.ansi.enabled")
     spark.conf.set("spark.sql.ansi.enabled", "true")
     try:
         pairs = spark.createDataFrame([
@@ -200,3 +202,12 @@ def test_union_mask_tokenises_a_text_once(spark):
     masked = M.attach_lexicon(df, lex).select(M.union_mask(F.col("t"), F.col("m")).alias("x"))
     assert masked._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
     assert [r.x for r in masked.collect()] == ["so [MASKED] , [MASKED]", "it [MASKED]", "[MASKED] - !", "[MASKED]"]
+
+
+def test_persona_evolution_shuffles_no_row_per_token(spark):
+    rows = [("s", 0, "a b"), ("s", 1, "b c c"), ("s", 2, None), ("s", 3, ""), (None, 0, "a"), (None, 1, "a")]
+    out = Q.persona_evolution(spark.createDataFrame(rows, "k string, r long, t string"), "k", "r", "t")
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.k, r.r): tuple(r)[2:] for r in out.collect()}
+    assert got == {("s", 0): (2, 2, None, None), ("s", 1): (3, 2, 1, 1 / 3), ("s", 2): (0, 0, -3, 0.0), ("s", 3): (0, 0, 0, 0.0),
+                   (None, 0): (1, 1, None, None), (None, 1): (1, 1, None, None)}
