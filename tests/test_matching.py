@@ -5,10 +5,12 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from conftest import SF_SMALL
 
+from evalframe.operators import ngram
 from evalframe.operators import scoring as S
 from evalframe.operators import wordvec as V
 from evalframe.operators.lcs import lcs_length, lcs_places, union_lcs
@@ -138,3 +140,12 @@ def test_keywords(spark):
     got = persona_keywords(spark.createDataFrame(rows, "p string, t string"), "p", "t", k=2, prior_size=5.0).collect()
     top = {r.p: r.word for r in got if r["rank"] == 1}
     assert top == {"x": "apple", "y": "the", None: "kiwi"} and max(r["rank"] for r in got) == 2
+
+
+def test_a_pair_has_one_python_worker(spark):
+    pairs = spark.createDataFrame([(1, "a b c d e", "a b c x e"), (2, None, "a")], "k long, prediction string, reference string")
+    scored = S.score_pairs(pairs, ["k"])
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert sum("ArrowEvalPython" in line for line in plan.splitlines()) == 1
+    got = {r.k: r for r in scored.collect()}
+    assert got[1].rouge1 == pytest.approx(0.8) and got[1].rougeL == pytest.approx(0.8) and got[1].bleu_m2 == 2 and got[2].rougeL == 0
