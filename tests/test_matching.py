@@ -149,3 +149,12 @@ def test_a_pair_has_one_python_worker(spark):
     assert sum("ArrowEvalPython" in line for line in plan.splitlines()) == 1
     got = {r.k: r for r in scored.collect()}
     assert got[1].rouge1 == pytest.approx(0.8) and got[1].rougeL == pytest.approx(0.8) and got[1].bleu_m2 == 2 and got[2].rougeL == 0
+
+
+def test_greedy_reads_vectors_in_arrow():
+    unit = [[1.0 if d == k else 0.0 for d in range(V.DIMS)] for k in range(2)]
+    words = pa.array([[{"side": 0, "n": 2, "vec": unit[0]}, {"side": 0, "n": 1, "vec": unit[1]}, {"side": 1, "n": 1, "vec": unit[0]}],
+                      [{"side": 0, "n": 1, "vec": unit[0]}]],
+                     pa.list_(pa.struct([("side", pa.int32()), ("n", pa.int64()), ("vec", pa.list_(pa.float64()))])))
+    got = V._greedy_batch(words).to_pylist()
+    assert got == [{"p": pytest.approx(2 / 3), "r": 1.0, "f": pytest.approx(0.8)}, {"p": 0.0, "r": 0.0, "f": 0.0}]
