@@ -151,6 +151,17 @@ def test_a_pair_has_one_python_worker(spark):
     assert got[1].rouge1 == pytest.approx(0.8) and got[1].rougeL == pytest.approx(0.8) and got[1].bleu_m2 == 2 and got[2].rougeL == 0
 
 
+def test_few_pairs_are_python_strings_at_once(monkeypatch):
+    made = []
+    plain = ngram._lists
+    monkeypatch.setattr(ngram, "_lists", lambda rows: made.append(len(rows)) or plain(rows))
+    a = pa.array([["x"] * (i % 5) if i % 7 else None for i in range(1000)], pa.list_(pa.string()))
+    b = pa.array([[str(i)] for i in range(1000)], pa.list_(pa.string()))
+    want = [(x or [], y) for x, y in zip(a.to_pylist(), b.to_pylist())]
+    assert list(ngram.token_pairs(a, b)) == want and list(ngram.token_pairs(a[3:70], b[3:70])) == want[3:70]
+    assert max(made) <= ngram.ROWS_AT_ONCE and not list(ngram.token_pairs(a[:0], b[:0]))
+
+
 def test_greedy_reads_vectors_in_arrow():
     unit = [[1.0 if d == k else 0.0 for d in range(V.DIMS)] for k in range(2)]
     words = pa.array([[{"side": 0, "n": 2, "vec": unit[0]}, {"side": 0, "n": 1, "vec": unit[1]}, {"side": 1, "n": 1, "vec": unit[0]}],
