@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from evalframe.session import ensure_checkpoint_dir
 
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000  # numpy takes some 40 times that for a moment
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

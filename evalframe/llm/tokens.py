@@ -2,8 +2,9 @@
 
 The vocabulary in use drops white space, treats each white-space separated word by itself
 and lower-cases, so a text's ids are those of its words, one after the other.  Each Python
-worker keeps the ids of the words it has met (at most ``limit`` words at a time) and asks
-the library for the others only.
+worker keeps the ids of the words it has met lately (at most ``limit`` words and those of
+one text) and asks the library for the others only.  Most words of a corpus are met once or
+twice, so a larger store takes memory and hardly saves time.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import os
 import re
 import struct
 
-LIMIT = 1 << 20
+LIMIT = 1 << 18
 TAIL = b".,;:!?"
 # lower-case letters up to U+024F without a decomposition to worry about (already composed)
 LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
@@ -39,13 +40,21 @@ def packed(ids: list[int]) -> bytes:
 
 
 class WordIds(dict):
-    """UTF-8 word -> its ids as little-endian unsigned 32-bit integers."""
+    """UTF-8 word -> its ids as little-endian unsigned 32-bit integers.
+
+    Once half of ``limit`` words are new, they become ``old`` and those old before go; an old
+    word that is met again is new again, so frequent words stay."""
 
     def __init__(self, path: str, limit: int = LIMIT) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.library, self.limit = Tokenizer.from_file(path), limit
         self.model = self.library.model
+        self.old: dict[bytes, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = self.old[word]
+        return ids
 
     def encode(self, text: bytes) -> bytes:
         """The ids of a whole text (only ASCII white space separates words here)."""
@@ -61,10 +70,11 @@ class WordIds(dict):
             return b"".join(map(self.__getitem__, words))
 
     def learn(self, words: list[bytes]) -> None:
-        if len(self) > self.limit:
+        if len(self) > self.limit // 2:
+            self.old = dict(self)
             self.clear()
         cut, cores = [], set()
-        for w in {w for w in words if w not in self}:
+        for w in {w for w in words if w not in self and w not in self.old}:
             core = w.rstrip(TAIL)
             # punctuation after a letter or digit is a piece of text of its own
             if core != w and core and core.decode("utf-8", "replace")[-1].isalnum():
@@ -74,7 +84,7 @@ class WordIds(dict):
                 cores.add(w)
         rest = []
         for c in cores:
-            if c not in self:
+            if c not in self and c not in self.old:
                 if LETTERS(c.decode("utf-8", "replace")):
                     self[c] = packed([t.id for t in self.model.tokenize(c.decode("latin-1").translate(BYTE_LETTERS))])
                 else:

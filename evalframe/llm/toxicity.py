@@ -35,6 +35,7 @@ from evalframe.llm.shared import text_chunks
 from evalframe.llm.wordhash import WS, mix, words
 
 WINDOW, BLOCK = 10, 2048  # words of a window; windows scored at once
+CHUNK_BYTES = 2_000_000  # of text scored at once
 WORD_BITS, GRAM_BITS = 16, 16
 WORD_DIM, GRAM_DIM, HIDDEN = 4, 8, 8
 GRAMS = (3, 5)
@@ -337,7 +338,7 @@ def score_rows(docs: DataFrame, net: Network | None, column: str = "score") -> D
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [sent.value.score(texts) for _, texts in text_chunks(batch)]
+            scores = [sent.value.score(texts) for _, texts in text_chunks(batch, limit=CHUNK_BYTES)]
             if scores:
                 columns = [c for c, f in zip(batch.columns, batch.schema.names) if f != column]
                 columns.insert(at, pa.array(np.concatenate(scores), pa.float64()))

@@ -153,6 +153,20 @@ def test_ngram_join_open_pairs_come_once(spark):
                     assert ((a, b) in got) or shared < min(3 + a % 3, 3 + b % 3)
 
 
+def test_word_store_is_bounded_and_keeps_frequent_words():
+    from evalframe.llm.tokens import LIMIT, WordIds, default_tokenizer
+    words = WordIds(default_tokenizer(), limit=40)
+    asked, learn = [], words.learn
+    words.learn = lambda w: (asked.extend(x for x in w if x not in words and x not in words.old), learn(w))
+    for k in range(200):
+        text = f"often zq{k} Zq{k}x, often {k}."
+        ids = np.frombuffer(words.encode(text.encode()), np.uint32).tolist()
+        assert ids == words.library.encode(text, add_special_tokens=False).ids
+        assert len(words) + len(words.old) <= 40 + 2 * 10  # and the words and cores of a text
+    assert asked.count(b"often") == 2  # twice in the first text
+    assert LIMIT <= 1 << 18
+
+
 def test_packing(docs, rows, none):
     from tokenizers import Tokenizer
 
