@@ -9,14 +9,16 @@ twice, so a larger store takes memory and hardly saves time.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
+import string
 import struct
+import unicodedata
 
 LIMIT = 1 << 18
-TAIL = b".,;:!?"
-# lower-case letters up to U+024F without a decomposition to worry about (already composed)
-LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
+# ASCII punctuation but for the end of a special token
+TAIL = string.punctuation.replace(">", "").encode()
 
 
 def default_tokenizer() -> str:
@@ -33,6 +35,16 @@ def byte_letters() -> dict[int, int]:
 
 
 BYTE_LETTERS = byte_letters()
+# letters up to U+00FF (already composed) -> the letters of the bytes of their lower case
+LETTERS = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+LETTER_BYTES = {c: "".join(chr(BYTE_LETTERS[b]) for b in chr(c).lower().encode())
+                for c in range(256) if LETTERS(chr(c))}
+
+
+@functools.cache
+def ends_word(c: str) -> bool:
+    """Whether a character is still a letter or digit at its end once composed and lowered."""
+    return unicodedata.normalize("NFC", c).lower()[-1].isalnum()
 
 
 def packed(ids: list[int]) -> bytes:
@@ -50,6 +62,7 @@ class WordIds(dict):
         from tokenizers import Tokenizer
         self.library, self.limit = Tokenizer.from_file(path), limit
         self.model = self.library.model
+        self.four = {i: packed([i]) for i in self.library.get_vocab().values()}
         self.old: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
@@ -63,35 +76,46 @@ class WordIds(dict):
         if b"<|" not in text and (text.isascii() or not (b"\xcc" in text or b"\xcd" in text)):
             text = text.lower()
         words = text.split()
-        try:
-            return b"".join(map(self.__getitem__, words))
-        except KeyError:
-            self.learn(words)
-            return b"".join(map(self.__getitem__, words))
+        ids = list(map(self.get, words))  # one look-up a word, the rest only for those not kept
+        at = [i for i, x in enumerate(ids) if x is None]
+        if at:
+            self.learn([words[i] for i in at])
+            for i in at:
+                ids[i] = self[words[i]]
+        return b"".join(ids)
 
     def learn(self, words: list[bytes]) -> None:
         if len(self) > self.limit // 2:
             self.old = dict(self)
             self.clear()
-        cut, cores = [], set()
-        for w in {w for w in words if w not in self and w not in self.old}:
+        old, tokenize, four = self.old, self.model.tokenize, self.four
+        cut, rest = [], {}
+        for w in set(words):
+            if w in old:
+                self[w] = old[w]
+            if w in self:
+                continue
             core = w.rstrip(TAIL)
             # punctuation after a letter or digit is a piece of text of its own
-            if core != w and core and core.decode("utf-8", "replace")[-1].isalnum():
-                cut.append((w, core, w[len(core):]))
-                cores |= {core, w[len(core):]}
+            if core != w and core and (core.isalpha() or ends_word(core.decode("utf-8", "replace")[-1])):
+                tail = w[len(core):]
+                if tail not in self and tail not in old:
+                    rest[tail] = tail.decode()
+                cut.append((w, core, tail))
+                if core in self or core in old:
+                    continue
+            else:
+                core = w
+            text = core.decode("utf-8", "replace")
+            if LETTERS(text):
+                if not text.isascii():
+                    text = text.translate(LETTER_BYTES)
+                self[core] = b"".join([four[t.id] for t in tokenize(text)])
             else:
-                cores.add(w)
-        rest = []
-        for c in cores:
-            if c not in self and c not in self.old:
-                if LETTERS(c.decode("utf-8", "replace")):
-                    self[c] = packed([t.id for t in self.model.tokenize(c.decode("latin-1").translate(BYTE_LETTERS))])
-                else:
-                    rest.append(c)
-        for c, e in zip(rest, self.library.encode_batch_fast([c.decode("utf-8", "replace") for c in rest],
-                                                             add_special_tokens=False)):
-            self[c] = packed(e.ids)
+                rest[core] = text
+        if rest:
+            for c, e in zip(rest, self.library.encode_batch_fast(list(rest.values()), add_special_tokens=False)):
+                self[c] = packed(e.ids)
         for w, core, tail in cut:
             self[w] = self[core] + self[tail]
 

@@ -3,6 +3,7 @@
 import collections
 import math
 import re
+import string
 import zlib
 
 import numpy as np
@@ -167,6 +168,38 @@ def test_word_store_is_bounded_and_keeps_frequent_words():
     assert LIMIT <= 1 << 18
 
 
+def test_words_are_looked_up_once_and_letters_skip_the_whole_library():
+    from evalframe.llm.tokens import WordIds, default_tokenizer
+    whole = []
+
+    class Counted(WordIds):
+        gets = 0
+
+        def get(self, word):
+            Counted.gets += 1
+            return super().get(word)
+
+    words = Counted(default_tokenizer())
+    library, words.library = words.library, type("Library", (), {
+        "encode_batch_fast": lambda _, texts, **kw: (whole.extend(texts), library.encode_batch_fast(texts, **kw))[1]})()
+
+    def check(text):
+        got = np.frombuffer(words.encode(text.encode()), "<u4").tolist()
+        assert got == library.encode(text, add_special_tokens=False).ids, text
+
+    text = "Ab abc Ab, abd*** \u00c9t\u00e9.### stra\u00dfe\u00c4 it's) (x) don't'\"; "
+    check(text * 3)
+    assert Counted.gets == 3 * len(text.split())
+    assert not {"abd***", "\u00c9t\u00e9.###", "stra\u00dfe\u00c4"} & set(whole)
+    for text in ("a<|endoftext|>b* c<|endoftext|>,* <|endoftext|>&", "<|endoftext|><|startoftext|>*", "<|a|>* |> ab|>",
+                 "\u00c5 A\u030a\u00c9* e\u0301* \u00d7\u00f7\u00d7* \u0130* \u0178* \u00aa* \u00b5* \u212b* \u0958*, \u1112\u1161*", "a\u00a0b* \u0085 \u00a0*",
+                 "\u00df\u00ff\u00de\u00dd\u00c0%$ \u4e00* \u0660* 12* 3,4.* \U0001f600* x_* _x* '* 's* 's's' l's*t '", *string.punctuation):
+        check(text)
+    for c in string.punctuation:
+        for text in (f"ab{c}", f"7{c}{c} \u00c9{c}s", f"{c}ab{c}", f"ab{c}'{c} ab'{c}s", f"a\u0301{c} a{c}\u0301"):
+            check(text)
+
+
 def test_packing(docs, rows, none):
     from tokenizers import Tokenizer
 
