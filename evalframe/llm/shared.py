@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +51,22 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text",
         yield first, out
 
 
+_kept: dict = {}
+
+
+def kept(key, make: Callable):
+    """What a Python worker keeps from task to task under ``key``, made when it is not there."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def release() -> None:
+    """Drop what tasks of other operators have left in this Python worker: Spark uses its
+    workers again, so one stage's store would lie beside the next stage's arrays."""
+    _kept.clear()
+
+
 def connected_components(links: DataFrame, name: str = "cc") -> DataFrame:
     """(node, component): the smallest node reachable over ``links(a, b)``.
 

@@ -16,6 +16,8 @@ import string
 import struct
 import unicodedata
 
+from evalframe.llm.shared import kept
+
 LIMIT = 1 << 18
 # ASCII punctuation but for the end of a special token
 TAIL = string.punctuation.replace(">", "").encode()
@@ -120,11 +122,6 @@ class WordIds(dict):
             self[w] = self[core] + self[tail]
 
 
-_open: dict[str, WordIds] = {}
-
-
 def encoder(path: str) -> WordIds:
     """The worker's encoder of a tokenizer file."""
-    if path not in _open:
-        _open[path] = WordIds(path)
-    return _open[path]
+    return kept(path, lambda: WordIds(path))

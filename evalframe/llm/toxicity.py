@@ -31,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.llm.shared import text_chunks
+from evalframe.llm.shared import release, text_chunks
 from evalframe.llm.wordhash import WS, mix, words
 
 WINDOW, BLOCK = 10, 2048  # words of a window; windows scored at once
 CHUNK_BYTES = 2_000_000  # of text scored at once
+PART = 1 << 13  # distinct words whose grams are made at once
 WORD_BITS, GRAM_BITS = 16, 16
 WORD_DIM, GRAM_DIM, HIDDEN = 4, 8, 8
 GRAMS = (3, 5)
@@ -63,22 +64,28 @@ class Words:
         top = np.uint64(64 - WORD_BITS)
         self.word_a, self.word_b = (own >> top).astype(np.int64), (mix(own ^ _MULT[7]) >> top).astype(np.int64)
         a = LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
-        size = (end - start)[first]
-        begin = np.cumsum(size + 2) - size - 2
-        marked = np.full(int((size + 2).sum()), 1, np.uint8)  # byte 1 marks both ends
-        inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        marked[np.repeat(begin + 1, size) + inside] = a[np.repeat(start[first], size) + inside]
-        owner = np.repeat(np.arange(self.count), size + 2)
-        grams, owners = [], []
-        for n in GRAMS:
-            m = max(0, len(marked) - n + 1)
-            g = np.full(m, n, np.uint64)
-            for j in range(n):
-                g += marked[j:j + m].astype(np.uint64) * _MULT[j]
-            whole = owner[:m] == owner[n - 1:]
-            grams.append((mix(g[whole]) >> np.uint64(64 - GRAM_BITS)).astype(np.int64))
-            owners.append(owner[:m][whole])
-        self.gram, self.owner = np.concatenate(grams), np.concatenate(owners)
+        sizes, starts = (end - start)[first], start[first]
+        del h, own, start, end, first
+        ends = np.cumsum([np.maximum(0, sizes + 3 - n).sum() for n in GRAMS])
+        self.gram, self.owner = np.empty(ends[-1], np.int64), np.empty(ends[-1], np.int64)
+        filled = [0, *ends[:-1].tolist()]
+        for low in range(0, self.count, PART):
+            size = sizes[low:low + PART]
+            begin = np.cumsum(size + 2) - size - 2
+            marked = np.full(int((size + 2).sum()), 1, np.uint8)  # byte 1 marks both ends
+            inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            marked[np.repeat(begin + 1, size) + inside] = a[np.repeat(starts[low:low + PART], size) + inside]
+            owner = np.repeat(np.arange(low, low + len(size)), size + 2)
+            for k, n in enumerate(GRAMS):
+                m = max(0, len(marked) - n + 1)
+                g = np.full(m, n, np.uint64)
+                for j in range(n):
+                    g += marked[j:j + m].astype(np.uint64) * _MULT[j]
+                whole = owner[:m] == owner[n - 1:]
+                to = slice(filled[k], filled[k] + int(whole.sum()))
+                self.gram[to] = mix(g[whole]) >> np.uint64(64 - GRAM_BITS)
+                self.owner[to] = owner[:m][whole]
+                filled[k] = to.stop
         self.share = (1.0 / np.maximum(1, np.bincount(self.owner, minlength=self.count))).astype(np.float32)
 
     def sequence(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,8 +134,9 @@ class Network:
     def embed(self, w: Words) -> np.ndarray:
         """Inputs of the distinct words, and zeros for padding."""
         p = self.p
-        rows = p["g"][w.gram]
-        mean = np.stack([np.bincount(w.owner, rows[:, j], w.count) for j in range(GRAM_DIM)], 1) * w.share[:, None]
+        # one column of the grams' rows at a time: all of them are the largest array here
+        mean = np.stack([np.bincount(w.owner, np.ascontiguousarray(p["g"][:, j])[w.gram], w.count)
+                         for j in range(GRAM_DIM)], 1) * w.share[:, None]
         x = np.concatenate([p["wa"][w.word_a], p["wb"][w.word_b], mean.astype(np.float32)], 1)
         return np.concatenate([x, np.zeros((1, x.shape[1]), np.float32)])
 
@@ -261,7 +269,9 @@ class Network:
         seq, start, text = w.sequence()
         out = np.zeros(len(texts))
         if len(start):
-            logits = self.logits(self.embed(w), seq)[start].astype(np.float64)
+            x = self.embed(w)
+            del w
+            logits = self.logits(x, seq)[start].astype(np.float64)
             first = np.flatnonzero(np.diff(text, prepend=-1))
             out[text[first]] = sigmoid(np.maximum.reduceat(logits, first))
         return out
@@ -328,23 +338,25 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
     return train([x for x, _ in rows], [t for _, t in rows])
 
 
+def scored(batches: Iterator[pa.RecordBatch], net: Network, names: list[str], column: str) -> Iterator[pa.RecordBatch]:
+    """The batches with the scores of their texts as ``column``, a chunk of rows at a time."""
+    release()
+    for batch in batches:
+        for first, texts in text_chunks(batch, limit=CHUNK_BYTES):
+            part = batch.slice(first, len(texts))
+            columns = [c for c, f in zip(part.columns, part.schema.names) if f != column]
+            columns.insert(names.index(column), pa.array(net.score(texts), pa.float64()))
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+
 def score_rows(docs: DataFrame, net: Network | None, column: str = "score") -> DataFrame:
     """All columns of ``docs`` and ``column``, the score of the row's whole text."""
     if net is None:
         return docs.withColumn(column, F.lit(0.0))
     sent = docs.sparkSession.sparkContext.broadcast(net)
     out = docs.withColumn(column, F.lit(0.0)).schema
-    at = [f.name for f in out].index(column)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = [sent.value.score(texts) for _, texts in text_chunks(batch, limit=CHUNK_BYTES)]
-            if scores:
-                columns = [c for c, f in zip(batch.columns, batch.schema.names) if f != column]
-                columns.insert(at, pa.array(np.concatenate(scores), pa.float64()))
-                yield pa.RecordBatch.from_arrays(columns, [f.name for f in out])
-
-    return docs.mapInArrow(score, out)
+    names = [f.name for f in out]
+    return docs.mapInArrow(lambda batches: scored(batches, sent.value, names, column), out)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

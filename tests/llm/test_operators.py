@@ -668,6 +668,41 @@ def test_toxicity_scores_every_window_as_plain_arithmetic_does():
                                    for i in range(0, len(long_text), 7)], abs=1e-5) and 0 <= base <= 1
 
 
+def test_toxicity_task_takes_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from evalframe.llm import shared
+    from evalframe.llm.toxicity import CHUNK_BYTES, Network, scored
+    net, rng = Network(), np.random.default_rng(1)
+    texts = [" ".join(f"w{x:06x}" for x in rng.integers(0, 1 << 17, 250)) for _ in range(1000)]
+    net.score([b"one word"])
+    tracemalloc.start()
+    scores = net.score([t.encode() for t in texts])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 35 * sum(map(len, texts))  # 48 times with all words' temporaries at once
+    # what another operator left in the worker goes; rows leave chunk by chunk, in their order, with all columns
+    shared.kept("words of an earlier stage", dict)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(2100)), "score": [7.0] * 2100, "text": [*texts, None, *texts, *[""] * 99]})
+    got = list(scored(iter([batch, batch.slice(0, 0)]), net, ["doc_id", "score", "text"], "score"))
+    assert not shared._kept and len(got) > 1 and max(b.nbytes for b in got) < 1.2 * CHUNK_BYTES
+    whole = pa.Table.from_batches(got)
+    assert whole["doc_id"].to_pylist() == list(range(2100)) and whole["text"].to_pylist() == batch["text"].to_pylist()
+    assert whole["score"].to_pylist() == pytest.approx([*scores, 0, *scores, *[0] * 99], abs=1e-5)
+
+
+def test_word_hashes_do_not_depend_on_the_span(monkeypatch):
+    from evalframe.llm import wordhash
+    texts = [b"", b"  one Two  " + b"x" * 300 + b"\n", b" ", " ".join(some_words(3, 500)).encode(), b"last"]
+    want = [x.tolist() for x in wordhash.words(texts)]
+    assert want[0][:2] == [wordhash.words([w])[0][0] for w in (b"one", b"two")] and want[0][-1] == wordhash.words([b"last"])[0][0]
+    for span in (1, 7, 64, 1 << 20):
+        monkeypatch.setattr(wordhash, "SPAN", span)
+        assert [x.tolist() for x in wordhash.words(texts)] == want
+
+
 def test_gradients_match_differences():
     from evalframe.llm.toxicity import Network, Words
     net = Network(3)
