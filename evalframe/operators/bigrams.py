@@ -20,8 +20,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 
 BLOCK_TOKENS = 1 << 21  # of a block, unless one text has more
-BUCKET_ROWS = 1 << 22  # words or bigrams that a bucket is asked for, about
+BUCKET_WORDS = 1 << 19  # words that a bucket is asked for, about
+BUCKET_TOKENS = 1 << 21  # tokens a bucket of bigrams; blocks ask for no more bigrams than they have tokens
 WORDS_AT_ONCE = 1 << 16  # Python bytes while words are dealt
+BIGRAMS_AT_ONCE = 1 << 18  # scored in one step
 
 ASKED = "bucket long, block long, at binary, what binary, times binary"
 WORD_REPLY = "block long, bucket long, at binary, number binary, times binary, different long"
@@ -86,7 +88,7 @@ def blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordB
     def row() -> pa.RecordBatch:
         keys, sizes, tokens = zip(*held)
         keys, sizes = pa.concat_arrays(keys), np.concatenate(sizes)
-        coded = pa.concat_arrays(tokens).dictionary_encode()
+        coded = pa.concat_arrays(tokens)  # of one dictionary
         codes = coded.indices.to_numpy()
         order = np.argsort(-np.bincount(codes, minlength=len(coded.dictionary)), kind="stable")
         rank = np.empty(len(order), np.int32)
@@ -108,8 +110,9 @@ def blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordB
             if stop <= start and not held:
                 stop = start + 1  # a text of more than ``limit`` tokens
             if stop > start:
-                part = tokens.slice(start, stop - start)
-                held.append((keys.slice(start, stop - start), np.diff(ends[start:stop + 1]).astype(np.int64), part.flatten()))
+                # copies, so that the batch can go
+                part = tokens.slice(start, stop - start).flatten().dictionary_encode()
+                held.append((keys.take(pa.array(np.arange(start, stop))), np.diff(ends[start:stop + 1]).astype(np.int64), part))
                 n, start = n + int(ends[stop] - ends[start]), stop
             if start < len(keys):  # the next text has no room
                 yield row()
@@ -174,8 +177,10 @@ class Block:
         self.bigrams += number[codes[1:][more[:-1]]]
 
     def dealt(self, different: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        mixed = (different * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-        return _parts((mixed % np.uint64(buckets)).astype(np.int64), buckets)
+        bucket = different * np.uint64(0x9E3779B97F4A7C15)
+        bucket >>= np.uint64(32)
+        bucket %= np.uint64(buckets)
+        return _parts(bucket.view(np.int64), buckets)
 
 
 def ask_bigrams(block: pa.Table, replies: pa.Table, numbers: int, buckets: int) -> pa.Table:
@@ -210,7 +215,10 @@ def text_scores(block: pa.Table, replies: pa.Table, numbers: int, buckets: int,
     for bucket, at, _, reply in rows:
         if at is None:
             times[order[begins[bucket]:begins[bucket + 1]]] = unpack(reply)
-    lp = np.log((times[codes] + k) / (b.times[b.first] + k * vocabulary))
+    lp = np.empty(len(codes))
+    for i in range(0, len(lp), BIGRAMS_AT_ONCE):
+        some = slice(i, i + BIGRAMS_AT_ONCE)
+        lp[some] = np.log((times[codes[some]] + k) / (b.times[b.first[some]] + k * vocabulary))
     n = np.maximum(b.sizes - 1, 0)
     sums = np.bincount(np.repeat(np.arange(len(n)), n), weights=lp, minlength=len(n))
     return pa.table([b.keys, pa.array(sums, pa.float64()), pa.array(n, pa.int64())], ["key", "sum_lp", "n"]).filter(pa.array(n > 0))

@@ -26,10 +26,11 @@ def words(rng, n, vocab):
     return " ".join(f"w{min(x, vocab)}" for x in rng.zipf(1.3, n))
 
 
-@pytest.mark.parametrize("block, bucket", [(7, 3), (1 << 21, 1 << 22)])
+@pytest.mark.parametrize("block, bucket", [(7, 3), (1 << 21, 1 << 20)])
 def test_perplexity_of_small_and_large_blocks(spark, monkeypatch, block, bucket):
     monkeypatch.setattr(B, "BLOCK_TOKENS", block)
-    monkeypatch.setattr(B, "BUCKET_ROWS", bucket)
+    monkeypatch.setattr(B, "BUCKET_WORDS", bucket)
+    monkeypatch.setattr(B, "BUCKET_TOKENS", bucket)
     rng = np.random.default_rng(5)
     docs = [(i % 60, words(rng, int(rng.integers(0, 12)), 40)) for i in range(80)]
     docs += [(None, "w1 w2"), (900, None), (901, ""), (902, "alone"), (903, words(rng, 50, 40)), (904, "w1 w1 w1 w1")]
